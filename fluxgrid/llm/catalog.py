@@ -7,11 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxgrid.llm import conversations, visual_form
+from fluxgrid.llm import boilerplate, conversations, visual_form
 from fluxgrid.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -48,6 +47,18 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("conversation_id", "turn", "message_id")
 
 
+@_query
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that are repeated excessively within their source."""
+    return boilerplate.boilerplate_lines(read_table(spark, folder, "layout_line")).select("line_id").distinct()
+
+
+@_query
+def p3_clean_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Each page without the boilerplate of its source."""
+    return boilerplate.without_boilerplate(read_table(spark, folder, "layout_line"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
