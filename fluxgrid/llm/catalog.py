@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxgrid.llm import boilerplate, conversations, visual_form
+from fluxgrid.llm import boilerplate, conversations, neighbors, scanned, visual_form
 from fluxgrid.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,19 @@ def p3_clean_pages(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.without_boilerplate(read_table(spark, folder, "layout_line"))
 
 
+@_query
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten most similar chunks of each question vector."""
+    near = neighbors.nearest(read_table(spark, folder, "query_vectors"), "query_id", "dense", read_table(spark, folder, "qdrant_input"), "chunk_id", "embedding")
+    return near.select(F.col("query").alias("query_id"), F.col("found").alias("chunk_id"))
+
+
+@_query
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of scanned pages with a fault, one row per kind."""
+    return scanned.faults(read_table(spark, folder, "ocr_line"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -144,7 +144,8 @@ def nearest(queries: DataFrame, query_key: str, query_vector: str, rows: DataFra
     entry = F.explode(F.array(*(place(j, F.col("code")[j]) for j in range(SUBSTRINGS))))
     asked = queries.select(F.xxhash64("query", "qv").alias("q"), "qv").mapInArrow(encode, "id long, code array<int>").select(F.col("id").alias("q"), F.col("code").alias("asked")).distinct()
     flips = F.array(*(F.lit(m) for m in masks))
-    probes = F.explode(F.flatten(F.array(*(F.transform(flips, lambda x, j=j: place(j, F.col("asked")[j].bitwiseXOR(x))) for j in range(SUBSTRINGS)))))
+    ball = lambda j: F.transform(flips, lambda x: place(j, F.col("asked")[j].bitwiseXOR(x)))
+    probes = F.explode(F.flatten(F.array(*(ball(j) for j in range(SUBSTRINGS)))))
     apart = sum((F.bit_count(F.col("asked")[j].bitwiseXOR(F.col("code")[j])) for j in range(1, SUBSTRINGS)), F.bit_count(F.col("asked")[0].bitwiseXOR(F.col("code")[0])))
     met = asked.select("q", "asked", probes.alias("place")).join(coded.select("id", "code", entry.alias("place")), "place")
     met = met.withColumn("apart", apart).where(F.col("apart") <= int(FAR * bits)).select("q", "id", "apart").distinct()
