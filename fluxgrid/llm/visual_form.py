@@ -49,38 +49,60 @@ COMPATIBLE = [(0x2E80, 0x2FD6), (0xF900, 0xFB00), (0xFF01, 0xFFE7)]
 
 
 @lru_cache(maxsize=1)
-def character_map() -> dict[str, str]:
-    """One character to the one that is kept for it."""
-    out: dict[str, str] = {}
+def character_maps() -> tuple[dict[str, str], dict[str, str]]:
+    """One character to the one that is kept for it: those met all the time, and all of them."""
+    common = {chr(code): chr(code - 0xFEE0) for code in range(0xFF01, 0xFF5F)} | {chr(code): " " for code in SPACES}
+    for seen, kept in SAME_SHAPE:
+        common |= dict(zip(seen, kept, strict=True))
+    whole: dict[str, str] = {}
     for low, high in COMPATIBLE:
         for code in range(low, high):
             kept = unicodedata.normalize("NFKC", chr(code))
             if len(kept) == 1 and kept != chr(code) and kept != " ":
-                out[chr(code)] = kept
-    out |= {"ﾞ": "゙", "ﾟ": "゚"}  # half-width voicing marks compose with what they follow
-    out |= {chr(code): " " for code in SPACES}
-    for seen, kept in SAME_SHAPE:
-        out |= dict(zip(seen, kept, strict=True))
-    for seen, kept in [*out.items()]:  # a full-width form of a look-alike ends where the look-alike ends
-        out[seen] = out.get(kept, kept)
-    return out
+                whole[chr(code)] = kept
+    whole |= {"ﾞ": "゙", "ﾟ": "゚"}  # half-width voicing marks compose with what they follow
+    whole |= common
+    for seen, kept in [*whole.items()]:  # a full-width form of a look-alike ends where the look-alike ends
+        whole[seen] = whole.get(kept, kept)
+    return {c: whole[c] for c in common}, whole
 
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _class(codes: list[int]) -> str:
+    """A regular expression's class of code points, neighbours joined to ranges."""
+    ranges: list[list[int]] = []
+    for code in sorted(set(codes)):
+        if ranges and code == ranges[-1][1] + 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"\\x{{{low:X}}}-\\x{{{high:X}}}" for low, high in ranges) + "]"
+
+
 @lru_cache(maxsize=8)
 def form_sql(column: str) -> str:
-    """The DuckDB expression of the form of ``column``; null stays null."""
-    chars = character_map()
-    hidden = "".join(f"\\x{{{low:X}}}-\\x{{{high:X}}}" for low, high in INVISIBLE)
-    text = f"replace({column}, chr(13) || chr(10), chr(10))"
-    text = f"regexp_replace({text}, '[{hidden}]', '', 'g')"
+    """The DuckDB expression of the form of ``column``; null stays null.
+
+    DuckDB's ``translate`` sets up its map anew for every row, so a text goes through the smallest map that
+    has all of its characters.
+    """
+    common, whole = character_maps()
+    hidden = [code for low, high in INVISIBLE for code in range(low, high + 1)]
+    rare = [13, *(ord(c) for c in whole if c not in common), *(ord(c) for c, _ in LIGATURES)]
+
+    def mapped(text: str, chars: dict[str, str]) -> str:
+        text = f"regexp_replace({text}, '{_class(hidden)}', '', 'g')"
+        return f"nfc_normalize(translate(nfc_normalize({text}), {_quoted(''.join(chars))}, {_quoted(''.join(chars.values()))}))"
+
+    full = f"replace({column}, chr(13) || chr(10), chr(10))"
     for seen, kept in LIGATURES:
-        text = f"replace({text}, {_quoted(seen)}, {_quoted(kept)})"
-    text = f"translate(nfc_normalize({text}), {_quoted(''.join(chars))}, {_quoted(''.join(chars.values()))})"
-    return f"nfc_normalize({text})"
+        full = f"replace({full}, {_quoted(seen)}, {_quoted(kept)})"
+    return f"""CASE WHEN NOT regexp_matches({column}, '{_class([*hidden, *rare, *map(ord, common)])}') THEN nfc_normalize({column})
+        WHEN NOT regexp_matches({column}, '{_class(rare)}') THEN {mapped(column, common)}
+        ELSE {mapped(full, whole)} END"""
 
 
 def _with_form(text: str, out: str, query: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
