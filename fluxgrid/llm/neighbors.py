@@ -131,7 +131,7 @@ def nearest(queries: DataFrame, query_key: str, query_vector: str, rows: DataFra
     radius = int(RADIUS * bits)
     masks = [sum(1 << b for b in at) for d in range(radius // SUBSTRINGS + 1) for at in combinations(range(width), d)]
     share = min(1.0, SAMPLE / max(n, 1))
-    sample = rows.where(F.xxhash64("found", F.lit("sample")) <= int(-spread + share * (2 * spread - 1))).select("cv").limit(2 * SAMPLE).toArrow()
+    sample = rows.where(F.xxhash64("found", F.lit("sample")) <= min(spread - 1, int(share * 2 * spread) - spread)).select("cv").limit(2 * SAMPLE).toArrow()
     rotation = learn_rotation(unit_vectors(sample.column("cv"), dim)[1], bits)
     encode = _encoder(rotation, dim, width)
     # Ids are hashes: a collision only adds a candidate.
