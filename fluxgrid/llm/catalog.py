@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxgrid.llm import boilerplate, conversations, neighbors, scanned, visual_form
+from fluxgrid.llm import boilerplate, conversations, neighbors, quality, scanned, visual_form
 from fluxgrid.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,19 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return scanned.faults(read_table(spark, folder, "ocr_line"))
 
 
+@_query
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents most of whose characters stand outside sentences."""
+    statistics = quality.text_statistics(read_table(spark, folder, "documents"))
+    return quality.not_prose(statistics).select(F.col("key").alias("doc_id"))
+
+
+@_query
+def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics of each document's text, their percentiles and z-scores within the language, and the flagged tails."""
+    return quality.with_tails(quality.text_statistics(read_table(spark, folder, "documents"))).withColumnRenamed("key", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
