@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxgrid.llm import boilerplate, conversations, neighbors, quality, scanned, visual_form
+from fluxgrid.llm import boilerplate, conversations, mixing, neighbors, packing, quality, scanned, tokens, visual_form
 from fluxgrid.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,35 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return scanned.faults(read_table(spark, folder, "ocr_line"))
 
 
+def _document_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.with_tokens(read_table(spark, folder, "documents").select("doc_id", "source", "text"), "text")
+
+
+@_query
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of each document or piece for each capacity, and the room it leaves."""
+    return packing.pack(_document_sizes(spark, folder), read_table(spark, folder, "pack_capacity"))
+
+
+@_query
+def p6_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers and unused space by capacity."""
+    capacities = read_table(spark, folder, "pack_capacity")
+    return packing.summary(packing.pack(_document_sizes(spark, folder), capacities), capacities)
+
+
+@_query
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the mixture with their repeats."""
+    return mixing.mix(_document_sizes(spark, folder), read_table(spark, folder, "mix_target"))[0]
+
+
+@_query
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target, granted and actual share of each source."""
+    return mixing.mix(_document_sizes(spark, folder), read_table(spark, folder, "mix_target"))[1]
+
+
 @_query
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents most of whose characters stand outside sentences."""
