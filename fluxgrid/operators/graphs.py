@@ -32,3 +32,65 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node",
         labels = lower.select("node", F.col("next").alias("component"))
         if done:
             return labels.withColumnRenamed("node", node)
+
+
+def property_graph(questions: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the question set: label, identity, name; type, from_label, from_id, to_label, to_id.
+
+    Questions point to the defects they ask about and the processes they suspect, to the sources that answer
+    them; sources point to their publisher. Keys are unique: repeated rows merge, the last name in order wins.
+    """
+    q = questions.dropDuplicates(["query_id"])
+    part = lambda label, ident, name: lambda df: df.select(F.lit(label).alias("label"), ident.alias("identity"), name.alias("name"))
+    defects, processes = q.select("query_id", F.explode("defect_ids").alias("x")), q.select("query_id", F.explode("process_ids").alias("x"))
+    gold = q.select("query_id", F.explode(F.array_distinct("gold_sources")).alias("x"))
+    nodes = [
+        part("Question", F.col("query_id"), F.col("query_type"))(q), part("Defect", F.col("x"), F.replace("x", F.lit("_"), F.lit(" ")))(defects), part("Process", F.col("x"), F.col("x"))(processes),
+        part("Source", F.col("source_id"), F.col("title"))(sources), part("Organization", F.col("organization"), F.col("organization"))(sources.where("organization IS NOT NULL")),
+    ]
+    nodes = _union(nodes).where("identity IS NOT NULL").groupBy("label", "identity").agg(F.max("name").alias("name"))
+    link = lambda kind, a, ai, b, bi: lambda df: df.select(F.lit(kind).alias("type"), F.lit(a).alias("from_label"), ai.alias("from_id"), F.lit(b).alias("to_label"), bi.alias("to_id"))
+    edges = [
+        link("ASKS_ABOUT", "Question", F.col("query_id"), "Defect", F.col("x"))(defects), link("SUSPECTS", "Question", F.col("query_id"), "Process", F.col("x"))(processes),
+        link("ANSWERED_BY", "Question", F.col("query_id"), "Source", F.col("x"))(gold), link("PUBLISHED_BY", "Source", F.col("source_id"), "Organization", F.col("organization"))(sources),
+    ]
+    edges = _union(edges).where("from_id IS NOT NULL AND to_id IS NOT NULL").distinct()
+    return nodes, edges
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def hop(paths: DataFrame, edges: DataFrame, kind: str, start: str, end: str, backward: bool = False, optional: bool = False) -> DataFrame:
+    """``paths`` extended by one edge of a type from column ``start`` to a new column ``end``."""
+    a, b = ("to_id", "from_id") if backward else ("from_id", "to_id")
+    step = edges.where(F.col("type") == kind).select(F.col(a).alias(start), F.col(b).alias(end))
+    return paths.join(step, start, "left" if optional else "inner")
+
+
+def cause_paths(edges: DataFrame) -> DataFrame:
+    """defect, process, organization, questions, sources: Defect <- Question -> Process, -> Source, -> Organization if any.
+
+    A multi-hop path query: two inner hops from the question, then an optional one; paths are counted by
+    their ends.
+    """
+    start = edges.where("type = 'ASKS_ABOUT'").select(F.col("to_id").alias("defect"), F.col("from_id").alias("question"))
+    paths = hop(hop(start, edges, "SUSPECTS", "question", "process"), edges, "ANSWERED_BY", "question", "source")
+    paths = hop(paths, edges, "PUBLISHED_BY", "source", "organization", optional=True)
+    return paths.groupBy("defect", "process", "organization").agg(F.countDistinct("question").alias("questions"), F.countDistinct("source").alias("sources"))
+
+
+def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows and fingerprint of a table, in no order: row hashes summed up by ranges of the hash, then chained.
+
+    Whole tables never meet in one task: each of 256 ranges adds up its rows' hashes exactly (as decimals).
+    """
+    h = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns)), 256)
+    parts = rows.select(h.alias("h")).groupBy(F.substring("h", 1, 2).alias("r"))
+    parts = parts.agg(F.count("*").alias("n"), F.sum(F.conv(F.substring("h", 3, 12), 16, 10).cast("decimal(38,0)")).alias("s"))
+    line = F.concat_ws(":", "r", F.col("n").cast("string"), F.col("s").cast("string"))
+    return parts.agg(F.sum("n").alias("n_rows"), F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "|"), 256).alias("fingerprint"))
