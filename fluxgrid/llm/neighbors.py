@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxgrid.operators.retrieval import best, dense_topk, unit_vectors
 from fluxgrid.sources.scratch import cut
 
 #: Rows, at most about twice as many, on which the rotation is learned.
@@ -28,8 +29,6 @@ SUBSTRINGS = 4
 RADIUS = 0.172
 #: Candidates further away, as a share of the bits, aren't reranked, nor those further than the k-th plus SLACK.
 FAR, SLACK = 0.25, 0.08
-#: Queries that are scanned exactly at a time.
-BLOCK = 1_000
 
 
 def learn_rotation(sample: np.ndarray, bits: int, rounds: int = 30, seed: int = 7) -> np.ndarray:
@@ -44,21 +43,6 @@ def learn_rotation(sample: np.ndarray, bits: int, rounds: int = 30, seed: int =
     return np.concatenate(parts, axis=1)[:, :bits].astype(np.float32)
 
 
-def unit_vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of usable vectors (not null, ``dim`` finite values, not all zero), and the vectors at length 1."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    ends = column.offsets.to_numpy()
-    right = np.flatnonzero((np.diff(ends) == dim) & column.is_valid().to_numpy(zero_copy_only=False))
-    values = column.values.to_numpy(zero_copy_only=False).astype(np.float64)  # null values become NaN
-    rows = values[ends[right][:, None] + np.arange(dim)] if len(right) else np.zeros((0, dim))
-    with np.errstate(over="ignore", invalid="ignore"):
-        scale = np.abs(rows).max(axis=1, initial=0)
-        fine = np.isfinite(rows).all(axis=1) & (scale > 0)
-        rows = rows[fine] / scale[fine][:, None]
-    return right[fine], rows / np.linalg.norm(rows, axis=1, keepdims=True)
-
-
 def _encoder(rotation: np.ndarray, dim: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = (1 << np.arange(width)).astype(np.int64)
@@ -82,38 +66,6 @@ def _cosines(dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return measure
 
 
-def _best(scored: DataFrame, k: int) -> DataFrame:
-    """The k best of each query; a pair that occurs more than once counts with its highest cosine."""
-    scored = scored.groupBy("query", "found").agg(F.max("cosine").alias("cosine"))
-    order = Window.partitionBy("query").orderBy(F.desc("cosine"), "found")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def exact_neighbors(queries: DataFrame, rows: DataFrame, k: int, dim: int) -> DataFrame:
-    """Brute force: query, found, cosine, rank. Queries (query, qv) go out in blocks of BLOCK, each against all rows."""
-    empty = queries.sparkSession.createDataFrame([], "query string, found string, cosine double")
-    out, asked = [empty], cut(queries.select("query", "qv", (F.row_number().over(Window.orderBy("query")) - 1).alias("n")), "asked")
-    for block in range(-(-asked.count() // BLOCK)):
-        taken = asked.where(F.floor(F.col("n") / BLOCK) == block).toArrow()
-        at, unit = unit_vectors(taken.column("qv"), dim)
-        names = [taken.column("query")[int(i)].as_py() for i in at]
-
-        def scan(batches: Iterator[pa.RecordBatch], names=names, unit=unit) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found, vectors = unit_vectors(batch.column("cv"), dim)
-                near = unit @ vectors.T
-                # All that reach the batch's k-th: ties are settled by name later.
-                least = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k] if near.shape[1] > k else np.full((len(near), 1), -2.0)
-                q, c = np.nonzero(near >= least)
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q], pa.string()), batch.column("found").take(pa.array(found[c])), pa.array(near[q, c])], ["query", "found", "cosine"])
-
-        out.append(rows.select("found", "cv").mapInArrow(scan, "query string, found string, cosine double"))
-    whole = out[0]
-    for part in out[1:]:
-        whole = whole.unionByName(part)
-    return _best(whole, k)
-
-
 def nearest(queries: DataFrame, query_key: str, query_vector: str, rows: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, substring_bits: int | None = None) -> DataFrame:
     """query, found, cosine, rank: for each usable query vector the ``k`` most similar rows.
 
@@ -147,14 +99,15 @@ def nearest(queries: DataFrame, query_key: str, query_vector: str, rows: DataFra
     ball = lambda j: F.transform(flips, lambda x: place(j, F.col("asked")[j].bitwiseXOR(x)))
     probes = F.explode(F.flatten(F.array(*(ball(j) for j in range(SUBSTRINGS)))))
     apart = sum((F.bit_count(F.col("asked")[j].bitwiseXOR(F.col("code")[j])) for j in range(1, SUBSTRINGS)), F.bit_count(F.col("asked")[0].bitwiseXOR(F.col("code")[0])))
-    met = asked.select("q", "asked", probes.alias("place")).join(coded.select("id", "code", entry.alias("place")), "place")
+    # Spark sizes the probes by the queries they come from and would broadcast them; they are merged instead.
+    met = asked.select("q", "asked", probes.alias("place")).hint("merge").join(coded.select("id", "code", entry.alias("place")), "place")
     met = met.withColumn("apart", apart).where(F.col("apart") <= int(FAR * bits)).select("q", "id", "apart").distinct()
     met = _near(met, k, int(SLACK * bits))
     vectors = rows.select(F.xxhash64("found", "cv").alias("id"), "found", "cv")
     pairs = met.join(vectors, "id").join(queries.select(F.xxhash64("query", "qv").alias("q"), "query", "qv").distinct(), "q")
-    hits = cut(_best(pairs.select("query", "found", "qv", "cv").mapInArrow(_cosines(dim), "query string, found string, cosine double"), k), "hits")
+    hits = cut(best(pairs.select("query", "found", "qv", "cv").mapInArrow(_cosines(dim), "query string, found string, cosine double"), k), "hits")
     usable = queries.select("query", "qv").distinct().join(hits.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") >= k), "query", "left_anti")
-    rest = exact_neighbors(usable, rows, k, dim)
+    rest = dense_topk(usable, rows, k, dim)
     return hits.join(rest.select("query").distinct(), "query", "left_anti").unionByName(rest).select("query", "found", "cosine", "rank")
 
 
