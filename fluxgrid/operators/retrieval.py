@@ -113,8 +113,8 @@ def fuse(dense: DataFrame, sparse: DataFrame, keep: int = 10) -> DataFrame:
 
 def rerank(fused: DataFrame, scores: DataFrame) -> DataFrame:
     """``fused`` with rerank_rank by scores (query, found, overlap); ties keep the fused order."""
-    order = Window.partitionBy("query").orderBy(F.desc(F.coalesce("overlap", F.lit(0.0))), "rank", "found")
-    return fused.join(scores, ["query", "found"], "left").withColumn("rerank_rank", F.row_number().over(order))
+    order = Window.partitionBy("query").orderBy(F.desc("overlap"), "rank", "found")
+    return fused.join(scores, ["query", "found"], "left").na.fill(0.0, ["overlap"]).withColumn("rerank_rank", F.row_number().over(order))
 
 
 def rank_fusion(reranked: DataFrame, weight: float | Column = 0.73) -> DataFrame:

@@ -14,7 +14,7 @@ RULES = {
     "layout_line": ("line_id", {"box_in_page": "least(x0, y0, x1, y1) >= 0 AND greatest(x0, y0, x1, y1) <= 1", "box_ordered": "x0 <= x1 AND y0 <= y1", "page_of_source": "left(page_id, length(source_id) + 2) = concat(source_id, ':p')", "known_source_kind": "source IN ('native', 'ocr')", "confidence_scale": "confidence IS NULL OR confidence BETWEEN 0 AND 1"}),
     "qdrant_input": ("chunk_id", {"prefix": "left(chunk_id, length(source_id) + 3) = concat(source_id, ':c_')", "page_range": "pdf_page_start <= pdf_page_end"}),
     "retriever_main": ("query_id", {"language_known": "language IN ('en', 'zh', 'de')", "answerable_known": "answerable IS NOT NULL", "text_shown": "length(query) > 0"}),
-    "documents": ("doc_id", {"length_right": "n_chars = length(text)", "source_known": "source IS NOT NULL", "text_shown": "length(trim(text)) > 0"}),
+    "documents": ("doc_id", {"length_right": "n_chars = length(text)", "source_known": "source IS NOT NULL", "text_shown": "length(text) > 0"}),
 }
 KEYS = {"layout_line": "line_id", "qdrant_input": "chunk_id", "conversations": "conversation_id"}
 SQL = " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{r}' AS rule, {k}::VARCHAR AS key FROM {t} WHERE NOT coalesce({c}, false)" for t, (k, rules) in RULES.items() for r, c in rules.items())

@@ -73,8 +73,8 @@ def _page_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, folder: str) -> DataFrame:
-    rows = read_table(spark, folder, "retriever_main").dropDuplicates(["query_id"])
-    return rows.select(F.col("query_id").alias("query"), tx.terms(F.col("query")).alias("terms"))
+    rows = read_table(spark, folder, "retriever_main").dropDuplicates(["query_id"]).withColumnRenamed("query", "text")
+    return rows.select(F.col("query_id").alias("query"), tx.terms(F.col("text")).alias("terms"))
 
 
 TERMS = """list_concat(regexp_extract_all(lower({t}), '[a-z0-9äöüß]+'), CASE WHEN length(regexp_replace({t}, '[^\\x{{4E00}}-\\x{{9FFF}}]', '', 'g')) >= 2

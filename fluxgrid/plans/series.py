@@ -59,7 +59,7 @@ def nearest_route(spark: SparkSession, folder: str) -> DataFrame:
     return series.nearest_route(points, routes, "nation").withColumn("volume_gap", F.round("volume_gap", 6))
 
 
-@query("""WITH p AS (SELECT user_id, epoch(ts)::BIGINT AS t0, avg(value) AS v0 FROM events WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY ALL),
+@query("""WITH p AS (SELECT user_id, floor(epoch(ts))::BIGINT AS t0, avg(value) AS v0 FROM events WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY ALL),
     s AS (SELECT *, lead(t0) OVER w AS t1, lead(v0) OVER w AS v1 FROM p WINDOW w AS (PARTITION BY user_id ORDER BY t0)),
     g AS (SELECT *, unnest(range((ceil(t0 / 21600.0) * 21600)::BIGINT, coalesce(t1, t0 + 1), 21600)) AS t FROM s)
     SELECT user_id, t, round(v0 + coalesce((v1 - v0) * (t - t0) / (t1 - t0), 0), 4) AS value FROM g""")
