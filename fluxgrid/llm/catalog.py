@@ -72,6 +72,12 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return scanned.faults(read_table(spark, folder, "ocr_line"))
 
 
+@_query
+def p5_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """Scanned pages as repaired, continuous paragraphs."""
+    return scanned.paragraphs(read_table(spark, folder, "ocr_line"))
+
+
 def _document_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.with_tokens(read_table(spark, folder, "documents").select("doc_id", "source", "text"), "text")
 

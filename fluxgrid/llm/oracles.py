@@ -1,11 +1,15 @@
 """DuckDB SQL of those queries that plain SQL can express."""
 
+from fluxgrid.llm.conversations import ROLE_WORDS
 from fluxgrid.llm.visual_form import form_sql
 
 _FORMS = " UNION ALL ".join(
     f"SELECT DISTINCT '{table}' AS table_name, {key} AS key, {text} AS text, {form_sql(text)} AS form FROM {table}"
     for table, key, text in (("ocr_result", "page_id", "text"), ("retriever_main", "query_id", "query"))
 )
+_ROLE = "CASE " + " ".join(f"WHEN lower(trim(role, ' ')) IN ({', '.join(repr(w) for w in words)}) THEN '{kept}'" for kept, words in ROLE_WORDS.items()) + " END"
+_SHOWN = "regexp_replace(coalesce(content, ''), '[\\s\\x{A0}\\x{AD}\\x{200B}-\\x{200F}\\x{2060}-\\x{206F}\\x{3000}\\x{FEFF}]+', '', 'g') <> ''"
+_USABLE = "{v} IS NOT NULL AND len({v}) = 64 AND len(list_filter({v}, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter({v}, lambda x: x <> 0)) > 0"
 
 ORACLES: dict[str, str] = {
     "p1_found": f"""
@@ -14,4 +18,28 @@ ORACLES: dict[str, str] = {
         FROM f a JOIN f b ON a.table_name = b.table_name AND a.form = b.form AND a.key < b.key AND a.text <> b.text
     """,
     "p1_forms": f"SELECT DISTINCT table_name, key, form FROM ({_FORMS})",
+    "p2_found": f"""
+        WITH m AS (SELECT *, lower(trim(conversation_id, ' ')) AS c, row_number() OVER (PARTITION BY lower(trim(conversation_id, ' ')), coalesce(lower(trim(message_id, ' ')), row_id::VARCHAR) ORDER BY row_id) AS copy
+            FROM (SELECT DISTINCT row_id, message_id, conversation_id, role, content, created_at FROM messages) WHERE conversation_id IS NOT NULL),
+        r AS (SELECT c, row_id, message_id, {_ROLE} AS role, {_SHOWN} AS shown, CASE WHEN regexp_full_match(trim(created_at, ' '), '\\d{{12,13}}') THEN created_at::BIGINT * 1000
+            WHEN regexp_matches(created_at, '^\\d{{4}}-\\d\\d-\\d\\d[T ]\\d\\d:\\d\\d') THEN epoch_us(TRY_CAST(created_at AS TIMESTAMP)) END AS instant FROM m WHERE copy = 1),
+        n AS (SELECT *, row_number() OVER w AS turn, first_value(role) OVER w AS opening, count(*) OVER (PARTITION BY c) AS n FROM r WINDOW w AS (PARTITION BY c ORDER BY instant, row_id)),
+        k AS (SELECT c FROM n GROUP BY c HAVING bool_and(coalesce(instant IS NOT NULL AND role IS NOT NULL AND shown AND CASE WHEN opening = 'system' AND turn = 1 THEN true
+            WHEN (turn - CASE WHEN opening = 'system' THEN 1 ELSE 0 END) % 2 = 1 THEN role = 'user' ELSE role = 'assistant' END, false))
+            AND (any_value(n) - max(CASE WHEN opening = 'system' THEN 1 ELSE 0 END)) % 2 = 0 AND any_value(n) - max(CASE WHEN opening = 'system' THEN 1 ELSE 0 END) >= 2)
+        SELECT v.conversation_id, n.turn::INT AS turn, n.message_id FROM n JOIN k USING (c) JOIN (SELECT lower(trim(conversation_id, ' ')) AS c, min(conversation_id) AS conversation_id FROM conversations GROUP BY 1) v USING (c)
+    """,
+    "p3_found": f"""
+        WITH l AS (SELECT line_id, page_id, source_id, nullif(trim(regexp_replace(regexp_replace(replace(lower(form), 'ß', 'ss'), '\\s+', ' ', 'g'), '\\p{{Nd}}+', '0', 'g'), ' '), '') AS f
+            FROM (SELECT DISTINCT line_id, page_id, source_id, {form_sql('text')} AS form FROM layout_line)),
+        s AS (SELECT source_id, f, count(DISTINCT page_id) AS pages FROM l WHERE f IS NOT NULL GROUP BY ALL),
+        p AS (SELECT source_id, count(DISTINCT page_id) AS total FROM l GROUP BY source_id)
+        SELECT DISTINCT line_id FROM l JOIN s USING (source_id, f) JOIN p USING (source_id) WHERE pages >= 4 AND pages >= 0.08 * total
+    """,
+    "p4_found": f"""
+        WITH q AS (SELECT DISTINCT query_id, dense::DOUBLE[] AS v FROM query_vectors WHERE {_USABLE.format(v="dense")}),
+        c AS (SELECT DISTINCT chunk_id, embedding::DOUBLE[] AS v FROM qdrant_input WHERE {_USABLE.format(v="embedding")}),
+        s AS (SELECT query_id, chunk_id, max(list_cosine_similarity(q.v, c.v)) AS score FROM q, c GROUP BY ALL)
+        SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM s) WHERE n <= 10
+    """,
 }

@@ -160,8 +160,12 @@ def corrections(types: DataFrame, ranked: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def misread_words(found: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(page_id, line_no, w, meant) of wrongly read words and numbers, and the vocabulary (w, n)."""
+def misread_words(found: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Wrongly read words and numbers: where they stand, what to put there, and which cut words keep their hyphen.
+
+    (page_id, line_no) of the lines, (page_id, line_no, w, meant) of the corrections, a cut word as a whole at
+    the line where it begins, and (page_id, line_no) of lines whose cut word is a compound with a hyphen.
+    """
     types = cut(found.groupBy("w").agg(F.count("*").alias("n")), "types")
     ranked = cut(confusions(types), "ranked")
     wrong = cut(corrections(types, ranked), "wrong")
@@ -173,12 +177,15 @@ def misread_words(found: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFr
     both = cuts.where("meant IS NOT NULL")
     same = lambda a, b: F.expr(f"size(filter(sequence(1, least(length({a}), length({b}))), i -> substr({a}, 1, i) = substr({b}, 1, i)))")
     both = both.withColumn("ahead", same("w", "meant")).withColumn("behind", same("reverse(w)", "reverse(meant)"))
-    upper = both.where("ahead < length(left)").select("page_id", "line_no", F.col("left").alias("w"), F.lit(None).cast("string").alias("meant"))
-    lower = both.where("behind < length(right)").select(F.col("next_page").alias("page_id"), F.col("next_line").alias("line_no"), F.col("right").alias("w"), F.lit(None).cast("string").alias("meant"))
+    upper = both.where("ahead < length(left)").select("page_id", "line_no")
+    lower = both.where("behind < length(right)").select(F.col("next_page").alias("page_id"), F.col("next_line").alias("line_no"))
     apart = cuts.where("meant IS NULL AND known IS NULL").drop("w", "meant")
     named = wrong.where("length(w) >= 4")
     left = apart.withColumnRenamed("left", "w").join(named, "w").select("page_id", "line_no", "w", "meant")
     right = apart.withColumnRenamed("right", "w").join(named, "w").select(F.col("next_page").alias("page_id"), F.col("next_line").alias("line_no"), "w", "meant")
+    # A hyphen was the word's own if its parts stand alone elsewhere and the whole never does.
+    alone = cut(found.where("right IS NULL").groupBy("w").agg(F.count("*").alias("n")).where("n >= 3").select("w"), "alone")
+    compound = cuts.join(alone, "w", "left_anti").join(alone.withColumnRenamed("w", "left"), "left", "left_semi").join(alone.withColumnRenamed("w", "right"), "right", "left_semi").select("page_id", "line_no").distinct()
     # A number is wrongly read if all its other characters are ranked confusions of a digit.
     sign = ranked.where("length(a) = 1 AND length(b) = 1 AND (a RLIKE '[0-9]') <> (b RLIKE '[0-9]')")
     sign = sign.select(F.when(F.col("a").rlike("[0-9]"), F.col("b")).otherwise(F.col("a")).alias("c"), F.when(F.col("a").rlike("[0-9]"), F.col("a")).otherwise(F.col("b")).alias("d"), "support")
@@ -187,8 +194,9 @@ def misread_words(found: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFr
     total = lines.agg(F.count("*").alias("lines"))
     numbers = numbers.where(r"meant RLIKE '^[0-9]+$'").join(total).where("n * 20 < lines").join(wrong.select("w"), "w", "left_anti").select("w", "meant")
     digits = found.where("right IS NULL").join(numbers, "w").select("page_id", "line_no", "w", "meant")
-    parts = [single, upper, lower, left, right, digits]
-    return reduce(DataFrame.unionByName, parts).distinct(), types
+    fixes = [single, both.select("page_id", "line_no", "w", "meant"), left, digits]
+    places = [x.select("page_id", "line_no") for x in (single, upper, lower, left, right, digits)]
+    return reduce(DataFrame.unionByName, places).distinct(), reduce(DataFrame.unionByName, fixes).distinct(), compound
 
 
 def misread_han(placed: DataFrame) -> DataFrame:
@@ -230,6 +238,44 @@ def faults(lines: DataFrame) -> DataFrame:
     placed = cut(placed_lines(ocr_lines(lines)), "flow")
     running = placed.where("running").select("page_id", "line_no", F.lit("running").alias("kind"))
     hyphen = placed.where(is_cut(F.col("looks"), F.col("after.looks"))).select("page_id", "line_no", F.lit("hyphen").alias("kind"))
-    found, _ = misread_words(cut(tokens(placed), "tokens"), placed)
-    misread = found.select("page_id", "line_no").unionByName(misread_han(placed).select("page_id", "line_no")).distinct()
+    found, _, _ = misread_words(cut(tokens(placed), "tokens"), placed)
+    misread = found.unionByName(misread_han(placed).select("page_id", "line_no")).distinct()
     return running.unionByName(hyphen).unionByName(misread.withColumn("kind", F.lit("misread")))
+
+
+def _fixed(text: Column) -> Column:
+    """``text`` with the corrections of its line (fixes) applied to whole words, and to Chinese characters in their surroundings."""
+    edge = r"[\\p{L}\\p{N}|]"
+    word = lambda w: f"concat('(?<!{edge})\\\\Q', {w}, '\\\\E(?!{edge})')"
+    capital = lambda w: f"concat(upper(left({w}, 1)), substr({w}, 2))"
+    rule = f"""aggregate(coalesce(fixes, array()), looks, (t, f) -> CASE WHEN f.w RLIKE '[{HAN}]' THEN replace(t, f.w, f.meant)
+        ELSE regexp_replace(regexp_replace(t, {word(capital('f.w'))}, {capital('f.meant')}), concat('(?i)', {word('f.w')}), f.meant) END)"""
+    return F.expr(rule.replace("looks", "line_text"))
+
+
+def paragraphs(lines: DataFrame) -> DataFrame:
+    """page_id, paragraph, text: the body of each page, repaired, in continuous paragraphs.
+
+    Edge lines are left out. A cut word stands whole in the line where it begins and is gone from the next;
+    compounds that were cut at their own hyphen keep it. An indented line begins a paragraph; lines of
+    Chinese are joined without a blank. Pages without a body have no rows.
+    """
+    placed = cut(placed_lines(ocr_lines(lines)), "flow")
+    _, fixes, kept = misread_words(cut(tokens(placed), "tokens"), placed)
+    fixes = fixes.unionByName(misread_han(placed)).groupBy("page_id", "line_no").agg(F.sort_array(F.collect_set(F.struct((-F.length("w")).alias("o"), "w", "meant"))).alias("fixes"))
+    after, before = F.col("after.looks"), F.col("before.looks")
+    rows = placed.where("NOT running").join(kept.withColumn("hyphen", F.lit("-")), ["page_id", "line_no"], "left").join(fixes, ["page_id", "line_no"], "left")
+    first = rf"(?i)^\W*({WORD})"
+    text = F.when(is_cut(before, F.col("looks")), F.regexp_replace("looks", first, "")).otherwise(F.col("looks"))
+    goes_on = is_cut(F.col("looks"), after)
+    text = F.when(goes_on, F.concat(F.regexp_replace(text, HYPHENS, ""), F.coalesce("hyphen", F.lit("")), F.regexp_extract(after, first, 1))).otherwise(text)
+    rows = rows.withColumn("line_text", F.trim(text)).withColumn("line_text", _fixed(F.col("line_text")))
+    page = Window.partitionBy("page_id")
+    order = page.orderBy("line_no")
+    indented = F.coalesce(F.col("x0") > F.min("x0").over(page) + 0.015, F.lit(False))
+    rows = rows.withColumn("paragraph", F.sum(F.when(indented, 1).otherwise(0)).over(order))
+    # Lines are folded one by one, in order, with what stands between them decided by their ends.
+    item = F.sort_array(F.collect_list(F.struct("line_no", "line_text")))
+    rows = rows.where("line_text <> ''").groupBy("page_id", "paragraph").agg(item.alias("items"))
+    joined = f"""aggregate(items.line_text, '', (s, t) -> CASE WHEN s = '' THEN t WHEN t RLIKE '^[-,.;:!?)，。；：！？）]' OR s RLIKE '[{HAN}，。；：！？）]$' OR (t RLIKE '^[{HAN}]' AND s RLIKE '[{HAN}0-9]$') THEN concat(s, t) ELSE concat(s, ' ', t) END)"""
+    return rows.select("page_id", F.col("paragraph").cast("int").alias("paragraph"), F.expr(joined).alias("text"))
