@@ -13,8 +13,9 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def broken_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """file, line of JSON lines that don't parse, for a report instead of a failure."""
-    rows = spark.read.schema(schema + ", _broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_broken").alias("line")).where("line IS NOT NULL")
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    parsed = F.from_json("line", schema + ", _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    return lines.where(parsed.getField("_broken").isNotNull())
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
