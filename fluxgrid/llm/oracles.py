@@ -22,7 +22,7 @@ ORACLES: dict[str, str] = {
         WITH m AS (SELECT *, lower(trim(conversation_id, ' ')) AS c, row_number() OVER (PARTITION BY lower(trim(conversation_id, ' ')), coalesce(lower(trim(message_id, ' ')), row_id::VARCHAR) ORDER BY row_id) AS copy
             FROM (SELECT DISTINCT row_id, message_id, conversation_id, role, content, created_at FROM messages) WHERE conversation_id IS NOT NULL),
         r AS (SELECT c, row_id, message_id, {_ROLE} AS role, {_SHOWN} AS shown, CASE WHEN regexp_full_match(trim(created_at, ' '), '\\d{{12,13}}') THEN created_at::BIGINT * 1000
-            WHEN regexp_matches(created_at, '^\\d{{4}}-\\d\\d-\\d\\d[T ]\\d\\d:\\d\\d') THEN epoch_us(TRY_CAST(created_at AS TIMESTAMP)) END AS instant FROM m WHERE copy = 1),
+            WHEN regexp_matches(created_at, '^\\d{{4}}-\\d\\d-\\d\\d[T ]\\d\\d:\\d\\d') THEN epoch_us(TRY_CAST(CASE WHEN regexp_matches(trim(created_at, ' '), '(Z|[+-]\\d\\d:?\\d\\d)$') THEN trim(created_at, ' ') ELSE trim(created_at, ' ') || 'Z' END AS TIMESTAMPTZ)) END AS instant FROM m WHERE copy = 1),
         n AS (SELECT *, row_number() OVER w AS turn, first_value(role) OVER w AS opening, count(*) OVER (PARTITION BY c) AS n FROM r WINDOW w AS (PARTITION BY c ORDER BY instant, row_id)),
         k AS (SELECT c FROM n GROUP BY c HAVING bool_and(coalesce(instant IS NOT NULL AND role IS NOT NULL AND shown AND CASE WHEN opening = 'system' AND turn = 1 THEN true
             WHEN (turn - CASE WHEN opening = 'system' THEN 1 ELSE 0 END) % 2 = 1 THEN role = 'user' ELSE role = 'assistant' END, false))

@@ -149,7 +149,7 @@ def corrections(types: DataFrame, ranked: DataFrame) -> DataFrame:
     """
     ways = cut(ranked.select(F.col("a").alias("m"), F.col("b").alias("to"), "support").unionByName(ranked.select(F.col("b").alias("m"), F.col("a").alias("to"), "support")), "confusions")
     meant = cut(types.where(r"NOT w RLIKE '[0-9|]' AND n >= 3").select(F.col("w").alias("x"), F.col("n").alias("often")), "meant")
-    open_, found = types.where(r"length(w) >= 3 OR (length(w) = 2 AND w RLIKE '[0-9|]')").where(r"NOT w RLIKE '^([0-9]+|[ivxlc]+)$'").select(F.col("w").alias("word"), F.col("n").alias("seen"), "w", F.lit(9e9).alias("rank")), []
+    open_, found = types.where(r"length(w) >= 3 OR (length(w) = 2 AND w RLIKE '[0-9|]')").where(r"NOT w RLIKE '^([0-9]+|(xc|xl|l?x{0,3})(ix|iv|v?i{0,3}))$'").select(F.col("w").alias("word"), F.col("n").alias("seen"), "w", F.lit(9e9).alias("rank")), []
     for _ in range(2):
         tried = _windows(open_, 0).join(ways, "m").select("word", "seen", F.expr("head || to || tail").alias("w"), F.least("rank", F.col("support").cast("double")).alias("rank"))
         tried = cut(tried.groupBy("word", "seen", "w").agg(F.max("rank").alias("rank")), "tried")
@@ -204,7 +204,7 @@ def misread_han(placed: DataFrame) -> DataFrame:
 
     Three characters in a row, across the lines of the body, are the words here. A confusion is trusted if
     the character meant gives a much more frequent row in at least half the surroundings of the character
-    seen, whether that stands first, in the middle or last.
+    seen, by their number on the pages, whether that stands first, in the middle or last.
     """
     before = F.coalesce(F.regexp_extract("before.looks", ".{0,2}$", 0), F.lit(""))
     after = F.coalesce(F.regexp_extract("after.looks", "^.{0,2}", 0), F.lit(""))
@@ -214,11 +214,11 @@ def misread_han(placed: DataFrame) -> DataFrame:
     types = cut(rows.where("i > b").groupBy("v").agg(F.count("*").alias("n")), "types")
     holes = types.selectExpr("v", "n", "explode(transform(sequence(1, 3), x -> struct(x AS x, substr(v, x, 1) AS c, substr(v, 1, x - 1) || '_' || substr(v, x + 1) AS rest))) AS s").select("v", "n", "s.*")
     meant = holes.where("n >= 3").select("rest", F.col("c").alias("a"), F.col("n").alias("often"))
-    explained = holes.join(meant, "rest").where(f"c <> a AND often >= {RATIO_HAN} * n").groupBy("a", "c", "x").agg(F.count("*").alias("k"))
-    all_ = holes.groupBy("c", "x").agg(F.count("*").alias("of"))
+    explained = holes.join(meant, "rest").where(f"c <> a AND often >= {RATIO_HAN} * n").groupBy("a", "c", "x").agg(F.sum("n").alias("k"), F.count("*").alias("kinds"))
+    all_ = holes.groupBy("c", "x").agg(F.sum("n").alias("of"))
     seen = explained.select("a", "c").distinct().join(all_, "c")
-    shares = seen.join(explained, ["a", "c", "x"], "left").groupBy("a", "c").agg(F.min(F.coalesce("k", F.lit(0)) / F.col("of")).alias("least"), F.sum(F.coalesce("k", F.lit(0))).alias("k"), F.sum("of").alias("of"))
-    trusted = shares.where(f"least >= 0.5 AND k > 0.6 * of AND k >= {SUPPORT}").groupBy("c").agg(F.max(F.struct("k", "a")).alias("best")).select("c", F.col("best.a").alias("a"))
+    shares = seen.join(explained, ["a", "c", "x"], "left").groupBy("a", "c").agg(F.min(F.coalesce("k", F.lit(0)) / F.col("of")).alias("least"), F.sum(F.coalesce("k", F.lit(0))).alias("k"), F.sum("of").alias("of"), F.sum(F.coalesce("kinds", F.lit(0))).alias("kinds"))
+    trusted = shares.where(f"least >= 0.5 AND k > 0.6 * of AND kinds >= {SUPPORT}").groupBy("c").agg(F.max(F.struct("k", "a")).alias("best")).select("c", F.col("best.a").alias("a"))
     trusted = cut(trusted, "trusted")
     table = trusted.agg(F.sort_array(F.collect_list(F.struct("c", "a"))).alias("l")).selectExpr("array_join(l.c, '') AS from", "array_join(l.a, '') AS to")
     often = types.select(F.col("v").alias("meant"), F.col("n").alias("often"))
