@@ -48,7 +48,7 @@ def _encoder(rotation: np.ndarray, dim: int, width: int) -> Callable[[Iterator[p
         weights = (1 << np.arange(width)).astype(np.int64)
         for batch in batches:
             rows, unit = unit_vectors(batch.column(1), dim)
-            bits = (unit.astype(np.float32) @ rotation > 0).reshape(len(rows), -1, width)
+            bits = (unit.astype(np.float32) @ rotation > 0).reshape(len(rows), rotation.shape[1] // width, width)
             code = pa.array((bits @ weights).astype(np.int32).ravel(), pa.int32())
             at = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * bits.shape[1])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.ListArray.from_arrays(at, code)], ["id", "code"])

@@ -67,7 +67,7 @@ def _counted(batches: Iterator[pa.RecordBatch], patterns: dict[str, str]) -> Ite
         flat, doc, length = flat.filter(pa.array(shown)), doc[shown], length[shown]
         c = {name: pc.count_substring_regex(flat, p).to_numpy(zero_copy_only=False).astype(np.int64) for name, p in patterns.items()}
         size = len(lines)
-        total = lambda x: np.bincount(doc, weights=x, minlength=size)
+        total = lambda x: np.bincount(doc, weights=x, minlength=size).astype(float)
         common = np.maximum(c["english"], c["german"])
         bound = ((common >= 1) & (common >= BOUND * c["words"]) & (c["words"] >= 2)) | ((c["han"] >= 4) & (c["chinese"] >= np.maximum(1, BOUND_HAN * c["han"])))
         # A line without such words still belongs to a sentence that runs on around it.
@@ -78,7 +78,9 @@ def _counted(batches: Iterator[pa.RecordBatch], patterns: dict[str, str]) -> Ite
         down[:-1] = bound[1:] & (doc[1:] == doc[:-1])
         first = np.ones(len(doc), bool)
         first[1:] = doc[1:] != doc[:-1]
-        heading = first & plain & (c["ends"] == 0) & (length <= 60)
+        last = np.ones(len(doc), bool)
+        last[:-1] = doc[1:] != doc[:-1]
+        heading = first & ~last & plain & (c["ends"] == 0) & (length <= 60) & (c["letters"] + c["space"] >= 0.9 * length)
         kept = bound | (plain & up & (down | (c["ends"] > 0))) | (plain & down & first) | heading
         letters, chars, words = total(c["letters"]), total(length), total(c["words"] + c["han"])
         part = lambda a, b: np.where(b > 0, a / np.maximum(b, 1), 0.0)
@@ -133,7 +135,7 @@ def with_tails(statistics: DataFrame) -> DataFrame:
     told = statistics.where("chars > 0")
     sketches = told.groupBy("language").agg(*(F.kll_sketch_agg_double(s).alias(s) for s in STATISTICS))
     # Documents of a language that can't be told are held against all others: the sketches merged.
-    pooled = sketches.agg(*(F.kll_merge_agg_double(s).alias(s) for s in STATISTICS)).withColumn("language", F.lit("und"))
+    pooled = sketches.groupBy(F.lit("und").alias("pool")).agg(*(F.kll_merge_agg_double(s).alias(s) for s in STATISTICS)).withColumnRenamed("pool", "language")
     sketches = sketches.where("language <> 'und'").unionByName(pooled)
     # A row per language: each statistic's quantiles at 0, 0.01 ... 1.
     grid = F.array(*(F.lit(i / 100) for i in range(101)))
