@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fluxgrid.sources.scratch import cut
+
 # Ranges of characters that do not show.
 INVISIBLE = [
     (0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5),
@@ -144,8 +146,9 @@ def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     rows = df.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
     rows = with_visual_form(rows, "t", "f").select("k", digest("t").alias("t"), digest("f").alias("f"))
-    rows = rows.groupBy("f", "t", "k").agg(F.lit(1).alias("_")).drop("_")
-    texts = rows.groupBy("f", "t").agg(F.lit(1).alias("_")).drop("_")
+    # Written once: everything below reads these three hashes and keys, not the texts again.
+    rows = cut(rows.distinct(), "forms")
+    texts = rows.select("f", "t").distinct()
     several = texts.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f")
     kept = rows.join(several, "f", "left_semi")
     texts = kept.select("f", "t").distinct()
