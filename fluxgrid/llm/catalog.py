@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluxgrid.llm import boilerplate, conversations, mixing, neighbors, packing, quality, scanned, tokens, visual_form
@@ -66,6 +66,17 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.col("query").alias("query_id"), F.col("found").alias("chunk_id"))
 
 
+@_query
+def p4_chunk_neighbors(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten most similar other chunks of every twentieth chunk (by a hash of its id, which is no number)."""
+    chunks = read_table(spark, folder, "qdrant_input")
+    asked = chunks.where(F.pmod(F.xxhash64("chunk_id"), F.lit(20)) == 0)
+    near = neighbors.nearest(asked, "chunk_id", "embedding", chunks, "chunk_id", "embedding", k=11).where("query <> found")
+    order = Window.partitionBy("query").orderBy("rank")
+    near = near.withColumn("rank", F.row_number().over(order)).where("rank <= 10")
+    return near.select(F.col("query").alias("chunk_id"), F.col("found").alias("neighbor_id"), "rank", F.round("cosine", 6).alias("cosine"))
+
+
 @_query
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of scanned pages with a fault, one row per kind."""
