@@ -75,7 +75,7 @@ def block_runs(spark: SparkSession, folder: str) -> DataFrame:
     return runs.select("page_id", "block_no", "block_type", "lines", "y0", "y1", F.sha2("text", 256).alias("text_hash"))
 
 
-@query(f"""
+HEADING_SQL = f"""
     WITH l AS (SELECT line_id, {single_line_sql('text')} AS t FROM {LINES}),
     m AS (SELECT *, regexp_extract(t, '^([1-9]\\d*(\\.\\d+){{0,5}})(\\s*)(.+)$', 1) AS num, regexp_extract(t, '^([1-9]\\d*(\\.\\d+){{0,5}})(\\s*)(.+)$', 3) AS gap, regexp_extract(t, '^([1-9]\\d*(\\.\\d+){{0,5}})(\\s*)(.+)$', 4) AS title,
         length(regexp_replace(t, '\\P{{L}}', '', 'g')) AS letters, length(regexp_replace(t, '[\\p{{L}}\\s]', '', 'g')) AS others, length(regexp_replace(t, '\\s', '', 'g')) AS shown FROM l),
@@ -85,14 +85,25 @@ def block_runs(spark: SparkSession, folder: str) -> DataFrame:
         WHEN num <> '' AND (TRY_CAST(regexp_extract(num, '^\\d+') AS BIGINT) > 99 OR NOT regexp_matches(title, '^\\p{{L}}') OR (gap = '' AND regexp_matches(title, '^[A-Za-z]'))) THEN 'numeric_noise'
         WHEN num <> '' AND regexp_matches(title, '^[a-z]') THEN 'sentence' WHEN num <> '' THEN 'numbered'
         WHEN regexp_matches(t, '{P["chapter"]}') OR regexp_matches(t, '{P["appendix"]}') THEN 'chapter' WHEN letters < 2 THEN 'insufficient_letters' WHEN others > 0.35 * shown THEN 'numeric_noise' ELSE 'unnumbered' END AS reason FROM m)
-    SELECT line_id, reason IN ('numbered', 'chapter', 'unnumbered') AS accepted, CASE reason WHEN 'numbered' THEN least(length(num) - length(replace(num, '.', '')) + 1, 6) WHEN 'chapter' THEN 1 WHEN 'unnumbered' THEN 1 END::INT AS level, reason FROM r""")
+    SELECT line_id, reason IN ('numbered', 'chapter', 'unnumbered') AS accepted, CASE reason WHEN 'numbered' THEN least(length(num) - length(replace(num, '.', '')) + 1, 6) WHEN 'chapter' THEN 1 WHEN 'unnumbered' THEN 1 END::INT AS level, reason FROM r"""
+
+
+@query(HEADING_SQL)
 def heading_decision(spark: SparkSession, folder: str) -> DataFrame:
     """Whether each layout line could be a heading, of which level, and why."""
     lines = read_table(spark, folder, "layout_line").dropDuplicates(["line_id"])
     return lines.select("line_id", tx.heading(F.col("text")).alias("h")).select("line_id", "h.*")
 
 
-@query()
+_MARKS = ", ".join(f"last_value(CASE WHEN lv <= {n} THEN struct_pack(lv := lv, title := title) END IGNORE NULLS) OVER w AS l{n}" for n in range(1, 7))
+_TITLES = ", ".join(f"CASE WHEN l{n}.lv = {n} THEN l{n}.title END" for n in range(2, 7))
+
+
+@query(f"""
+    WITH hd AS ({HEADING_SQL}), a AS (SELECT *, {TYPE_SQL} AS k, {single_line_sql('text')} AS title FROM ({TYPED_SQL})),
+    b AS (SELECT a.line_id, a.page_id, a.source_id, a.line_no, a.title, CASE WHEN a.k = 'heading' AND hd.accepted THEN hd.level END AS lv FROM a JOIN hd USING (line_id) WHERE a.k NOT IN ('header', 'footer', 'page_number')),
+    m AS (SELECT *, count(lv) OVER w AS section_no, {_MARKS} FROM b WINDOW w AS (PARTITION BY page_id ORDER BY line_no, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT line_id, section_no, concat_ws(' > ', coalesce(CASE WHEN l1.lv = 1 THEN l1.title END, s.title), {_TITLES}) AS section_path FROM m LEFT JOIN (SELECT source_id, any_value(title) AS title FROM source_spec GROUP BY source_id) s USING (source_id)""")
 def section_path(spark: SparkSession, folder: str) -> DataFrame:
     """Section and path of every body line."""
     return layout.section_paths(layout.typed_lines(read_table(spark, folder, "layout_line")), read_table(spark, folder, "source_spec")).select("line_id", "section_no", "section_path")
@@ -155,7 +166,13 @@ def printed_page(spark: SparkSession, folder: str) -> DataFrame:
     return band.groupBy("page_id").agg(best.alias("label")).select("page_id", "label", F.regexp_extract("label", r"\d+", 0).try_cast("int").alias("printed"))
 
 
-@query()
+_KEPT = "list_transform(string_split(text, '|'), lambda p: trim(p, ' '))"
+for _pattern in tx.OVERLAYS:
+    _KEPT = f"list_filter({_KEPT}, lambda p: NOT regexp_matches(p, '{_pattern}'))"
+_CLEANED = single_line_sql(f"regexp_replace(p, '{tx.OVERLAY_INLINE}', ' ', 'g')")
+
+
+@query(f"SELECT line_id, array_to_string(list_filter(list_transform({_KEPT}, lambda p: {_CLEANED}), lambda p: p <> ''), ' | ') AS text FROM {LINES} WHERE contains(text, '|')")
 def overlay_clean(spark: SparkSession, folder: str) -> DataFrame:
     """Layout lines with bars, without what share bars and viewers left in them."""
     lines = read_table(spark, folder, "layout_line").dropDuplicates(["line_id"]).where(F.contains("text", F.lit("|")))
