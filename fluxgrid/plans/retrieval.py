@@ -140,7 +140,7 @@ def channel_overlap(spark: SparkSession, folder: str) -> DataFrame:
 
 RERANKED = f"""{FUSED},
     pd AS (SELECT found, list_distinct(list(term)) AS terms FROM pt GROUP BY found), qd AS (SELECT query, list(term) AS terms FROM qt GROUP BY query),
-    o AS (SELECT f.*, round(len(list_intersect(qd.terms, pd.terms)) / len(qd.terms), 9) AS overlap FROM fused f LEFT JOIN pd USING (found) LEFT JOIN qd USING (query)),
+    o AS (SELECT f.*, coalesce(round(len(list_intersect(qd.terms, pd.terms)) / nullif(len(qd.terms), 0), 9), 0) AS overlap FROM fused f LEFT JOIN pd USING (found) LEFT JOIN qd USING (query)),
     reranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY coalesce(overlap, 0) DESC, rank, found) AS rerank_rank FROM o)"""
 
 
@@ -148,7 +148,7 @@ def _reranked(spark: SparkSession, folder: str) -> DataFrame:
     fused = cut(_fused(spark, folder), "fused")
     words = _page_terms(spark, folder).join(fused.select("found").distinct(), "found", "left_semi").select("found", F.array_distinct("terms").alias("have"))
     asked = _questions(spark, folder).select("query", F.array_distinct("terms").alias("want"))
-    overlap = F.round(F.size(F.array_intersect("want", "have")) / F.size("want"), 9)
+    overlap = F.round(F.coalesce(F.try_divide(F.size(F.array_intersect("want", "have")), F.size("want")), F.lit(0.0)), 9)
     scores = fused.select("query", "found").join(words, "found").join(asked, "query").select("query", "found", overlap.alias("overlap"))
     return retrieval.rerank(fused, scores)
 
