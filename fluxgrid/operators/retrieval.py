@@ -75,15 +75,16 @@ def dense_topk(queries: DataFrame, rows: DataFrame, k: int, dim: int = 64) -> Da
     return best(whole, k)
 
 
-def sparse_weights(docs: DataFrame, common: float = 0.1) -> DataFrame:
+def sparse_weights(docs: DataFrame, common: float | None = None) -> DataFrame:
     """Postings (found, term, weight) of docs (found, terms): term count times inverse document frequency.
 
-    Terms of more than ``common`` of the documents weigh nothing and are left out, as non-positive weights are.
+    Every term of positive weight is kept. Only with ``common``, terms of more than that share of the documents
+    are left out.
     """
     postings = docs.select("found", F.explode("terms").alias("term")).groupBy("found", "term").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("n"))
-    df = df.crossJoin(n).where(F.col("df") <= common * F.col("n")).select("term", F.log(F.col("n") / F.col("df")).alias("idf")).where("idf > 0")
+    df = df.crossJoin(n).where("true" if common is None else F.col("df") <= common * F.col("n")).select("term", F.log(F.col("n") / F.col("df")).alias("idf")).where("idf > 0")
     return postings.join(df, "term").select("found", "term", (F.col("tf") * F.col("idf")).alias("weight"))
 
 

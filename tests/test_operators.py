@@ -146,6 +146,15 @@ def test_dense_topk_against_brute_force(spark):
         assert got[got["query"] == f"q{i}"].sort_values("rank").found.tolist() == [f"c{j:03d}" for j in np.argsort(-cos[i])[:5]]
 
 
+def test_sparse_topk_keeps_frequent_terms(spark):
+    docs = spark.createDataFrame([(f"d{i:02d}", ["all"] + ["paste"] * (i < 5) + ["rare"] * (i == 7)) for i in range(10)], "found string, terms array<string>")
+    asked = spark.createDataFrame([("q", ["paste", "rare", "all"]), ("none", ["all"])], "query string, terms array<string>")
+    got = retrieval.sparse_topk(asked, retrieval.sparse_weights(docs), 10).orderBy("rank").collect()
+    assert [(r.query, r.found) for r in got] == [("q", "d07")] + [("q", f"d{i:02d}") for i in range(5)]
+    assert [r.score for r in got] == pytest.approx([math.log(10)] + [math.log(2)] * 5, abs=1e-6)
+    assert {r.term for r in retrieval.sparse_weights(docs, common=0.1).collect()} == {"rare"}
+
+
 def test_metrics(spark):
     gold = spark.createDataFrame([("q", "s", 1)], "query string, source_id string, page int")
     order = [2, 3, 1, 4, 5]
