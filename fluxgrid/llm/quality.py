@@ -27,6 +27,9 @@ BOUND, BOUND_HAN = 0.08, 0.04
 #: One-sided robust z-score from which a value lies in a tail.
 TAIL = 3.0
 
+#: Share of the characters outside sentences from which a text is flagged whatever the others of its language are.
+STRAY = 0.5
+
 #: Statistics, the side of their tail that speaks against prose (0: both) and the least scale of a z-score.
 STATISTICS = {"words": (0, 1.0), "mean_word_length": (0, 0.2), "symbol_ratio": (1, 0.01), "end_share": (-1, 0.02), "common_share": (-1, 0.02), "stray_share": (1, 0.02)}
 
@@ -129,18 +132,21 @@ def with_tails(statistics: DataFrame) -> DataFrame:
     """``statistics`` with percentile and robust z-score of each one within its language, and ``tails``, the flagged ones.
 
     z is measured from the median in units of the spread on the side of the prose, so that a heavy tail
-    doesn't widen its own scale. Documents without characters get null scores and no flags.
+    doesn't widen its own scale. A stray_share over STRAY is flagged at any z: where most of a language is no
+    prose, its median isn't prose either. Languages without words of their own here are held, as those that
+    can't be told, against all documents. Documents without characters get null scores and no flags.
     """
     statistics = cut(statistics, "statistics")
     told = statistics.where("chars > 0")
-    sketches = told.groupBy("language").agg(*(F.kll_sketch_agg_double(s).alias(s) for s in STATISTICS))
+    known = F.col("language").isin("en", "de", "zh")
+    sketches = told.groupBy(F.when(known, F.col("language")).otherwise("und").alias("pool")).agg(*(F.kll_sketch_agg_double(s).alias(s) for s in STATISTICS))
     # Documents of a language that can't be told are held against all others: the sketches merged.
-    pooled = sketches.groupBy(F.lit("und").alias("pool")).agg(*(F.kll_merge_agg_double(s).alias(s) for s in STATISTICS)).withColumnRenamed("pool", "language")
-    sketches = sketches.where("language <> 'und'").unionByName(pooled)
+    pooled = sketches.groupBy(F.lit("und").alias("all")).agg(*(F.kll_merge_agg_double(s).alias(s) for s in STATISTICS)).withColumnRenamed("all", "pool")
+    sketches = sketches.where("pool <> 'und'").unionByName(pooled)
     # A row per language: each statistic's quantiles at 0, 0.01 ... 1.
     grid = F.array(*(F.lit(i / 100) for i in range(101)))
-    grids = sketches.select("language", *(F.kll_sketch_get_quantile_double(s, grid).alias(f"{s}_grid") for s in STATISTICS))
-    out, flags = statistics.join(grids, "language", "left"), []
+    grids = sketches.select("pool", *(F.kll_sketch_get_quantile_double(s, grid).alias(f"{s}_grid") for s in STATISTICS))
+    out, flags = statistics.withColumn("pool", F.when(known, F.col("language")).otherwise("und")).join(grids, "pool", "left").drop("pool"), []
     for s, (side, least) in STATISTICS.items():
         at = lambda q, s=s: F.col(f"{s}_grid")[q]
         upper, lower = (at(90) - at(50)) / 1.2816, (at(50) - at(10)) / 1.2816
@@ -148,7 +154,8 @@ def with_tails(statistics: DataFrame) -> DataFrame:
         z = (F.col(s) - at(50)) / F.greatest(scale, F.lit(least))
         below = F.expr(f"size(filter({s}_grid, q -> q <= {s})) / 101")
         out = out.withColumn(f"{s}_pct", F.when(F.col("chars") > 0, below)).withColumn(f"{s}_z", F.when(F.col("chars") > 0, z))
-        flags.append(F.when((F.col(f"{s}_z") if side == 1 else -F.col(f"{s}_z") if side == -1 else F.abs(f"{s}_z")) > TAIL, F.lit(s)))
+        far = (F.col(f"{s}_z") if side == 1 else -F.col(f"{s}_z") if side == -1 else F.abs(f"{s}_z")) > TAIL
+        flags.append(F.when(far | (F.col(s) > STRAY) if s == "stray_share" else far, F.lit(s)))
     return out.withColumn("tails", F.array_compact(F.array(*flags))).drop(*(f"{s}_grid" for s in STATISTICS))
 
 

@@ -198,6 +198,13 @@ def test_not_prose(spark, junk):
     assert [r.key for r in quality.not_prose(quality.text_statistics(rows)).collect()] == [31]
 
 
+def test_not_prose_where_most_of_a_language_is_junk(spark):
+    junk = [f"- soak time\n- peak temperature {i}\n- chip resistor of size\n- belt speed" for i in range(20)]
+    texts = [(i, t, "en") for i, t in enumerate([PROSE * 2] * 5 + junk)] + [(100 + i, "| 12 | OK |\n| 13 | 9 |", "fr") for i in range(3)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    assert sorted(r.key for r in quality.not_prose(quality.text_statistics(rows)).collect()) == [*range(5, 25), 100, 101, 102]
+
+
 def test_quality_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert quality.not_prose(quality.text_statistics(empty)).count() == 0
