@@ -85,8 +85,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def p5_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    """Scanned pages as repaired, continuous paragraphs."""
-    return scanned.paragraphs(read_table(spark, folder, "ocr_line"))
+    """Scanned pages as repaired, continuous paragraphs, also across pages."""
+    return scanned.flowing_paragraphs(read_table(spark, folder, "ocr_line"))
 
 
 def _document_sizes(spark: SparkSession, folder: str) -> DataFrame:

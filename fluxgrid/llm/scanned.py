@@ -24,6 +24,8 @@ RATIO, RATIO_HAN = 5, 3
 SUPPORT, SHARE = 4, 0.01
 #: A gap this much larger or smaller than the page's pitch sets edge lines apart.
 WIDE, NARROW = 1.25, 0.6
+#: Page numbers of a series that are looked at together.
+RANGE = 1_000
 
 # Words after which a part ending in a hyphen was left open ("in- and output").
 OPEN_ENDED = ["and", "or", "nor", "to", "und", "oder", "bis", "sowie", "bzw", "noch", "als"]
@@ -32,6 +34,8 @@ HAN = r"㐀-䶿一-鿿"
 WORD = rf"[\p{{L}}\p{{N}}|&&[^{HAN}]]*[\p{{L}}\p{{N}}&&[^{HAN}]][\p{{L}}\p{{N}}|&&[^{HAN}]]*"
 CUT = r"[\p{L}\p{N}|][-¬]\s*$"
 HYPHENS = r"\s*[-¬]\s*$"
+#: How a line looks that ends a sentence.
+ENDS = r"""[.!?。！？…:：]["'”’)\]）]*\s*$"""
 
 
 def ocr_lines(lines: DataFrame) -> DataFrame:
@@ -253,12 +257,11 @@ def _fixed(text: Column) -> Column:
     return F.expr(rule.replace("looks", "line_text"))
 
 
-def paragraphs(lines: DataFrame) -> DataFrame:
-    """page_id, paragraph, text: the body of each page, repaired, in continuous paragraphs.
+def _repaired(lines: DataFrame) -> DataFrame:
+    """Body lines: page_id, line_no, series, number, looks, before, line_text (repaired), indented, paragraph of its page.
 
-    Edge lines are left out. A cut word stands whole in the line where it begins and is gone from the next;
-    compounds that were cut at their own hyphen keep it. An indented line begins a paragraph; lines of
-    Chinese are joined without a blank. Pages without a body have no rows.
+    A cut word stands whole in the line where it begins and is gone from the next; compounds that were cut at
+    their own hyphen keep it. An indented line begins a paragraph.
     """
     placed = cut(placed_lines(ocr_lines(lines)), "flow")
     _, fixes, kept = misread_words(cut(tokens(placed), "tokens"), placed)
@@ -272,10 +275,70 @@ def paragraphs(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("line_text", F.trim(text)).withColumn("line_text", _fixed(F.col("line_text")))
     page = Window.partitionBy("page_id")
     order = page.orderBy("line_no")
-    indented = F.coalesce(F.col("x0") > F.min("x0").over(page) + 0.015, F.lit(False))
-    rows = rows.withColumn("paragraph", F.sum(F.when(indented, 1).otherwise(0)).over(order))
-    # Lines are folded one by one, in order, with what stands between them decided by their ends.
-    item = F.sort_array(F.collect_list(F.struct("line_no", "line_text")))
+    rows = rows.withColumn("indented", F.coalesce(F.col("x0") > F.min("x0").over(page) + 0.015, F.lit(False)))
+    return rows.withColumn("paragraph", F.sum(F.when(F.col("indented"), 1).otherwise(0)).over(order))
+
+
+def _joined(rows: DataFrame, *place: str) -> DataFrame:
+    """page_id, paragraph, text of rows with these; the lines of each in the order of ``place``.
+
+    Lines are folded one by one, with what stands between them decided by their ends; those of Chinese are
+    joined without a blank.
+    """
+    item = F.sort_array(F.collect_list(F.struct(*place, "line_text")))
     rows = rows.where("line_text <> ''").groupBy("page_id", "paragraph").agg(item.alias("items"))
     joined = f"""aggregate(items.line_text, '', (s, t) -> CASE WHEN s = '' THEN t WHEN t RLIKE '^[-,.;:!?)，。；：！？）]' OR s RLIKE '[{HAN}，。；：！？）]$' OR (t RLIKE '^[{HAN}]' AND s RLIKE '[{HAN}0-9]$') THEN concat(s, t) ELSE concat(s, ' ', t) END)"""
     return rows.select("page_id", F.col("paragraph").cast("int").alias("paragraph"), F.expr(joined).alias("text"))
+
+
+def paragraphs(lines: DataFrame) -> DataFrame:
+    """page_id, paragraph, text: the body of each page, repaired, in paragraphs that end with the page.
+
+    Edge lines are left out. Pages without a body have no rows.
+    """
+    return _joined(_repaired(lines), "line_no")
+
+
+def _carried(starts: DataFrame) -> DataFrame:
+    """page_id, begun (page_id, paragraph): for pages (page_id, series, number, goes_on, last) that go on, the paragraph they go on with.
+
+    ``last`` is null where a page has only what it goes on with. A page that goes on follows the one before it
+    without a gap, so the latest page with a paragraph of its own has it: a running maximum over ranges of pages.
+    """
+    own = F.when(F.col("last").isNotNull(), F.struct("number", "page_id", "last"))
+    rows = cut(starts.withColumn("own", own).withColumn("range", F.floor(F.col("number") / RANGE)), "starts")
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("series", "range").agg(F.max("own").alias("top"))
+    ranges = ranges.withColumn("earlier", F.max("top").over(upto(Window.partitionBy("series").orderBy("range")))).drop("top")
+    rows = rows.withColumn("within", F.max("own").over(upto(Window.partitionBy("series", "range").orderBy("number"))))
+    begun = F.coalesce("within", "earlier")
+    rows = rows.where("goes_on").join(ranges, ["series", "range"]).select("page_id", begun["page_id"].alias("begun_on"), begun["last"].alias("begun"))
+    return rows.where("begun IS NOT NULL")
+
+
+def flowing_paragraphs(lines: DataFrame) -> DataFrame:
+    """page_id, paragraph, text: as ``paragraphs``, but whole across pages, named by the page on which each begins.
+
+    A page goes on with the paragraph before it if its first body line is not indented and the last body line
+    of the page before ends no sentence. Lines before the page's first indented one that end no sentence
+    themselves are a title and go on with nothing, unless they complete a cut word. Where two page ids have the
+    same number nothing is carried over.
+    """
+    rows = cut(_repaired(lines).select("page_id", "line_no", "series", "number", "line_text", "indented", "paragraph", "before", "looks"), "repaired")
+    first = F.min(F.struct("line_no", "indented", "before", "looks"))
+    closing = F.max(F.when(F.col("paragraph") == 0, F.struct("line_no", "looks")))
+    pages = rows.groupBy("page_id", "series", "number").agg(first.alias("f"), closing["looks"].alias("closing"), F.min("paragraph").alias("top"), F.max("paragraph").alias("last"))
+    before, looks = F.col("f.before"), F.col("f.looks")
+    untitled = (F.col("top") == F.col("last")) | F.col("closing").rlike(ENDS)
+    open_ = F.coalesce((before["page_id"] != F.col("page_id")) & (~before["looks"].rlike(ENDS) & untitled | is_cut(before["looks"], looks)), F.lit(False))
+    pages = pages.where("number IS NOT NULL").withColumn("goes_on", open_ & ~F.col("f.indented"))
+    alone = pages.groupBy("series", "number").agg(F.count("*").alias("n")).where("n = 1").select("series", "number")
+    pages = cut(pages.join(alone, ["series", "number"]).select("page_id", "series", "number", "goes_on", "top", "last"), "pages")
+    # The page before must be alone under its number as well.
+    there = pages.select("series", (F.col("number") + 1).alias("number"), F.lit(True).alias("there"))
+    pages = pages.join(there, ["series", "number"], "left").withColumn("goes_on", F.col("goes_on") & F.col("there").isNotNull())
+    own = F.when(~(F.col("goes_on") & (F.col("top") == F.col("last"))), F.col("last"))
+    carried = _carried(pages.select("page_id", "series", "number", "goes_on", own.alias("last"))).join(pages.select("page_id", F.col("top").alias("paragraph")), "page_id")
+    rows = rows.join(carried, ["page_id", "paragraph"], "left")
+    rows = rows.select(F.coalesce("begun_on", "page_id").alias("page_id"), F.coalesce("begun", "paragraph").alias("paragraph"), "number", "line_no", "line_text")
+    return _joined(rows, "number", "line_no")

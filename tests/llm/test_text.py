@@ -165,6 +165,20 @@ def test_faults_of_scanned_pages(spark):
     assert not any("5" in t for t in pages.values())
 
 
+def test_paragraphs_go_on_over_pages(spark):
+    end = "and here the text of the page ends."
+    bodies = [["the first page has", "a sentence that"], ["runs over a whole", "page until it"], ["stops here.", ">Another one stands", end], ["no longer the same.", "this one is open"], [">an indented line.", end], ["last and"], ["Title of Another", ">opens with this."]]
+    rows = [(*r[:2], r[2].lstrip(">"), r[3] + 0.03 * r[2].startswith(">"), *r[4:]) for r in pages_of(bodies)]
+    # The same number in other series, and a page that is missing, go on with nothing.
+    rows += [(f"t{r[0][1:]}", *r[1:]) for r in pages_of([["alone and"]], 8) + pages_of([["after a gap"]], 10)]
+    rows = [r for r in rows if 0.1 <= r[4] < 0.95]  # pages as short as these have no pitch that sets edge lines apart
+    got = {(r.page_id, r.paragraph): r.text for r in scanned.flowing_paragraphs(spark.createDataFrame(rows, OCR)).collect()}
+    assert got == {
+        ("s:p0001", 0): "the first page has a sentence that runs over a whole page until it stops here.", ("s:p0003", 1): "Another one stands " + end, ("s:p0004", 0): "no longer the same. this one is open",
+        ("s:p0005", 1): "an indented line. " + end, ("s:p0006", 0): "last and", ("s:p0007", 0): "Title of Another", ("s:p0007", 1): "opens with this.", ("t:p0008", 0): "alone and", ("t:p0010", 0): "after a gap",
+    }
+
+
 def test_scanned_pages_of_nothing(spark):
     empty = spark.createDataFrame([], OCR)
     assert scanned.faults(empty).count() == 0 and scanned.paragraphs(empty).count() == 0
