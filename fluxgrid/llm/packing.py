@@ -1,7 +1,7 @@
 """Documents in containers of a fixed capacity with little unused space (problem 6).
 
 Items are spread over blocks of a bounded number by a hash and each block is packed by bin completion: the
-largest item left opens a container, fillings that no other dominates are enumerated around it, and the
+largest item left opens a container, fillings of any number of items are enumerated around it, and the
 search goes depth first, pruned by the waste that may still be spent if the incumbent is to be beaten. The
 first incumbent is best-fit decreasing. Containers left with room are emptied and their items packed again
 together with those of other blocks.
@@ -10,6 +10,7 @@ together with those of other blocks.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,74 +44,81 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 class Stock:
-    """A multiset of sizes; ``up`` and ``down`` have a bit per size in stock, from either end."""
+    """A multiset of sizes; ``up`` has a bit per size in stock."""
 
     def __init__(self, sizes: list[int], capacity: int):
-        self.capacity, self.count, self.up, self.down = capacity, [0] * (capacity + 1), 0, 0
+        self.count, self.up = [0] * (capacity + 1), 0
         for size in sizes:
             self.put(size)
 
     def put(self, size: int) -> None:
         if not self.count[size]:
             self.up |= 1 << size
-            self.down |= 1 << (self.capacity - size)
         self.count[size] += 1
 
     def take(self, size: int) -> None:
         self.count[size] -= 1
         if not self.count[size]:
             self.up &= ~(1 << size)
-            self.down &= ~(1 << (self.capacity - size))
 
     def largest(self, room: int) -> int:
         """The largest size in stock that fits, 0 if none does."""
         return max((self.up & ((1 << (room + 1)) - 1)).bit_length() - 1, 0)
 
-    def pair(self, total: int) -> tuple[int, int] | None:
-        """Two sizes in stock of this total, the larger one as large as possible."""
-        found = self.up & (self.down >> (self.capacity - total))
-        while found:
-            a = found.bit_length() - 1
-            if 2 * a != total or self.count[a] > 1:
-                return a, total - a
-            found &= ~(1 << a)
-        return None
 
+def fillings(stock: Stock, room: int, waste: int) -> Iterator[tuple[int, ...]]:
+    """Fillings of ``room`` by any number of items that waste at most ``waste``, least waste first, then the larger items.
 
-def fillings(stock: Stock, room: int, waste: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` that waste at most ``waste``, least waste first, then the larger items.
-
-    A single item dominates smaller ones; of pairs of one total and of triples around one item that with the
-    largest items dominates; a filling is dominated by one of fewer items that wastes no more.
+    Bits of reach[i] are the totals that the i smallest sizes make, so no way is followed that leads to no
+    filling. A single item dominates all other fillings that waste as much as it or more.
     """
-    one = stock.largest(room)
-    out, bound = [], min(waste, room)
-    if not one:
-        return [()] if room <= waste else []
-    if room - one <= bound:
-        out.append((one,))
-        bound = room - one - 1
-    tried = 0
-    for left in range(bound + 1):
-        if found := stock.pair(room - left):
-            out.append(found)
-            bound = left - 1
-            break
-        tried += 1
-        if tried > 64:
-            break
-    a, tries = one, 0
-    while a and tries < 4 and bound >= 0:
-        stock.take(a)
-        for left in range(min(bound, 8) + 1):
-            if room - a - left > 0 and (found := stock.pair(room - a - left)):
-                out.append((a, *found))
-                bound = left - 1
-                break
-        stock.put(a)
-        a, tries = stock.largest(a - 1), tries + 1
-    out.sort(key=lambda f: (room - sum(f), len(f)))
-    return out
+    if not stock.largest(room):
+        if room <= waste:
+            yield ()
+        return
+    sizes, rest = [], stock.up & ((1 << (room + 1)) - 1)
+    full, reach = (1 << (room + 1)) - 1, [1]
+    while rest:
+        low = rest & -rest
+        rest ^= low
+        sizes.append(low.bit_length() - 1)
+        sums, left, step = reach[-1], min(stock.count[sizes[-1]], room // sizes[-1]), 1
+        while left:  # a number of copies as a sum of powers of two
+            taken = min(step, left)
+            sums |= (sums << (taken * sizes[-1])) & full
+            left, step = left - taken, step * 2
+        reach.append(sums)
+    counts = [min(stock.count[size], room // size) for size in sizes]
+
+    def ways(at: int, total: int) -> Iterator[tuple[int, ...]]:
+        way: list[int] = []
+        # Each entry: sizes still open, total still open, length of the way so far, how many of the size to take.
+        open_ = [(at, total, 0, -1)]
+        while open_:
+            at, total, kept, take = open_.pop()
+            del way[kept:]
+            if not total:
+                yield tuple(way)
+                continue
+            if take < 0:
+                take = min(counts[at - 1], total // sizes[at - 1])
+            size = sizes[at - 1]
+            while take >= 0 and not reach[at - 1] >> (total - take * size) & 1:
+                take -= 1
+            if take < 0:
+                continue
+            if take:
+                open_.append((at, total, kept, take - 1))
+            way.extend([size] * take)
+            open_.append((at - 1, total - take * size, len(way), -1))
+
+    for left in range(min(waste, room) + 1):
+        if not reach[-1] >> (room - left) & 1:
+            continue
+        if stock.count[room - left]:
+            yield (room - left,)
+            return
+        yield from ways(len(sizes), room - left)
 
 
 def complete_bins(sizes: list[int], capacity: int, steps: int = STEPS) -> list[list[int]]:
@@ -122,7 +130,7 @@ def complete_bins(sizes: list[int], capacity: int, steps: int = STEPS) -> list[l
         allowed = (len(best) - 1) * capacity - total
         stock, left = Stock(sizes, capacity), len(sizes)
         path: list[tuple[int, tuple[int, ...], int]] = []  # opener, filling, waste
-        choices: list[list[tuple[int, ...]]] = []
+        choices: list[Iterator[tuple[int, ...]]] = []
         spent, found = 0, False
         while budget > 0:
             budget -= 1
@@ -131,20 +139,21 @@ def complete_bins(sizes: list[int], capacity: int, steps: int = STEPS) -> list[l
                 break
             opener = stock.largest(capacity)
             stock.take(opener)
-            options = fillings(stock, capacity - opener, allowed - spent)[::-1]
-            stock.put(opener)
-            choices.append(options)
-            while choices and not choices[-1]:  # nothing left to try here: one container back
+            choices.append(fillings(stock, capacity - opener, allowed - spent))
+            filling = next(choices[-1], None)
+            while filling is None:  # nothing left to try here: one container back
                 choices.pop()
-                if path:
-                    opener, filling, waste = path.pop()
-                    for size in (opener, *filling):
-                        stock.put(size)
-                    left, spent = left + 1 + len(filling), spent - waste
-            if not choices:
+                stock.put(opener)
+                if not path:
+                    break
+                opener, filling, waste = path.pop()
+                for size in filling:
+                    stock.put(size)
+                left, spent = left + 1 + len(filling), spent - waste
+                filling = next(choices[-1], None)
+            if filling is None:
                 break
-            opener, filling = stock.largest(capacity), choices[-1].pop()
-            for size in (opener, *filling):
+            for size in filling:
                 stock.take(size)
             waste = capacity - opener - sum(filling)
             path.append((opener, filling, waste))

@@ -101,6 +101,17 @@ def test_bin_completion_beats_best_fit():
     assert packing.complete_bins([], 10) == [] and packing.complete_bins([10, 10], 10) == [[10], [10]]
 
 
+@pytest.mark.parametrize("seed", [0, 3, 6, 10])
+def test_bin_completion_of_many_items_per_container(seed):
+    rng, sizes = np.random.default_rng(seed), []
+    for _ in range(4):  # six items fill each of four containers
+        cuts = sorted(rng.choice(np.arange(1, 100), 5, replace=False).tolist())
+        sizes += [b - a for a, b in zip([0, *cuts], [*cuts, 100])]
+    bins = packing.complete_bins(sizes, 100, steps=50)
+    assert len(packing.best_fit(sizes, 100)) == 5 and len(bins) == 4
+    assert sorted(itertools.chain(*bins)) == sorted(sizes) and all(sum(b) <= 100 for b in bins)
+
+
 def test_pack(spark):
     rng = np.random.default_rng(8)
     docs = [(i, int(n)) for i, n in enumerate(rng.integers(0, 700, 500))] + [(1000, 5000), (1001, 1024), (1002, None), (1003, 0), (None, 5), (7, None)]
