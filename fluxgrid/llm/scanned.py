@@ -62,7 +62,9 @@ def placed_lines(rows: DataFrame) -> DataFrame:
     page = Window.partitionBy("page_id")
     down = page.orderBy("line_no")
     rows = rows.withColumn("nth", F.row_number().over(down)).withColumn("gap", F.col("y0") - F.lag("y0").over(down)).withColumn("gap_below", F.lead("y0").over(down) - F.col("y0"))
-    rows = cut(rows, "lines")
+    # Copies of a page have the same forms: of lines with the two around them on either side.
+    around = [F.coalesce(f("looks", n).over(down), F.lit("\n")) for f in (F.lag, F.lead) for n in (1, 2)]
+    rows = cut(rows.withColumn("form", F.xxhash64("looks", *around)), "lines")
     usual = rows.agg(F.percentile_approx("gap", 0.5, 1000).alias("usual"))
     pitches = rows.groupBy("page_id").agg(F.percentile_approx("gap", 0.5, 100).alias("own"), F.count("gap").alias("gaps"))
     pitches = pitches.join(usual).select("page_id", F.when(F.col("gaps") >= 4, F.col("own")).otherwise(F.col("usual")).alias("pitch"))
@@ -72,7 +74,7 @@ def placed_lines(rows: DataFrame) -> DataFrame:
     first_foot = F.min(F.when((F.col("y0") >= 0.8) & apart, F.col("nth"))).over(page)
     rows = rows.withColumn("running", (F.col("nth") <= F.coalesce(last_head, F.lit(0))) | F.coalesce(F.col("nth") >= first_foot, F.lit(False)))
     rows = rows.withColumn("series", F.regexp_extract("page_id", r"^(.*?)(\d+)$", 1)).withColumn("number", F.regexp_extract("page_id", r"(\d+)$", 1).try_cast("long"))
-    rows = cut(rows.select("page_id", "line_no", "series", "number", "text", "looks", "x0", "running"), "placed")
+    rows = cut(rows.select("page_id", "line_no", "series", "number", "text", "looks", "x0", "running", "form"), "placed")
     body = rows.where("NOT running")
     ends = body.where("number IS NOT NULL").groupBy("series", "number").agg(
         F.min(F.struct("line_no", "page_id", "looks")).alias("first"), F.max(F.struct("line_no", "page_id", "looks")).alias("last")
@@ -99,22 +101,22 @@ def is_cut(text: Column, following: Column) -> Column:
 
 
 def tokens(placed: DataFrame) -> DataFrame:
-    """Words of all lines: page_id, line_no, left, right, w and, for a cut word, next_page and next_line.
+    """Words of all lines: page_id, line_no, form, pos, left, right, w and, for a cut word, next_page and next_line.
 
     A word that is cut stands once, with its two parts in left and right and put together in w.
     """
     after, before = F.col("after.looks"), F.col("before.looks")
     goes_on = is_cut(F.col("looks"), after)
     begun = is_cut(before, F.col("looks"))
-    rows = placed.select("page_id", "line_no", words(F.col("looks")).alias("ws"), goes_on.alias("goes_on"), begun.alias("begun"), F.when(goes_on, words(after)[0]).alias("right"), F.col("after.page_id").alias("next_page"), F.col("after.line_no").alias("next_line"))
+    rows = placed.select("page_id", "line_no", "form", words(F.col("looks")).alias("ws"), goes_on.alias("goes_on"), begun.alias("begun"), F.when(goes_on, words(after)[0]).alias("right"), F.col("after.page_id").alias("next_page"), F.col("after.line_no").alias("next_line"))
     first, size = F.when(F.col("begun"), 2).otherwise(1), F.size("ws")
     last = F.when(F.col("goes_on"), size - 1).otherwise(size)
     rows = rows.withColumn("plain", F.when(last >= first, F.slice("ws", first, F.greatest(last - first + 1, F.lit(0)))).otherwise(F.array().cast("array<string>")))
     # The only word of a line may be the middle of a word cut twice; it counts with the part that it ends.
     whole = F.when(F.col("goes_on") & (size > 0), F.array(F.struct(F.element_at("ws", -1).alias("left"), F.col("right").alias("right"))))
     plain = F.transform("plain", lambda w: F.struct(w.alias("left"), F.lit(None).cast("string").alias("right")))
-    out = rows.select("page_id", "line_no", "next_page", "next_line", F.explode(F.concat(plain, F.coalesce(whole, F.array().cast("array<struct<left:string,right:string>>")))).alias("t"))
-    out = out.select("page_id", "line_no", "next_page", "next_line", "t.left", "t.right")
+    out = rows.select("page_id", "line_no", "form", "next_page", "next_line", F.posexplode(F.concat(plain, F.coalesce(whole, F.array().cast("array<struct<left:string,right:string>>")))).alias("pos", "t"))
+    out = out.select("page_id", "line_no", "form", "pos", "next_page", "next_line", "t.left", "t.right")
     return out.withColumn("w", F.concat("left", F.coalesce("right", F.lit(""))))
 
 
@@ -170,7 +172,8 @@ def misread_words(found: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFr
     (page_id, line_no) of the lines, (page_id, line_no, w, meant) of the corrections, a cut word as a whole at
     the line where it begins, and (page_id, line_no) of lines whose cut word is a compound with a hyphen.
     """
-    types = cut(found.groupBy("w").agg(F.count("*").alias("n")), "types")
+    # Copies of a page are one witness: a word counts once for each form of a line and place in it.
+    types = cut(found.select("w", "form", "pos").distinct().groupBy("w").agg(F.count("*").alias("n")), "types")
     ranked = cut(confusions(types), "ranked")
     wrong = cut(corrections(types, ranked), "wrong")
     good = types.where("n >= 3").join(wrong, "w", "left_anti").select("w")
@@ -195,7 +198,7 @@ def misread_words(found: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFr
     sign = sign.select(F.when(F.col("a").rlike("[0-9]"), F.col("b")).otherwise(F.col("a")).alias("c"), F.when(F.col("a").rlike("[0-9]"), F.col("a")).otherwise(F.col("b")).alias("d"), "support")
     sign = sign.groupBy("c").agg(F.max(F.struct("support", "d")).alias("best")).agg(F.array_join(F.sort_array(F.collect_list(F.struct("c", "best.d"))).getField("c"), "").alias("from"), F.array_join(F.sort_array(F.collect_list(F.struct("c", "best.d"))).getField("d"), "").alias("to"))
     numbers = types.where(r"w RLIKE '[0-9]' AND NOT w RLIKE '^[0-9]+$'").join(sign).withColumn("meant", F.expr("translate(w, from, to)"))
-    total = lines.agg(F.count("*").alias("lines"))
+    total = lines.agg(F.countDistinct("form").alias("lines"))
     numbers = numbers.where(r"meant RLIKE '^[0-9]+$'").join(total).where("n * 20 < lines").join(wrong.select("w"), "w", "left_anti").select("w", "meant")
     digits = found.where("right IS NULL").join(numbers, "w").select("page_id", "line_no", "w", "meant")
     fixes = [single, both.select("page_id", "line_no", "w", "meant"), left, digits]
@@ -212,10 +215,10 @@ def misread_han(placed: DataFrame) -> DataFrame:
     """
     before = F.coalesce(F.regexp_extract("before.looks", ".{0,2}$", 0), F.lit(""))
     after = F.coalesce(F.regexp_extract("after.looks", "^.{0,2}", 0), F.lit(""))
-    rows = placed.where(F.col("looks").rlike(f"[{HAN}]")).select("page_id", "line_no", F.length(before).alias("b"), F.length("looks").alias("n"), F.concat(before, "looks", after).alias("t"))
-    rows = rows.selectExpr("*", "explode(transform(sequence(1, greatest(length(t) - 2, 1)), i -> struct(i AS i, substr(t, i, 3) AS v))) AS s").select("page_id", "line_no", "b", "n", "s.i", "s.v")
+    rows = placed.where(F.col("looks").rlike(f"[{HAN}]")).select("page_id", "line_no", "form", F.length(before).alias("b"), F.length("looks").alias("n"), F.concat(before, "looks", after).alias("t"))
+    rows = rows.selectExpr("*", "explode(transform(sequence(1, greatest(length(t) - 2, 1)), i -> struct(i AS i, substr(t, i, 3) AS v))) AS s").select("page_id", "line_no", "form", "b", "n", "s.i", "s.v")
     rows = cut(rows.where(F.col("v").rlike(f"^[{HAN}]{{3}}$")), "rows")
-    types = cut(rows.where("i > b").groupBy("v").agg(F.count("*").alias("n")), "types")
+    types = cut(rows.where("i > b").withColumn("i", F.col("i") - F.col("b")).select("v", "form", "i").distinct().groupBy("v").agg(F.count("*").alias("n")), "types")
     holes = types.selectExpr("v", "n", "explode(transform(sequence(1, 3), x -> struct(x AS x, substr(v, x, 1) AS c, substr(v, 1, x - 1) || '_' || substr(v, x + 1) AS rest))) AS s").select("v", "n", "s.*")
     meant = holes.where("n >= 3").select("rest", F.col("c").alias("a"), F.col("n").alias("often"))
     explained = holes.join(meant, "rest").where(f"c <> a AND often >= {RATIO_HAN} * n").groupBy("a", "c", "x").agg(F.sum("n").alias("k"), F.count("*").alias("kinds"))

@@ -165,6 +165,20 @@ def test_faults_of_scanned_pages(spark):
     assert not any("5" in t for t in pages.values())
 
 
+def test_misread_words_on_copies_of_a_page(spark):
+    rng = random.Random(4)
+    words = "stencil solder placement reflow nozzle capacitor inspection temperature profile cleaning tombstone component".split()
+    text = [[" ".join(rng.choice(words) for _ in range(8)) + "." for _ in range(10)] for _ in range(30)]
+    for p in range(0, 30, 3):
+        text[p][1] = text[p][1].replace("s", "5", 1)
+    for p in (2, 4, 5, 7, 8, 10):
+        text[p][4] = f"number {p} of the words is zigsag here."
+    text[1][5] = "one zig5ag was here."
+    copies = [text[1]] * 12
+    got = scanned.faults(spark.createDataFrame(pages_of(text + copies), OCR)).where("kind = 'misread'").collect()
+    assert {(r.page_id, r.line_no) for r in got} >= {(f"s:p{p:04d}", 7) for p in (2, *range(31, 43))}
+
+
 def test_paragraphs_go_on_over_pages(spark):
     end = "and here the text of the page ends."
     bodies = [["the first page has", "a sentence that"], ["runs over a whole", "page until it"], ["stops here.", ">Another one stands", end], ["no longer the same.", "this one is open"], [">an indented line.", end], ["last and"], ["Title of Another", ">opens with this."]]
