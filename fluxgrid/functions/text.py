@@ -134,11 +134,18 @@ def block_type(text: Column, x0: Column, y0: Column, x1: Column, y1: Column, fon
     )
 
 
+def page_number(page: Column) -> Column:
+    """A page number with at least four digits."""
+    return F.format_string("%04d", page)
+
+
 def terms(text: Column) -> Column:
     """Lower-case words of letters and digits; Chinese characters in pairs."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9äöüß]+"), F.lit(0))
     han = F.regexp_replace(text, r"[^\x{4E00}-\x{9FFF}]", "")
-    pairs = F.when(F.length(han) >= 2, F.transform(F.sequence(F.lit(1), F.length(han) - 1), lambda i: F.substring(han, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    # Bound by a lambda, so that the characters are taken out once and not for every pair.
+    pairs = F.flatten(F.transform(F.array(han), lambda h: F.transform(F.sequence(F.lit(1), F.greatest(F.length(h) - 1, F.lit(1))), lambda i: F.substring(h, i, F.lit(2)))))
+    pairs = F.filter(pairs, lambda p: F.length(p) == 2)
     return F.concat(words, pairs)
 
 

@@ -70,7 +70,7 @@ def section_paths(typed: DataFrame, sources: DataFrame) -> DataFrame:
 
 def page_text(lines: DataFrame) -> DataFrame:
     """page_id, source_id, text of the lines in order, lines, native_chars and ocr_chars."""
-    lines = lines.dropDuplicates(["line_id"])
+    lines = lines.select("line_id", "page_id", "source_id", "line_no", "text", "source").distinct()
     items = F.sort_array(F.collect_list(F.struct("line_no", "line_id", F.coalesce("text", F.lit("")).alias("text"))))
     chars = lambda kind: F.sum(F.when(F.col("source") == kind, F.length(F.col("text"))).otherwise(0))
     pages = lines.groupBy("page_id", "source_id").agg(items.alias("items"), F.count("*").alias("lines"), chars("native").alias("native_chars"), chars("ocr").alias("ocr_chars"))

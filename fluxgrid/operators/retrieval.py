@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxgrid.operators.blocks import in_blocks, top_columns
 from fluxgrid.sources.scratch import cut
 
 RRF_K = 60
-#: Queries that go out to the tasks at a time.
-BLOCK = 1_000
+#: Queries of a block, vectors and documents of a group, that meet in a task.
+BLOCK, GROUP, PAGES = 2_000, 20_000, 1_000
 
 
 def unit_vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,57 +41,85 @@ def best(scored: DataFrame, k: int) -> DataFrame:
 def dense_topk(queries: DataFrame, rows: DataFrame, k: int, dim: int = 64) -> DataFrame:
     """Exact cosine top k: query, found, cosine, rank of queries (query, qv) against rows (found, cv).
 
-    The queries go out in blocks of BLOCK (under 1 MB each); every task multiplies its rows with a block and
-    keeps what reaches the batch's k-th score, so what is shuffled follows queries times batches, not pairs.
+    Blocks of BLOCK queries meet groups of GROUP rows; a task multiplies the two and keeps the ``k`` best of
+    the group, so what is shuffled after that follows queries times groups, not pairs. Unusable vectors take
+    no part; a name with several vectors counts with the nearest; ties go to the smaller name. Cosines are
+    rounded to 12 digits, so that copies tie wherever they are computed.
     """
-    schema = "query string, found string, cosine double"
-    out = [queries.sparkSession.createDataFrame([], schema)]
-    asked = cut(queries.select("query", "qv", (F.row_number().over(Window.orderBy("query")) - 1).alias("n")), "asked")
-    for block in range(-(-asked.count() // BLOCK)):
-        taken = asked.where(F.floor(F.col("n") / BLOCK) == block).toArrow()
-        at, unit = unit_vectors(taken.column("qv"), dim)
-        names = [taken.column("query")[int(i)].as_py() for i in at]
-
-        def scan(batches: Iterator[pa.RecordBatch], names=names, unit=unit) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at, vectors = unit_vectors(batch.column("cv"), dim)
-                if not len(at):
-                    continue
-                named = batch.column("found").take(pa.array(at)).dictionary_encode()
-                code = named.indices.to_numpy(zero_copy_only=False)
-                order = np.argsort(code, kind="stable")
-                starts = np.flatnonzero(np.diff(code[order], prepend=-1))
-                # One column per name: of rows that share it the nearest counts.
-                near = np.maximum.reduceat(unit @ vectors[order].T, starts, axis=1)
-                # All that reach the batch's k-th: ties are settled by name later.
-                least = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k] if near.shape[1] > k else np.full((len(near), 1), -2.0)
-                q, c = np.nonzero(near >= least)
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q], pa.string()), named.dictionary.take(pa.array(c)), pa.array(near[q, c])], ["query", "found", "cosine"])
-
-        out.append(rows.select("found", "cv").mapInArrow(scan, schema))
-    whole = out[0]
-    for part in out[1:]:
-        whole = whole.unionByName(part)
-    return best(whole, k)
-
-
-def sparse_weights(docs: DataFrame, common: float | None = None) -> DataFrame:
+    queries, rows = queries.select("query", "qv").where("query IS NOT NULL AND qv IS NOT NULL").distinct(), rows.select("found", "cv").where(f"found IS NOT NULL AND size(cv) = {dim}")
+    sizes = queries.agg(F.count("*").alias("n")).collect()[0].n, rows.count()
+
+    def scan(asked: pa.Table, group: pa.Table) -> pa.Table:
+        at, unit = unit_vectors(asked.column("qv"), dim)
+        row, vectors = unit_vectors(group.column("cv"), dim)
+        queries_ = asked.column("query").combine_chunks().take(pa.array(at))
+        # One column per name, in order of the names: of rows that share it the nearest counts.
+        names = group.column("found").combine_chunks().take(pa.array(row))
+        order = pc.sort_indices(names).to_numpy()
+        names, vectors = names.take(pa.array(order)), vectors[order]
+        starts = np.flatnonzero(np.r_[True, pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False)]) if len(names) else np.zeros(0, int)
+        out = [[], [], []]
+        for low in range(0, len(unit) if len(starts) else 0, 500):
+            near = np.maximum.reduceat(np.round(unit[low : low + 500] @ vectors.T, 12), starts, axis=1)
+            q, c = top_columns(near, k)
+            for part, values in zip(out, (q + low, starts[c], near[q, c]), strict=True):
+                part.append(values)
+        q, c, s = (np.concatenate(x) if x else np.zeros(0, int) for x in out)
+        return pa.table({"query": queries_.take(pa.array(q)).cast(pa.string()), "found": names.take(pa.array(c)).cast(pa.string()), "cosine": pa.array(s.astype(float))})
+
+    pairs = in_blocks(queries, rows, F.col("query"), F.struct("found", "cv"), *(max(1, -(-n // size)) for n, size in zip(sizes, (BLOCK, GROUP), strict=True)), scan, "query string, found string, cosine double")
+    return best(pairs, k)
+
+
+def sparse_weights(docs: DataFrame) -> DataFrame:
     """Postings (found, term, weight) of docs (found, terms): term count times inverse document frequency.
 
-    Every term of positive weight is kept. Only with ``common``, terms of more than that share of the documents
-    are left out.
+    Every term of positive weight is kept; a term on all documents has none. Counts are written once.
     """
-    postings = docs.select("found", F.explode("terms").alias("term")).groupBy("found", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    counts = cut(docs.select("found", F.explode("terms").alias("term")).groupBy("found", "term").agg(F.count("*").alias("tf")), "terms")
+    df = counts.groupBy("term").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("n"))
-    df = df.crossJoin(n).where("true" if common is None else F.col("df") <= common * F.col("n")).select("term", F.log(F.col("n") / F.col("df")).alias("idf")).where("idf > 0")
-    return postings.join(df, "term").select("found", "term", (F.col("tf") * F.col("idf")).alias("weight"))
+    df = df.crossJoin(n).select("term", F.log(F.col("n") / F.col("df")).alias("idf")).where("idf > 0")
+    return counts.join(df, "term").select("found", "term", (F.col("tf") * F.col("idf")).alias("weight"))
 
 
 def sparse_topk(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
-    """query, found, score, rank by the dot product over shared terms; without a shared term there is no row."""
-    asked = queries.select("query", F.explode(F.array_distinct("terms")).alias("term"))
-    scored = asked.join(postings, "term").groupBy("query", "found").agg(F.round(F.sum("weight"), 6).alias("score"))
+    """query, found, score, rank by the dot product over shared terms; without a shared term there is no row.
+
+    A frequent term meets nearly every question: joined by term, it would be one hot key with questions times
+    documents rows. Blocks of questions meet groups of documents instead, whose weights are multiplied as
+    matrices over the terms that both have, and only the ``k`` best of a group go on. Scores are rounded to
+    6 digits, ties go to the smaller name.
+    """
+    asked = cut(queries.select("query", F.explode(F.array_distinct("terms")).alias("term")).where("query IS NOT NULL").distinct(), "asked")
+    postings = cut(postings.join(asked.select("term").distinct(), "term", "left_semi").select("found", "term", "weight"), "postings")
+    questions, documents = asked.agg(F.approx_count_distinct("query")).collect()[0][0], postings.agg(F.approx_count_distinct("found")).collect()[0][0]
+
+    def scan(wanted: pa.Table, group: pa.Table) -> pa.Table:
+        empty = pa.table({"query": pa.array([], pa.string()), "found": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
+        group = group.filter(pc.is_in(group.column("term"), wanted.column("term").combine_chunks()))
+        if not group.num_rows:
+            return empty
+        terms = pc.unique(group.column("term"))
+        wanted = wanted.filter(pc.is_in(wanted.column("term"), terms))
+        in_order = lambda names: names.take(pc.sort_indices(names))
+        place = lambda column, names: pc.index_in(column, names).to_numpy()
+        names, pages = in_order(pc.unique(wanted.column("query"))), in_order(pc.unique(group.column("found")))
+        want, have = np.zeros((len(names), len(terms))), np.zeros((len(terms), len(pages)))
+        want[place(wanted.column("query"), names), place(wanted.column("term"), terms)] = 1
+        have[place(group.column("term"), terms), place(group.column("found"), pages)] = group.column("weight").to_numpy()
+        out = [[], [], []]
+        for low in range(0, len(names), 500):
+            score = want[low : low + 500] @ have
+            shared, score = score > 0, np.round(score, 6)
+            i, c = top_columns(np.where(shared, score, -1), k)
+            held = shared[i, c]
+            for part, values in zip(out, (i[held] + low, c[held], score[i, c][held]), strict=True):
+                part.append(values)
+        i, c, s = (np.concatenate(x) for x in out)
+        return pa.table({"query": names.take(pa.array(i)), "found": pages.take(pa.array(c)), "score": pa.array(s)})
+
+    scored = in_blocks(asked, postings, F.col("query"), F.col("found"), max(1, -(-questions // BLOCK)), max(1, -(-documents // PAGES)), scan, "query string, found string, score double")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "found")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -66,7 +66,7 @@ def vector_states(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "qdrant_input").select("chunk_id", "embedding").distinct().select("chunk_id", state.alias("state"))
 
 
-# Pages are what both channels find: a chunk stands for the page it begins on.
+# Pages are what both channels find: a chunk stands for each page that it covers.
 def _page_terms(spark: SparkSession, folder: str) -> DataFrame:
     pages = layout.page_text(read_table(spark, folder, "layout_line"))
     return pages.select(F.col("page_id").alias("found"), tx.terms(F.col("text")).alias("terms"))
@@ -84,15 +84,17 @@ SPARSE = f"""
     pt AS (SELECT found, unnest({TERMS.format(t='text')}) AS term FROM pages),
     tf AS (SELECT found, term, count(*) AS tf FROM pt GROUP BY ALL),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-    post AS (SELECT found, tf.term, tf * ln((SELECT count(*) FROM pages) / df) AS weight FROM tf JOIN df USING (term) WHERE df <= 0.1 * (SELECT count(*) FROM pages)),
+    post AS (SELECT found, tf.term, tf * ln((SELECT count(*) FROM pages) / df) AS weight FROM tf JOIN df USING (term) WHERE df < (SELECT count(*) FROM pages)),
     qt AS (SELECT DISTINCT query, unnest({TERMS.format(t='text')}) AS term FROM (SELECT DISTINCT query_id AS query, query AS text FROM retriever_main)),
     sp AS (SELECT query, found, round(sum(weight), 6) AS score FROM qt JOIN post USING (term) GROUP BY ALL),
     sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, found) AS rank FROM sp) WHERE rank <= 20)"""
 
 
-def _sparse(spark: SparkSession, folder: str) -> DataFrame:
-    # SPARSE leaves terms of more than a tenth of the pages out; the operator itself keeps them.
-    return retrieval.sparse_topk(_questions(spark, folder), retrieval.sparse_weights(_page_terms(spark, folder), common=0.1), 20)
+def _sparse(spark: SparkSession, folder: str, asked: DataFrame | None = None) -> DataFrame:
+    questions = _questions(spark, folder)
+    if asked is not None:
+        questions = questions.join(asked, "query", "left_semi")
+    return retrieval.sparse_topk(questions, retrieval.sparse_weights(_page_terms(spark, folder)), 20)
 
 
 @query(f"WITH {SPARSE} SELECT query AS query_id, found AS page_id, rank::INT AS rank FROM sparse")
@@ -103,13 +105,20 @@ def sparse_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 def _dense_pages(spark: SparkSession, folder: str) -> DataFrame:
     queries, rows = _vectors(spark, folder)
-    rows = rows.select(F.concat_ws(":p", "source_id", F.lpad(F.col("pdf_page_start").cast("string"), 4, "0")).alias("found"), "cv")
+    pages = F.explode(F.sequence("pdf_page_start", "pdf_page_end"))
+    rows = rows.where("pdf_page_end >= pdf_page_start").select("source_id", pages.alias("page"), "cv").select(F.concat_ws(":p", "source_id", tx.page_number(F.col("page"))).alias("found"), "cv")
     return retrieval.dense_topk(queries, rows, 20)
 
 
+def _channels(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Both channels for the questions that have a vector."""
+    dense = cut(_dense_pages(spark, folder), "dense")
+    return dense, _sparse(spark, folder, dense.select("query").distinct())
+
+
 DENSE_PAGES = f"""
     q AS (SELECT DISTINCT query_id AS query, dense::DOUBLE[] AS v FROM query_vectors WHERE {USABLE.format(v='dense')}),
-    c AS (SELECT DISTINCT source_id || ':p' || lpad(pdf_page_start::VARCHAR, 4, '0') AS found, embedding::DOUBLE[] AS v FROM qdrant_input WHERE {USABLE.format(v='embedding')}),
+    c AS (SELECT DISTINCT source_id || ':p' || format('{{:04d}}', p) AS found, v FROM (SELECT source_id, unnest(range(pdf_page_start, pdf_page_end + 1)) AS p, embedding::DOUBLE[] AS v FROM qdrant_input WHERE {USABLE.format(v='embedding')})),
     s AS (SELECT query, found, max(list_cosine_similarity(q.v, c.v)) AS score FROM q, c GROUP BY ALL),
     dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, found) AS rank FROM s) WHERE rank <= 20)"""
 FUSED = f"""{DENSE_PAGES}, {SPARSE},
@@ -119,9 +128,7 @@ FUSED = f"""{DENSE_PAGES}, {SPARSE},
 
 
 def _fused(spark: SparkSession, folder: str) -> DataFrame:
-    dense = _dense_pages(spark, folder)
-    sparse = _sparse(spark, folder).join(dense.select("query").distinct(), "query", "left_semi")
-    return retrieval.fuse(dense, sparse, 10)
+    return retrieval.fuse(*_channels(spark, folder), 10)
 
 
 @query(f"WITH {FUSED} SELECT query AS query_id, found AS page_id, dense_rank::INT AS dense_rank, sparse_rank::INT AS sparse_rank, rank::INT AS rank, round(score::DOUBLE, 9) AS score FROM fused")
@@ -133,8 +140,7 @@ def hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {FUSED} SELECT count_if(dense_rank IS NOT NULL) AS dense, count_if(sparse_rank IS NOT NULL) AS sparse, count_if(dense_rank IS NOT NULL AND sparse_rank IS NOT NULL) AS both, count(*) AS fused FROM b")
 def channel_overlap(spark: SparkSession, folder: str) -> DataFrame:
     """Sizes of the channels, of their union and of their intersection."""
-    dense = _dense_pages(spark, folder)
-    sparse = _sparse(spark, folder).join(dense.select("query").distinct(), "query", "left_semi")
+    dense, sparse = _channels(spark, folder)
     both = dense.select("query", "found", F.lit(True).alias("d")).join(sparse.select("query", "found", F.lit(True).alias("s")), ["query", "found"], "full_outer")
     return both.agg(F.count("d").alias("dense"), F.count("s").alias("sparse"), F.count_if(F.col("d") & F.col("s")).alias("both"), F.count("*").alias("fused"))
 

@@ -152,7 +152,36 @@ def test_sparse_topk_keeps_frequent_terms(spark):
     got = retrieval.sparse_topk(asked, retrieval.sparse_weights(docs), 10).orderBy("rank").collect()
     assert [(r.query, r.found) for r in got] == [("q", "d07")] + [("q", f"d{i:02d}") for i in range(5)]
     assert [r.score for r in got] == pytest.approx([math.log(10)] + [math.log(2)] * 5, abs=1e-6)
-    assert {r.term for r in retrieval.sparse_weights(docs, common=0.1).collect()} == {"rare"}
+    assert {r.term for r in retrieval.sparse_weights(docs).collect()} == {"rare", "paste"}
+
+
+def test_blocks_against_brute_force(spark, monkeypatch):
+    """Many blocks and groups give what one gives; ties at the k-th place go to the smaller name."""
+    monkeypatch.setattr(retrieval, "BLOCK", 3)
+    monkeypatch.setattr(retrieval, "GROUP", 40)
+    monkeypatch.setattr(retrieval, "PAGES", 4)
+    rng = np.random.default_rng(5)
+    c, q = rng.normal(size=(200, 8)).round(1), rng.normal(size=(10, 8))
+    c[100:] = c[0]
+    rows = spark.createDataFrame([(f"c{i:03d}", v.tolist()) for i, v in enumerate(c)], "found string, cv array<float>")
+    asked = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(q)] + [(None, q[0].tolist()), ("none", None)], "query string, qv array<float>")
+    got = retrieval.dense_topk(asked, rows, 7, 8).toPandas()
+    c, q = c.astype(np.float32).astype(float), q.astype(np.float32).astype(float)
+    cos = np.round((q / np.linalg.norm(q, axis=1, keepdims=True)) @ (c / np.linalg.norm(c, axis=1, keepdims=True)).T, 12)
+    for i in range(10):
+        assert got[got["query"] == f"q{i}"].sort_values("rank").found.tolist() == [f"c{j:03d}" for j in np.lexsort((np.arange(200), -cos[i]))[:7]]
+    assert len(got) == 70
+    words = [[str(w) for w in rng.integers(0, 9, rng.integers(0, 6))] for _ in range(30)]
+    docs = spark.createDataFrame([(f"d{i:02d}", w) for i, w in enumerate(words)], "found string, terms array<string>")
+    asked = spark.createDataFrame([(f"q{i}", [str(i), str((i * 3) % 9), "x"]) for i in range(9)] + [("none", [])], "query string, terms array<string>")
+    got = retrieval.sparse_topk(asked, retrieval.sparse_weights(docs), 5).toPandas()
+    idf = {t: math.log(30 / sum(t in w for w in words)) for w in words for t in w}
+    for i in range(9):
+        score = {f"d{j:02d}": round(sum(w.count(t) * idf[t] for t in {str(i), str((i * 3) % 9)} if t in idf), 6) for j, w in enumerate(words)}
+        best = sorted((-s, d) for d, s in score.items() if s > 0)[:5]
+        assert got[got["query"] == f"q{i}"].sort_values("rank").found.tolist() == [d for _, d in best]
+    assert retrieval.sparse_topk(asked.limit(0), retrieval.sparse_weights(docs), 5).count() == 0
+    assert retrieval.dense_topk(asked.limit(0).select("query", F.array().cast("array<float>").alias("qv")), rows, 7, 8).count() == 0
 
 
 def test_metrics(spark):
