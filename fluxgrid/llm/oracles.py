@@ -42,4 +42,10 @@ ORACLES: dict[str, str] = {
         s AS (SELECT query_id, chunk_id, max(list_cosine_similarity(q.v, c.v)) AS score FROM q, c GROUP BY ALL)
         SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM s) WHERE n <= 10
     """,
+    "p4_chunk_neighbors": f"""
+        WITH c AS (SELECT DISTINCT chunk_id, embedding::DOUBLE[] AS v FROM qdrant_input WHERE {_USABLE.format(v="embedding")}),
+        q AS (SELECT * FROM c WHERE ('0x' || right(chunk_id, 8))::BIGINT % 20 = 0),
+        s AS (SELECT q.chunk_id, c.chunk_id AS neighbor_id, max(list_cosine_similarity(q.v, c.v)) AS score FROM q, c WHERE q.chunk_id <> c.chunk_id GROUP BY ALL)
+        SELECT chunk_id, neighbor_id, rank::INT AS rank, round(score, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY score DESC, neighbor_id) AS rank FROM s) WHERE rank <= 10
+    """,
 }
