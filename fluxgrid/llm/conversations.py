@@ -1,17 +1,20 @@
 """Conversations rebuilt from message rows (problem 2).
 
-``export_fragments`` brings the rows into one global order by range partitioning and cuts it into fragments
-of a bounded number of messages, each ending with the first message of the next: what a chat export that is
-read in pages looks like. ``assemble_fragments`` takes any overlapping fragments of conversations: it joins
-suffixes with prefixes of equal message hashes, keeps the edges of the overlap graph that are the only way
-out of one fragment and the only way into the next, merges the paths by pointer doubling and drops
-conversations with a gap, that is with anything but one path through all their fragments. A conversation of
-any length is spread over many fragments and never gathered in one task.
+``export_fragments`` writes the rows as what a paged chat export looks like: fragments of a few messages of
+one conversation, each beginning with the last messages of the one before. ``assemble_fragments`` takes any
+overlapping fragments: it joins suffixes with prefixes of equal message hashes, keeps the edges of the overlap
+graph that are the only way out of one fragment and the only way into the next, merges the paths by pointer
+doubling and drops conversations with a gap, that is with anything but one path through all their fragments,
+or with fewer messages on the path than there are. A conversation of any length is spread over its fragments
+and never gathered in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxgrid.sources.scratch import cut
@@ -26,8 +29,8 @@ ROLE_WORDS = {
 # Characters that show nothing, for regular expressions of the JVM.
 BLANK = r"\s\u00A0\u00AD\u034F\u061C\u1680\u180E\u2000-\u200F\u2028-\u202F\u205F-\u206F\u2800\u3000\u3164\uFE00-\uFE0F\uFEFF"
 
-#: Messages of a conversation that one fragment holds at most, besides its overlap.
-FRAGMENT = 256
+#: Messages of a fragment, and those of them that the next fragment has, too.
+FRAGMENT, OVERLAP = 4, 2
 
 
 def clean_id(name: str) -> Column:
@@ -76,41 +79,38 @@ def message_hash() -> Column:
     return F.xxhash64("conversation", "row_id", "message_id", "at", "role")
 
 
-def export_fragments(rows: DataFrame, size: int = FRAGMENT) -> DataFrame:
-    """Ordered rows of conversations as overlapping fragments (conversation, fragment, items).
+def export_fragments(rows: DataFrame, size: int = FRAGMENT, overlap: int = OVERLAP) -> DataFrame:
+    """Conversations as overlapping fragments (conversation, fragment, messages, items); ``messages`` is the whole number.
 
-    ``items`` holds at most ``size`` messages and the first of the next fragment. Order: at (null first),
-    then row_id.
+    Order: at (null first), then row_id. Rows are numbered in one order of all conversations by range
+    partitioning, so that a long conversation is sorted by many tasks. A fragment begins every ``size`` less
+    ``overlap`` messages, as long as the one before doesn't reach the end.
     """
     order = ["conversation", "at", "row_id"]
+    kind = F.when(F.col("at").isNotNull() & F.col("shown"), F.substring("role", 1, 1))
+    rows = rows.select(*order, "message_id", F.coalesce(kind, F.lit("")).alias("kind"), message_hash().alias("h"))
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = cut(placed.withColumn("place", F.monotonically_increasing_id()).withColumn("h", message_hash()), "messages")
-    # An id is the partition in the upper bits and the row in the lower 33: one row per partition is left here.
-    ends = placed.groupBy(F.shiftright("place", 33).alias("part")).agg(F.max("place").alias("last"))
-    ends = ends.select((F.row_number().over(_by("part")) + 1).alias("turn"), "last")
-    heads = placed.select(F.shiftright("place", 33).alias("part")).distinct().select((F.row_number().over(_by("part"))).alias("turn"), "part")
-    before = heads.join(ends, "turn").select("part", "last")
-    fragment = lambda place: F.shiftright(place, 33) * (1 << 33) + F.floor(F.col(place).bitwiseAND((1 << 33) - 1) / size)
-    placed = placed.withColumn("fragment", fragment("place"))
-    # The copy of a fragment's first row goes to the fragment of the row before it.
-    first = placed.where(F.col("place").bitwiseAND((1 << 33) - 1) % size == 0).withColumn("part", F.shiftright("place", 33))
-    first = first.join(F.broadcast(before), "part", "left")
-    inner = F.col("place").bitwiseAND((1 << 33) - 1) > 0
-    copies = first.withColumn("place", F.when(inner, F.col("place") - 1).otherwise(F.col("last"))).where("place IS NOT NULL")
-    copies = copies.withColumn("fragment", fragment("place")).withColumn("copy", F.lit(True))
-    both = placed.withColumn("copy", F.lit(False)).unionByName(copies.select(*placed.columns, "copy"))
-    item = F.struct("at", "row_id", "message_id", "role", "shown", "h")
-    made = both.groupBy("conversation", "fragment").agg(F.sort_array(F.collect_list(item)).alias("items"), F.min("copy").alias("copied"))
-    return made.where("NOT copied").drop("copied")
-
-
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)
-
-
-def assemble_fragments(fragments: DataFrame, overlap: int = 1) -> DataFrame:
+    placed = cut(placed.withColumn("place", F.monotonically_increasing_id()), "messages")
+    # An id is the partition in the upper bits and the row in the lower 33; one row per partition is numbered on.
+    part = F.shiftright("place", 33)
+    parts = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.select("part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
+    placed = placed.withColumn("part", part).join(F.broadcast(bases), "part")
+    placed = placed.withColumn("place", F.col("base") + F.col("place").bitwiseAND((1 << 33) - 1)).drop("part", "base")
+    wholes = placed.groupBy("conversation").agg(F.min("place").alias("first"), F.count("*").alias("messages"))
+    step = size - overlap
+    placed = placed.join(wholes, "conversation").withColumn("nth", F.col("place") - F.col("first"))
+    # Fragment f holds the messages from f * step to f * step + size - 1.
+    last = F.floor(F.col("nth") / step)
+    placed = placed.withColumn("fragment", F.explode(F.sequence(F.greatest(last - (-(-size // step) - 1), F.lit(0)), last)))
+    begins = F.col("fragment") * step
+    placed = placed.where((F.col("nth") < begins + size) & ((F.col("fragment") == 0) | (F.col("messages") > begins + overlap)))
+    item = F.struct("at", "row_id", "message_id", "kind", "h")
+    return placed.groupBy("conversation", "fragment", "messages").agg(F.sort_array(F.collect_list(item)).alias("items"))
+
+
+def assemble_fragments(fragments: DataFrame, overlap: int = OVERLAP) -> DataFrame:
     """Where each fragment stands in its conversation: conversation, fragment, start, skip.
 
     ``fragments`` has conversation, fragment and items, an array of structs with the message hash ``h``.
@@ -120,71 +120,69 @@ def assemble_fragments(fragments: DataFrame, overlap: int = 1) -> DataFrame:
     ambiguous path are left out.
     """
     ends = fragments.select("conversation", "fragment", F.size("items").alias("n"), F.col("items.h").alias("h"))
-    ends = ends.select(
-        "conversation",
-        "fragment",
-        "n",
-        F.expr(f"slice(h, greatest(1, n - {overlap} + 1), {overlap})").alias("tail"),
-        F.expr(f"slice(h, 1, {overlap})").alias("head"),
-    )
     whole = ends.groupBy("conversation").agg(F.count("*").alias("fragments"))
-    ends = ends.join(whole, "conversation")
-    single, several = ends.where("fragments = 1"), cut(ends.where("fragments > 1"), "fragments")
-    lengths = F.explode(F.sequence(F.lit(1), F.least(F.lit(overlap), F.col("n"))))
-    tails = several.select("conversation", F.col("fragment").alias("a"), lengths.alias("k"), "tail").withColumn("run", F.expr("xxhash64(slice(tail, size(tail) - k + 1, k))"))
-    heads = several.select("conversation", F.col("fragment").alias("b"), lengths.alias("k"), "head").withColumn("run", F.expr("xxhash64(slice(head, 1, k))"))
-    edges = tails.drop("tail").join(heads.drop("head"), ["conversation", "k", "run"]).where("a <> b")
-    edges = edges.groupBy("conversation", "a", "b").agg(F.max("k").alias("skip"))
-    ways_out, ways_in = edges.groupBy("conversation", "a").count().where("count = 1"), edges.groupBy("conversation", "b").count().where("count = 1")
-    edges = edges.join(ways_out.select("conversation", "a"), ["conversation", "a"], "left_semi").join(ways_in.select("conversation", "b"), ["conversation", "b"], "left_semi")
-    back = edges.select("conversation", F.col("b").alias("fragment"), F.col("a").alias("to"), "skip")
-    size = several.select("conversation", F.col("fragment").alias("to"), F.col("n").alias("m"))
-    back = back.join(size, ["conversation", "to"])
+    ends = cut(ends.join(whole, "conversation"), "fragments")
+    several = ends.where("fragments > 1")
+    length = F.explode(F.sequence(F.lit(1), F.least(F.lit(overlap), F.col("n")))).alias("k")
+    tails = several.select("conversation", F.col("fragment").alias("a"), "n", "h", length).select("conversation", "a", "k", F.expr("xxhash64(slice(h, n - k + 1, k))").alias("run"), F.col("n").alias("m"))
+    heads = several.select("conversation", F.col("fragment").alias("b"), "h", "n", length).select("conversation", "b", "k", F.expr("xxhash64(slice(h, 1, k))").alias("run"))
+    edges = tails.join(heads, ["conversation", "k", "run"]).where("a <> b")
+    edges = edges.groupBy("conversation", "a", "b").agg(F.max("k").alias("skip"), F.max("m").alias("m"))
+    # The only way out of one and into the other: fragments have few neighbours, so these are counted by aggregates.
+    single = lambda end, other: edges.groupBy("conversation", end).agg(F.count("*").alias("ways"), F.min(other).alias(other), F.min("skip").alias("skip"), F.min("m").alias("m")).where("ways = 1").drop("ways")
+    edges = single("a", "b").join(single("b", "a").select("conversation", "b", "a"), ["conversation", "a", "b"])
+    back = edges.select("conversation", F.col("b").alias("fragment"), F.col("a").alias("to"), "skip", "m")
     # Each fragment points to the one before it, with the number of messages it gains by that.
-    linked = several.join(back, ["conversation", "fragment"], "left").select(
+    linked = ends.join(back, ["conversation", "fragment"], "left").select(
         "conversation", "fragment", "fragments", F.coalesce("skip", F.lit(0)).alias("skip"), "to", F.coalesce(F.expr("m - skip"), F.lit(0)).cast("long").alias("start"), F.when(F.col("to").isNotNull(), 1).otherwise(0).cast("long").alias("steps")
     )
-    linked = cut(linked, "links")
-    while not linked.where("to IS NOT NULL").isEmpty():
+    linked, span, done = cut(linked, "links"), 1, []
+    longest = linked.agg(F.max("fragments")).collect()[0][0] or 0
+    while True:
+        # Pointers span up to ``span`` fragments by now: shorter conversations are finished.
+        done.append(linked.where(F.col("fragments") <= span + 1))
+        if longest <= span + 1:
+            break
+        linked = linked.where(F.col("fragments") > span + 1)
         ahead = linked.select("conversation", F.col("fragment").alias("to"), F.col("to").alias("next"), F.col("start").alias("more"), F.col("steps").alias("further"))
-        # A circle never ends: its steps outgrow the number of fragments, and it points nowhere then.
         linked = linked.join(ahead, ["conversation", "to"], "left").select(
-            "conversation", "fragment", "fragments", "skip", F.when(F.col("steps") < F.col("fragments"), F.col("next")).alias("to"), (F.col("start") + F.coalesce("more", F.lit(0))).alias("start"), (F.col("steps") + F.coalesce("further", F.lit(0))).alias("steps")
+            "conversation", "fragment", "fragments", "skip", F.col("next").alias("to"), (F.col("start") + F.coalesce("more", F.lit(0))).alias("start"), (F.col("steps") + F.coalesce("further", F.lit(0))).alias("steps")
         )
-        linked = cut(linked, "links")
-    # One path through all fragments: their steps are 0 to n - 1, once each.
+        linked, span = cut(linked, "links"), span * 2
+    linked = reduce(DataFrame.unionByName, done)
+    # One path through all fragments: their steps are 0 to n - 1, once each. Those of a circle outgrow n.
     sound = linked.groupBy("conversation").agg(F.max("fragments").alias("n"), F.max("steps").alias("far"), F.sum("steps").alias("all"), F.sum(F.col("steps") * F.col("steps")).alias("squares"))
     sound = sound.where("far = n - 1 AND all = n * (n - 1) / 2 AND squares = n * (n - 1) * (2 * n - 1) / 6").select("conversation")
-    out = linked.join(sound, "conversation", "left_semi").select("conversation", "fragment", "start", "skip")
-    return out.unionByName(single.select("conversation", "fragment", F.lit(0).cast("long").alias("start"), F.lit(0).alias("skip")))
+    return linked.join(sound, "conversation", "left_semi").select("conversation", "fragment", "start", "skip")
 
 
-def rebuild_conversations(messages: DataFrame, conversations: DataFrame, size: int = FRAGMENT) -> DataFrame:
+def rebuild_conversations(messages: DataFrame, conversations: DataFrame, export: Callable[[DataFrame], DataFrame] = export_fragments) -> DataFrame:
     """conversation_id, turn, message_id, role of every message of every sound conversation.
 
-    A conversation is kept if it is in ``conversations``, all its messages have a readable time, a known
-    role and content that shows something, and they are at most one system message, which comes first, then
-    pairs of user and assistant. Null ids, times, roles and contents break a conversation, they are no
-    error; empty tables give no rows; repeated rows of either table count once.
+    A conversation is kept if it is in ``conversations``, its fragments make one path with all its messages,
+    all its messages have a readable time, a known role and content that shows something, and they are at
+    most one system message, which comes first, then pairs of user and assistant. Null ids, times, roles and
+    contents break a conversation, they are no error; empty tables give no rows; repeated rows of either
+    table count once. ``export`` makes fragments of message rows.
     """
-    fragments = cut(export_fragments(message_rows(messages), size), "fragments")
+    fragments = cut(export(message_rows(messages)), "fragments")
     placed = fragments.join(assemble_fragments(fragments), ["conversation", "fragment"])
-    items = F.expr("transform(slice(items, skip + 1, size(items)), (x, i) -> struct(start + skip + i AS g, x.message_id AS message_id, x.role AS role, x.at IS NOT NULL AND x.role IS NOT NULL AND x.shown AS ok))")
-    placed = placed.select("conversation", items.alias("items"))
-    of = lambda who, odd: F.expr(f"size(filter(items, x -> x.ok AND x.role = '{who}' AND x.g % 2 = {odd}))")
+    items = F.expr("transform(slice(items, skip + 1, size(items)), (x, i) -> struct(start + skip + i AS g, x.message_id AS message_id, x.kind AS kind))")
+    placed = placed.select("conversation", "messages", items.alias("items"))
+    of = lambda who, odd: F.expr(f"size(filter(items, x -> x.kind = '{who}' AND x.g % 2 = {odd}))")
     counts = placed.select(
         "conversation",
+        "messages",
         F.size("items").alias("n"),
-        F.expr("size(filter(items, x -> x.ok))").alias("ok"),
-        F.expr("size(filter(items, x -> x.ok AND x.role = 'system'))").alias("system"),
-        F.expr("size(filter(items, x -> x.ok AND x.role = 'system' AND x.g = 0))").alias("opening"),
-        (of("user", 0) + of("assistant", 1)).alias("plain"),
-        (of("user", 1) + of("assistant", 0)).alias("shifted"),
+        F.expr("size(filter(items, x -> x.kind = 's'))").alias("system"),
+        F.expr("size(filter(items, x -> x.kind = 's' AND x.g = 0))").alias("opening"),
+        (of("u", 0) + of("a", 1)).alias("plain"),
+        (of("u", 1) + of("a", 0)).alias("shifted"),
     )
-    names = ("n", "ok", "system", "opening", "plain", "shifted")
-    counts = counts.groupBy("conversation").agg(*(F.sum(c).alias(c) for c in names))
-    good = counts.where("ok = n AND ((system = 0 AND plain = n AND n % 2 = 0 AND n >= 2) OR (system = 1 AND opening = 1 AND shifted = n - 1 AND n % 2 = 1 AND n >= 3))")
+    counts = counts.groupBy("conversation").agg(F.max("messages").alias("messages"), *(F.sum(c).alias(c) for c in ("n", "system", "opening", "plain", "shifted")))
+    good = counts.where("n = messages AND ((system = 0 AND plain = n AND n % 2 = 0 AND n >= 2) OR (system = 1 AND opening = 1 AND shifted = n - 1 AND n % 2 = 1 AND n >= 3))")
     known = conversations.where(F.col("conversation_id").isNotNull()).select(clean_id("conversation_id").alias("conversation"), F.col("conversation_id").cast("string").alias("conversation_id"))
     known = known.groupBy("conversation").agg(F.min("conversation_id").alias("conversation_id"))
     kept = placed.join(good.select("conversation").join(known, "conversation"), "conversation")
-    return kept.select("conversation_id", F.explode("items").alias("x")).select("conversation_id", (F.col("x.g") + 1).cast("int").alias("turn"), "x.message_id", "x.role")
+    role = F.create_map(*(F.lit(x) for pair in (("u", "user"), ("a", "assistant"), ("s", "system")) for x in pair))
+    return kept.select("conversation_id", F.explode("items").alias("x")).select("conversation_id", (F.col("x.g") + 1).cast("int").alias("turn"), "x.message_id", role[F.col("x.kind")].alias("role"))

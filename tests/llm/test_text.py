@@ -48,8 +48,8 @@ def chat(spark, rows, known=("A", "B", "C")):
     return messages, spark.createDataFrame([(k,) for k in known], "conversation_id string")
 
 
-def rebuilt(spark, rows, size=256, known=("A", "B", "C")):
-    got = conversations.rebuild_conversations(*chat(spark, rows, known), size).collect()
+def rebuilt(spark, rows, known=("A", "B", "C")):
+    got = conversations.rebuild_conversations(*chat(spark, rows, known)).collect()
     return {(r.conversation_id, r.turn, r.message_id) for r in got}
 
 
@@ -79,15 +79,36 @@ def test_conversations_unknown_or_empty(spark):
     assert rebuilt(spark, [], known=("A",)) == set()
 
 
-@pytest.mark.parametrize("size", [1, 3, 256])
-def test_long_conversations_over_fragments(spark, size):
+@pytest.mark.parametrize(("size", "overlap"), [(2, 1), (4, 2), (9, 4), (10, 7), (256, 8)])
+def test_long_conversations_over_fragments(spark, size, overlap):
     rows = [(i, None if i % 7 == 0 else f"m{i}", "C", "user" if i % 2 == 0 else "assistant", f"t{i}", "2025-01-01T10:00:00Z") for i in range(100)]
     random.Random(1).shuffle(rows)
-    got = conversations.rebuild_conversations(*chat(spark, rows), size).collect()
+    export = lambda r: conversations.export_fragments(r, size, overlap)
+    got = conversations.rebuild_conversations(*chat(spark, rows), export).collect()
     assert sorted((r.turn, r.message_id) for r in got if r.message_id) == [(i + 1, f"m{i}") for i in range(100) if i % 7]
     assert len(got) == 100
 
 
+@pytest.mark.parametrize("lost", range(5))
+def test_a_lost_fragment_drops_its_conversation(spark, lost):
+    rows = [(c * 100 + i, f"m{c}{i}", "AB"[c], "user" if i % 2 == 0 else "assistant", "t", f"2025-01-01T10:00:{i:02d}Z") for c in range(2) for i in range(12)]
+
+    def export(r):
+        made = conversations.export_fragments(r)
+        assert made.where("conversation = 'a'").count() == 5 and made.selectExpr("max(size(items))").first()[0] == 4
+        return made.where(f"NOT (conversation = 'a' AND fragment = {lost})")
+
+    assert {r.conversation_id for r in conversations.rebuild_conversations(*chat(spark, rows)).collect()} == {"A", "B"}
+    got = conversations.rebuild_conversations(*chat(spark, rows), export).collect()
+    assert {r.conversation_id for r in got} == {"B"} and len(got) == 12
+
+
+def test_assembly_of_ambiguous_or_circular_fragments(spark):
+    rows = [("fork", 0, [1, 2]), ("fork", 1, [2, 3]), ("fork", 2, [2, 4]), ("circle", 0, [1, 2]), ("circle", 1, [2, 3]), ("circle", 2, [3, 1]), ("one", 0, [7])]
+    frame = spark.createDataFrame([(c, i, [(h,) for h in hs]) for c, i, hs in rows], "conversation string, fragment int, items array<struct<h:long>>")
+    assert [tuple(r) for r in conversations.assemble_fragments(frame, 1).collect()] == [("one", 0, 0, 0)]
+
+
 def test_assembly_of_given_fragments(spark):
     hashes = [random.Random(2).getrandbits(60) + i for i in range(60)]
     rng, rows = random.Random(3), []
