@@ -156,17 +156,17 @@ def assemble_fragments(fragments: DataFrame, overlap: int = OVERLAP) -> DataFram
     return linked.join(sound, "conversation", "left_semi").select("conversation", "fragment", "start", "skip")
 
 
-def rebuild_conversations(messages: DataFrame, conversations: DataFrame, export: Callable[[DataFrame], DataFrame] = export_fragments) -> DataFrame:
+def rebuild_conversations(messages: DataFrame, conversations: DataFrame, export: Callable[[DataFrame], DataFrame] = export_fragments, overlap: int = OVERLAP) -> DataFrame:
     """conversation_id, turn, message_id, role of every message of every sound conversation.
 
     A conversation is kept if it is in ``conversations``, its fragments make one path with all its messages,
     all its messages have a readable time, a known role and content that shows something, and they are at
     most one system message, which comes first, then pairs of user and assistant. Null ids, times, roles and
     contents break a conversation, they are no error; empty tables give no rows; repeated rows of either
-    table count once. ``export`` makes fragments of message rows.
+    table count once. ``export`` makes fragments of message rows that overlap by at most ``overlap``.
     """
     fragments = cut(export(message_rows(messages)), "fragments")
-    placed = fragments.join(assemble_fragments(fragments), ["conversation", "fragment"])
+    placed = fragments.join(assemble_fragments(fragments, overlap), ["conversation", "fragment"])
     items = F.expr("transform(slice(items, skip + 1, size(items)), (x, i) -> struct(start + skip + i AS g, x.message_id AS message_id, x.kind AS kind))")
     placed = placed.select("conversation", "messages", items.alias("items"))
     of = lambda who, odd: F.expr(f"size(filter(items, x -> x.kind = '{who}' AND x.g % 2 = {odd}))")

@@ -126,9 +126,8 @@ def nearest(queries: DataFrame, query_key: str, query_vector: str, rows: DataFra
         flips = F.array(*(F.lit(sum(1 << b for b in at)) for d in range(radius + 1) for at in combinations(range(WIDTH), d)))
         ball = lambda j: F.transform(flips, lambda x: F.lit(j << WIDTH) + substring(j, "q").bitwiseXOR(x))
         balls = F.array(*(ball(j) for j in range(SUBSTRINGS)))
-        probes = open_.select("q", *(f"q{w}" for w in words), F.explode(F.flatten(balls)).alias("place"))
-        if radius:  # Spark sizes the probes by the queries they come from and would broadcast them; they are merged instead.
-            probes = probes.hint("merge")
+        # Spark sizes the probes by the queries they come from and would broadcast them; they are merged instead.
+        probes = open_.select("q", *(f"q{w}" for w in words), F.explode(F.flatten(balls)).alias("place")).hint("merge")
         # A finished query's best have at least the sure cosine: what is further away can't be among them.
         met = probes.join(index, "place").where(apart <= furthest(sure)).select("q", "id").distinct()
         pairs = met.join(vectors, "id").join(asked, "q")

@@ -84,7 +84,7 @@ def test_long_conversations_over_fragments(spark, size, overlap):
     rows = [(i, None if i % 7 == 0 else f"m{i}", "C", "user" if i % 2 == 0 else "assistant", f"t{i}", "2025-01-01T10:00:00Z") for i in range(100)]
     random.Random(1).shuffle(rows)
     export = lambda r: conversations.export_fragments(r, size, overlap)
-    got = conversations.rebuild_conversations(*chat(spark, rows), export).collect()
+    got = conversations.rebuild_conversations(*chat(spark, rows), export, overlap).collect()
     assert sorted((r.turn, r.message_id) for r in got if r.message_id) == [(i + 1, f"m{i}") for i in range(100) if i % 7]
     assert len(got) == 100
 
