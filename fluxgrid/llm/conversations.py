@@ -3,7 +3,7 @@
 ``export_fragments`` writes the rows as what a paged chat export looks like: fragments of a few messages of
 one conversation, each beginning with the last messages of the one before. ``assemble_fragments`` takes any
 overlapping fragments: it joins suffixes with prefixes of equal message hashes, keeps the edges of the overlap
-graph that are the only way out of one fragment and the only way into the next, merges the paths by pointer
+graph that are the one longest way out of one fragment and the one longest way into the next, merges the paths by pointer
 doubling and drops conversations with a gap, that is with anything but one path through all their fragments,
 or with fewer messages on the path than there are. A conversation of any length is spread over its fragments
 and never gathered in one task.
@@ -115,7 +115,7 @@ def assemble_fragments(fragments: DataFrame, overlap: int = OVERLAP) -> DataFram
 
     ``fragments`` has conversation, fragment and items, an array of structs with the message hash ``h``.
     Two fragments of a conversation overlap if the last 1 to ``overlap`` hashes of one are the first of the
-    other; the longest match counts. ``start`` is the number of messages before the fragment, ``skip`` the
+    other; the longest match counts, also among several neighbours. ``start`` is the number of messages before the fragment, ``skip`` the
     number of its items that the fragment before it already has. Conversations with a gap or with an
     ambiguous path are left out.
     """
@@ -128,9 +128,12 @@ def assemble_fragments(fragments: DataFrame, overlap: int = OVERLAP) -> DataFram
     heads = several.select("conversation", F.col("fragment").alias("b"), "h", "n", length).select("conversation", "b", "k", F.expr("xxhash64(slice(h, 1, k))").alias("run"))
     edges = tails.join(heads, ["conversation", "k", "run"]).where("a <> b")
     edges = edges.groupBy("conversation", "a", "b").agg(F.max("k").alias("skip"), F.max("m").alias("m"))
-    # The only way out of one and into the other: fragments have few neighbours, so these are counted by aggregates.
-    single = lambda end, other: edges.groupBy("conversation", end).agg(F.count("*").alias("ways"), F.min(other).alias(other), F.min("skip").alias("skip"), F.min("m").alias("m")).where("ways = 1").drop("ways")
-    edges = single("a", "b").join(single("b", "a").select("conversation", "b", "a"), ["conversation", "a", "b"])
+    # The longest overlap of either end counts; where two are as long as each other, the way is ambiguous.
+    top, low = F.max(F.struct("skip", "b", "m")), F.min(F.struct((-F.col("skip")).alias("s"), "b"))
+    ahead = edges.groupBy("conversation", "a").agg(top.alias("top"), low.alias("low")).where("top.b = low.b").select("conversation", "a", "top.b", "top.skip", "top.m")
+    top, low = F.max(F.struct("skip", "a")), F.min(F.struct((-F.col("skip")).alias("s"), "a"))
+    behind = edges.groupBy("conversation", "b").agg(top.alias("top"), low.alias("low")).where("top.a = low.a").select("conversation", "b", "top.a")
+    edges = ahead.join(behind, ["conversation", "a", "b"])
     back = edges.select("conversation", F.col("b").alias("fragment"), F.col("a").alias("to"), "skip", "m")
     # Each fragment points to the one before it, with the number of messages it gains by that.
     linked = ends.join(back, ["conversation", "fragment"], "left").select(
