@@ -26,39 +26,67 @@ def line_form(looks: str) -> Column:
 
 
 def formed_lines(lines: DataFrame) -> DataFrame:
-    """line_id, source, page, line_no and node, which stands for the line's source and form."""
+    """line_id, source, page, line_no, form and node, which stands for the line's source and form."""
     rows = lines.where("source_id IS NOT NULL AND page_id IS NOT NULL").select("line_id", "source_id", "page_id", "line_no", "text")
     rows = with_visual_form(rows, "text", "looks").withColumn("form", line_form("looks"))
     node = F.when(F.col("form").isNotNull(), F.struct(F.xxhash64("source_id", "form").alias("a"), F.xxhash64("form", "source_id").alias("b")))
-    return rows.select("line_id", F.col("source_id").alias("source"), F.col("page_id").alias("page"), "line_no", node.alias("node"))
+    return rows.select("line_id", F.col("source_id").alias("source"), F.col("page_id").alias("page"), "line_no", "form", node.alias("node"))
 
 
-def _supported(pages_of: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of keys with their number of pages, where it is high for the source."""
-    counted = pages_of.groupBy("source", *keys).agg(F.count("*").alias("pages")).where(F.col("pages") >= PAGES)
-    return counted.join(sizes, "source").where(F.col("pages") >= SHARE * F.col("of"))
+def _often(counted: DataFrame, sizes: DataFrame, weight: str) -> DataFrame:
+    """Rows of counts by source of which ``weight`` is high for the source's number of pages."""
+    return counted.where(F.col(weight) >= PAGES).join(sizes, "source").where(F.col(weight) >= SHARE * F.col("of")).drop("of")
 
 
-def boilerplate_lines(lines: DataFrame) -> DataFrame:
-    """line_id, page, source, node and block of each line that stands in a boilerplate block.
+def line_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(found, nodes, edges): lines of high support, and the graph of their forms.
 
-    Lines with a null source or page, null text or nothing that shows are never boilerplate; repeated rows
-    count once; lines without line_no take part as nodes only. A source may hold any share of the rows: its
-    lines are counted by form first, and only forms seen on enough rows are counted by page.
+    found: line_id, page, source, line_no, node; nodes: source, node, form, pages, block; edges: source, a, b,
+    pages, block. ``block`` is the connected component. A source may hold any share of the rows: its lines are
+    counted by form first, and only forms seen on enough rows are counted by page. A source has few of these,
+    at most its lines per page over SHARE, so that hot forms meet a small table.
     """
     lines = cut(formed_lines(lines), "lines")
     sizes = lines.select("source", "page").distinct().groupBy("source").agg(F.count("*").alias("of"))
-    # A form on fewer rows than PAGES is on fewer pages, too; nearly all forms end here, before any page is shuffled.
-    often = lines.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("rows")).where(F.col("rows") >= PAGES).select("node")
-    seen = lines.join(often, "node", "left_semi")
-    nodes = cut(_supported(seen.select("source", "node", "page").distinct(), sizes, ["node"]).select("source", "node"), "nodes")
-    found = cut(lines.join(nodes.select("node"), "node", "left_semi").distinct(), "found")
+    counted = lines.where("node IS NOT NULL").groupBy("source", "node").agg(F.count("*").alias("rows"))
+    often = _often(counted, sizes, "rows").select("node")
+    seen = cut(lines.join(often, "node", "left_semi").distinct(), "seen")
+    nodes = seen.select("source", "node", "page").distinct().groupBy("source", "node").agg(F.count("*").alias("pages"))
+    nodes = cut(_often(nodes, sizes, "pages"), "nodes")
+    found = cut(seen.join(nodes.select("node"), "node", "left_semi").select("line_id", "page", "source", "line_no", "form", "node"), "found")
     here = found.where("line_no IS NOT NULL").select("source", "page", "line_no", F.col("node").alias("a"))
-    below = found.where("line_no IS NOT NULL").select("page", (F.col("line_no") - 1).alias("line_no"), F.col("node").alias("b"), F.col("source").alias("source"))
+    below = found.where("line_no IS NOT NULL").select("source", "page", (F.col("line_no") - 1).alias("line_no"), F.col("node").alias("b"))
     pairs = here.join(below, ["source", "page", "line_no"]).select("source", "a", "b", "page").distinct()
-    edges = _supported(pairs, sizes, ["a", "b"]).select("a", "b")
+    edges = cut(_often(pairs.groupBy("source", "a", "b").agg(F.count("*").alias("pages")), sizes, "pages"), "edges")
     blocks = connected_components(nodes, edges).withColumnRenamed("component", "block")
-    return found.join(blocks, "node").select("line_id", "page", "source", "node", "block")
+    forms = found.groupBy("node").agg(F.min("form").alias("form"))
+    nodes = cut(nodes.join(blocks, "node").join(forms, "node").select("source", "node", "form", "pages", "block"), "graph")
+    edges = edges.join(nodes.select(F.col("node").alias("a"), "block"), "a").select("source", "a", "b", "pages", "block")
+    return found.drop("form"), nodes, edges
+
+
+def boilerplate_lines(lines: DataFrame) -> DataFrame:
+    """line_id, page, source, node and block of each line that stands in a boilerplate block.
+
+    Lines with a null source or page, null text or nothing that shows are never boilerplate; repeated rows
+    count once; lines without line_no take part as nodes only.
+    """
+    found, nodes, _ = line_graph(lines)
+    return found.join(nodes.select("node", "block"), "node").select("line_id", "page", "source", "node", "block")
+
+
+def boilerplate_blocks(lines: DataFrame) -> DataFrame:
+    """source, block, forms, edges, pages, weight, lines: the blocks of consecutive lines that return in a source.
+
+    ``block`` is its smallest form, ``pages`` the support of its most frequent form, ``weight`` the sum of the
+    support of its edges, ``lines`` the number of its occurrences, all of which ``without_boilerplate`` deletes.
+    """
+    found, nodes, edges = line_graph(lines)
+    sizes = nodes.groupBy("source", "block").agg(F.min("form").alias("name"), F.count("*").alias("forms"), F.max("pages").alias("pages"))
+    weights = edges.groupBy("source", "block").agg(F.count("*").alias("edges"), F.sum("pages").alias("weight"))
+    seen = found.join(nodes.select("node", "block"), "node").groupBy("block").agg(F.countDistinct("line_id").alias("lines"))
+    out = sizes.join(weights, ["source", "block"], "left").join(seen, "block")
+    return out.select("source", F.col("name").alias("block"), "forms", F.coalesce("edges", F.lit(0)).alias("edges"), "pages", F.coalesce("weight", F.lit(0)).alias("weight"), "lines")
 
 
 def without_boilerplate(lines: DataFrame) -> DataFrame:

@@ -59,6 +59,12 @@ def p3_clean_pages(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.without_boilerplate(read_table(spark, folder, "layout_line"))
 
 
+@_query
+def p3_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The blocks of consecutive boilerplate lines of each source, with their weights."""
+    return boilerplate.boilerplate_blocks(read_table(spark, folder, "layout_line")).withColumnRenamed("source", "source_id")
+
+
 @_query
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """The ten most similar chunks of each question vector."""

@@ -11,6 +11,12 @@ _ROLE = "CASE " + " ".join(f"WHEN lower(trim(role, ' ')) IN ({', '.join(repr(w)
 _SHOWN = "regexp_replace(coalesce(content, ''), '[\\s\\x{A0}\\x{AD}\\x{200B}-\\x{200F}\\x{2060}-\\x{206F}\\x{3000}\\x{FEFF}]+', '', 'g') <> ''"
 _USABLE = "{v} IS NOT NULL AND len({v}) = 64 AND len(list_filter({v}, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter({v}, lambda x: x <> 0)) > 0"
 
+_REPEATED = f"""WITH l AS (SELECT line_id, page_id, source_id, line_no, nullif(trim(regexp_replace(regexp_replace(replace(lower(form), 'ß', 'ss'), '\\s+', ' ', 'g'), '\\p{{Nd}}+', '0', 'g'), ' '), '') AS f
+            FROM (SELECT DISTINCT line_id, page_id, source_id, line_no, {form_sql('text')} AS form FROM layout_line)),
+        s AS (SELECT source_id, f, count(DISTINCT page_id) AS pages FROM l WHERE f IS NOT NULL GROUP BY ALL),
+        p AS (SELECT source_id, count(DISTINCT page_id) AS total FROM l GROUP BY source_id),
+        n AS (SELECT l.* FROM l JOIN s USING (source_id, f) JOIN p USING (source_id) WHERE pages >= 4 AND pages >= 0.08 * total)"""
+
 ORACLES: dict[str, str] = {
     "p1_found": f"""
         WITH f AS ({_FORMS})
@@ -29,12 +35,21 @@ ORACLES: dict[str, str] = {
             AND (any_value(n) - max(CASE WHEN opening = 'system' THEN 1 ELSE 0 END)) % 2 = 0 AND any_value(n) - max(CASE WHEN opening = 'system' THEN 1 ELSE 0 END) >= 2)
         SELECT v.conversation_id, n.turn::INT AS turn, n.message_id FROM n JOIN k USING (c) JOIN (SELECT lower(trim(conversation_id, ' ')) AS c, min(conversation_id) AS conversation_id FROM conversations GROUP BY 1) v USING (c)
     """,
-    "p3_found": f"""
-        WITH l AS (SELECT line_id, page_id, source_id, nullif(trim(regexp_replace(regexp_replace(replace(lower(form), 'ß', 'ss'), '\\s+', ' ', 'g'), '\\p{{Nd}}+', '0', 'g'), ' '), '') AS f
-            FROM (SELECT DISTINCT line_id, page_id, source_id, {form_sql('text')} AS form FROM layout_line)),
-        s AS (SELECT source_id, f, count(DISTINCT page_id) AS pages FROM l WHERE f IS NOT NULL GROUP BY ALL),
-        p AS (SELECT source_id, count(DISTINCT page_id) AS total FROM l GROUP BY source_id)
-        SELECT DISTINCT line_id FROM l JOIN s USING (source_id, f) JOIN p USING (source_id) WHERE pages >= 4 AND pages >= 0.08 * total
+    "p3_found": f"{_REPEATED} SELECT DISTINCT line_id FROM n",
+    "p3_clean_pages": f"""{_REPEATED}, d AS (SELECT DISTINCT page_id, source_id, line_no, line_id, text FROM layout_line WHERE source_id IS NOT NULL AND page_id IS NOT NULL),
+        k AS (SELECT *, line_id IN (SELECT line_id FROM n) AS gone FROM d)
+        SELECT page_id, source_id, count(CASE WHEN NOT gone THEN text END)::INT AS lines, count_if(gone) AS removed, coalesce(string_agg(CASE WHEN NOT gone THEN text END, chr(10) ORDER BY line_no, line_id), '') AS text FROM k GROUP BY ALL
+    """,
+    "p3_blocks": f"""{_REPEATED.replace("WITH", "WITH RECURSIVE", 1)},
+        e AS (SELECT a.source_id, a.f AS x, b.f AS y, count(DISTINCT a.page_id) AS pages FROM n a JOIN n b ON a.source_id = b.source_id AND a.page_id = b.page_id AND b.line_no = a.line_no + 1 JOIN p ON p.source_id = a.source_id
+            GROUP BY a.source_id, a.f, b.f, p.total HAVING count(DISTINCT a.page_id) >= 4 AND count(DISTINCT a.page_id) >= 0.08 * p.total),
+        w AS (SELECT source_id, x, y FROM e UNION SELECT source_id, y, x FROM e),
+        r AS (SELECT DISTINCT source_id, f AS x, f AS y FROM n UNION SELECT r.source_id, r.x, w.y FROM r JOIN w ON w.source_id = r.source_id AND w.x = r.y),
+        c AS (SELECT source_id, x AS f, min(y) AS block FROM r GROUP BY ALL),
+        o AS (SELECT source_id, f, count(DISTINCT page_id) AS pages, count(DISTINCT line_id) AS lines FROM n GROUP BY ALL),
+        t AS (SELECT e.source_id, block, count(*) AS edges, sum(e.pages) AS weight FROM e JOIN c ON c.source_id = e.source_id AND c.f = e.x GROUP BY ALL)
+        SELECT c.source_id, c.block, count(*) AS forms, coalesce(any_value(t.edges), 0) AS edges, max(o.pages) AS pages, coalesce(any_value(t.weight), 0)::BIGINT AS weight, sum(o.lines)::BIGINT AS lines
+        FROM c JOIN o USING (source_id, f) LEFT JOIN t ON t.source_id = c.source_id AND t.block = c.block GROUP BY c.source_id, c.block
     """,
     "p4_found": f"""
         WITH q AS (SELECT DISTINCT query_id, dense::DOUBLE[] AS v FROM query_vectors WHERE {_USABLE.format(v="dense")}),
