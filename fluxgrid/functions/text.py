@@ -10,7 +10,7 @@ BLANKS = r" \t\x{A0}\x{2000}-\x{200A}\x{202F}\x{3000}"
 
 # How lines of a page look that are more than running text.
 PATTERNS = {
-    "numbered": r"^\d+(\.\d+){0,5}(\s+|[A-Za-z\x{4E00}-\x{9FFF}])",
+    "numbered": r"^(\d+(\.\d+){0,5})(\s+|(?=[一-鿿A-Za-z]))",
     "chapter": r"^第[一二三四五六七八九十百]+[章节部分]",
     "appendix": r"^附录\s*[A-ZＡ-Ｚ0-9一二三四五六七八九十]+(\s|$)",
     "list_item": r"^([-•●▪]|\(?[a-zA-Z0-9一二三四五六七八九十]+[)）、.])\s+",
@@ -25,9 +25,9 @@ PATTERNS = {
     "label": r"(?i)^(Sponsored by|Advertisement)$",
 }
 
-# What readers and share bars leave in a text layer.
-OVERLAYS = [r"^\s*[-+]?\s*\d{1,3}\s*%\s*[-+]?\s*$", r"(?i)^\s*[-+]?\s*page\s*\(\d+/\d+\)\s*$", r"(?i)^\s*(print|drucken|merken|打印|收藏|save as note)\s*$"]
-OVERLAY_INLINE = r"(?i)[-+]?\s*\d{1,3}%\s*\+?\s*|page\s*\(\d+/\d+\)"
+# What viewers leave in a text layer, as a piece of its own and within one.
+OVERLAYS = [r"(?i)^page\s*\(\s*\d+\s*/\s*\d+\s*\)$", r"^100%$", r"^-?\s*100%\s*\+?$"]
+OVERLAY_INLINE = r"(?i)([-+]?\s*100%\s*[-+]?|\+?\s*page\s*\(\s*\d+\s*/\s*\d+\s*\))"
 
 
 def normalize(text: Column) -> Column:
@@ -58,23 +58,23 @@ def assessment(flags: Column) -> Column:
 
 
 def table_likeness(text: Column) -> Column:
-    """Lines that look like rows: two for a line with column marks, one for a line with three numbers or more."""
-    marks = F.size(F.filter(F.split(text, "\n"), lambda x: x.contains(" | ") | x.contains("\t")))
-    numbers = F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"(\d+[^\d]+){3,}")))
-    return 2 * marks + numbers
+    """How much lines look like rows: the words with a digit of lines with two or more of them, and two for a tab or a wide gap."""
+    numbers = lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w.rlike(r"\d")))
+    score = lambda x: F.when(numbers(x) >= 2, numbers(x)).otherwise(0) + F.when(x.contains("\t") | x.contains("  "), 2).otherwise(0)
+    return F.aggregate(F.split(text, "\n"), F.lit(0), lambda s, x: s + score(x))
 
 
 def without_overlays(text: Column) -> Column:
-    """Pieces between bars without those that are only overlays, and without overlays inside the others."""
-    pieces = F.transform(F.split(text, r"\|"), lambda p: F.trim(p))
-    for pattern in OVERLAYS:
-        pieces = _drop(pieces, pattern)
-    pieces = F.transform(pieces, lambda p: single_line(F.regexp_replace(p, OVERLAY_INLINE, " ")))
-    return F.array_join(F.filter(pieces, lambda p: p != ""), " | ")
+    """Lines without what viewers leave in them: pieces between bars that are overlays, and overlays inside the others."""
 
+    def line(x: Column) -> Column:
+        pieces = F.transform(F.split(x, r"\|"), lambda p: F.trim(p))
+        kept = F.filter(pieces, lambda p: ~p.rlike("|".join(f"({o})" for o in OVERLAYS)))
+        kept = F.transform(kept, lambda p: F.regexp_replace(F.regexp_replace(p, OVERLAY_INLINE, ""), r"^[ +\-|]+|[ +\-|]+$", ""))
+        return F.array_join(F.filter(kept, lambda p: p != ""), " | ")
 
-def _drop(pieces: Column, pattern: str) -> Column:
-    return F.filter(pieces, lambda p: ~p.rlike(pattern))
+    lines = F.filter(F.transform(F.split(normalize(text), "\n"), line), lambda x: x != "")
+    return normalize(F.array_join(lines, "\n"))
 
 
 def contains_term(text: Column, term: Column) -> Column:
@@ -91,7 +91,6 @@ def heading(text: Column, longest: int = 100) -> Column:
     gap, title = F.regexp_extract(t, r"^([1-9]\d*(\.\d+){0,5})(\s*)(.+)$", 3), F.regexp_extract(t, r"^([1-9]\d*(\.\d+){0,5})(\s*)(.+)$", 4)
     letters = F.length(F.regexp_replace(t, r"\P{L}", ""))
     others = F.length(F.regexp_replace(t, r"[\p{L}\s]", ""))
-    shown = F.length(F.regexp_replace(t, r"\s", ""))
     no = lambda reason: F.struct(F.lit(False).alias("accepted"), F.lit(None).cast("int").alias("level"), F.lit(reason).alias("reason"))
     yes = lambda level, reason: F.struct(F.lit(True).alias("accepted"), level.cast("int").alias("level"), F.lit(reason).alias("reason"))
     return (
@@ -107,11 +106,11 @@ def heading(text: Column, longest: int = 100) -> Column:
         .when((number != "") & ~title.rlike(r"^\p{L}"), no("numeric_noise"))
         .when((number != "") & (gap == "") & title.rlike(r"^[A-Za-z]"), no("numeric_noise"))
         .when((number != "") & title.rlike(r"^[a-z]"), no("sentence"))
-        .when(number != "", yes(F.least(F.length(number) - F.length(F.regexp_replace(number, r"\.", "")) + 1, F.lit(6)), "numbered"))
-        .when(t.rlike(p["chapter"]) | t.rlike(p["appendix"]), yes(F.lit(1), "chapter"))
+        .when(number != "", yes(F.least(F.length(number) - F.length(F.regexp_replace(number, r"\.", "")) + 1, F.lit(6)), "numbered_heading"))
+        .when(t.rlike(p["chapter"]) | t.rlike(p["appendix"]), yes(F.lit(1), "named_heading"))
         .when(letters < 2, no("insufficient_letters"))
-        .when(others > 0.35 * shown, no("numeric_noise"))
-        .otherwise(yes(F.lit(1), "unnumbered"))
+        .when(others > 0.35 * F.length(t), no("numeric_noise"))
+        .otherwise(yes(F.lit(1), "unnumbered_heading"))
     )
 
 

@@ -28,21 +28,23 @@ def _gain(relevance: Column, rank: Column) -> Column:
 def per_query(judgements: DataFrame, gold: DataFrame, by: tuple[str, ...] = ("query",)) -> DataFrame:
     """recall5, mrr10, ndcg10, source_hit5, page_hit5 of each query with gold pages; queries without results have 0.
 
-    The ideal order puts the gold pages first, then as many other pages of gold sources as were found.
+    The ideal order has all gold pages first, found or not, then the other pages of gold sources that were found.
     """
     sizes = gold.groupBy("query").agg(F.count("*").alias("gold"))
-    ideal = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("relevance"), "rank"))
-    rows = judgements.withColumn("ideal", ideal)
+    rows = judgements
     top5, top10 = F.col("rank") <= 5, F.col("rank") <= 10
     scores = rows.groupBy(*by).agg(
         F.sum(F.when(top5 & (F.col("relevance") == 2), 1).otherwise(0)).alias("hits5"),
         F.min(F.when(top10 & (F.col("relevance") == 2), F.col("rank"))).alias("first"),
         F.sum(F.when(top10, _gain(F.col("relevance"), F.col("rank"))).otherwise(0.0)).alias("dcg"),
-        F.sum(F.when(F.col("ideal") <= 10, _gain(F.col("relevance"), F.col("ideal"))).otherwise(0.0)).alias("best"),
+        F.count_if(F.col("relevance") == 1).alias("near"),
         F.max(F.when(top5 & (F.col("relevance") >= 1), 1).otherwise(0)).alias("source_hit5"),
     )
     grid = sizes if by == ("query",) else sizes.crossJoin(judgements.select(*(c for c in by if c != "query")).distinct())
-    out = grid.join(scores, list(by), "left").na.fill(0, ["hits5", "dcg", "best", "source_hit5"])
+    out = grid.join(scores, list(by), "left").na.fill(0, ["hits5", "dcg", "near", "source_hit5"])
+    places = F.sequence(F.lit(1), F.lit(10))
+    ideal = F.transform(places, lambda i: _gain(F.when(i <= F.col("gold"), 2).when(i <= F.col("gold") + F.col("near"), 1).otherwise(0), i))
+    out = out.withColumn("best", F.aggregate(ideal, F.lit(0.0), lambda s, x: s + x))
     return out.select(
         *by, "gold", "hits5", F.round(F.col("hits5") / F.col("gold"), 6).alias("recall5"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr10"),
         F.round(F.coalesce(F.try_divide("dcg", "best"), F.lit(0.0)), 6).alias("ndcg10"), "source_hit5", F.when(F.col("hits5") > 0, 1).otherwise(0).alias("page_hit5"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxgrid.sources.scratch import cut
@@ -84,6 +84,12 @@ def cause_paths(edges: DataFrame) -> DataFrame:
     return paths.groupBy("defect", "process", "organization").agg(F.countDistinct("question").alias("questions"), F.countDistinct("source").alias("sources"))
 
 
+def exact_text(vector: str) -> Column:
+    """A vector of floats as text: whole numbers of 2 to the power of -40, so that equal values have equal texts."""
+    value = lambda x: F.when(x.isNull(), "null").when(F.isnan(x), "nan").otherwise(F.floor(x.cast("double") * 2.0**40).cast("string"))
+    return F.array_join(F.transform(vector, value), ",")
+
+
 def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
     """rows and fingerprint of a table, in no order: row hashes summed up by ranges of the hash, then chained.
 
@@ -91,6 +97,7 @@ def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
     """
     h = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns)), 256)
     parts = rows.select(h.alias("h")).groupBy(F.substring("h", 1, 2).alias("r"))
-    parts = parts.agg(F.count("*").alias("n"), F.sum(F.conv(F.substring("h", 3, 12), 16, 10).cast("decimal(38,0)")).alias("s"))
-    line = F.concat_ws(":", "r", F.col("n").cast("string"), F.col("s").cast("string"))
+    half = lambda at: F.sum(F.conv(F.substring("h", at, 15), 16, 10).cast("decimal(38,0)"))
+    parts = parts.agg(F.count("*").alias("n"), half(3).alias("s"), half(18).alias("t"))
+    line = F.concat_ws(":", "r", *(F.col(c).cast("string") for c in "nst"))
     return parts.agg(F.sum("n").alias("n_rows"), F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "|"), 256).alias("fingerprint"))

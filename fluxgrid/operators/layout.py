@@ -7,14 +7,22 @@ from pyspark.sql import functions as F
 
 from fluxgrid.functions import text as tx
 
-MERGEABLE = ["paragraph", "list_item", "table"]
+MERGEABLE = ["paragraph", "table"]
+
+#: Pages of a source that are looked at together when sections run on over pages.
+RANGE = 1_000
 
 
 def typed_lines(lines: DataFrame) -> DataFrame:
-    """Layout lines, once each, with block_type; a page's typical font is the median of its fonts."""
-    lines = lines.dropDuplicates(["line_id"])
+    """Layout lines that show something, once each, with block_type.
+
+    A page's typical font is the median of its lines between header and footer, of all its lines if there are
+    none; null fonts don't count.
+    """
+    lines = lines.dropDuplicates(["line_id"]).where("trim(text) <> ''")
     page = Window.partitionBy("page_id")
-    lines = lines.withColumn("typical", F.coalesce(F.median("font_size").over(page), F.lit(0.0)))
+    inner = F.when((F.col("y1") > 0.08) & (F.col("y0") < 0.92), F.col("font_size"))
+    lines = lines.withColumn("typical", F.coalesce(F.median(inner).over(page), F.median("font_size").over(page), F.lit(0.0)))
     kind = tx.block_type(F.col("text"), *(F.col(c) for c in ("x0", "y0", "x1", "y1")), F.coalesce("font_size", F.lit(0.0)), F.col("typical"))
     return lines.withColumn("block_type", kind)
 
@@ -22,16 +30,17 @@ def typed_lines(lines: DataFrame) -> DataFrame:
 def block_runs(typed: DataFrame, gap: float = 0.035) -> DataFrame:
     """Adjacent lines of one mergeable type with a small vertical gap as one block.
 
-    page_id, block_no, block_type, lines, y0, y1, text; block_no counts from 0 in reading order.
+    page_id, source_id, block_no, block_type, lines, y0, y1, text; block_no counts from 0 in reading order. The
+    lines of a paragraph are joined to running text, those of a table stay lines.
     """
     order = Window.partitionBy("page_id").orderBy("line_no", "line_id")
     near = (F.col("block_type") == F.lag("block_type").over(order)) & F.col("block_type").isin(MERGEABLE) & (F.col("y0") - F.lag("y1").over(order) <= gap)
     runs = typed.withColumn("new", F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1))
     runs = runs.withColumn("block_no", F.sum("new").over(order) - 1)
     item = F.sort_array(F.collect_list(F.struct("line_no", "line_id", "text")))
-    return runs.groupBy("page_id", "block_no").agg(
-        F.min("block_type").alias("block_type"), F.count("*").alias("lines"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.array_join(F.transform(item, lambda x: x["text"]), "\n").alias("text")
-    )
+    blocks = runs.groupBy("page_id", "source_id", "block_no").agg(F.min("block_type").alias("block_type"), F.count("*").alias("lines"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), item["text"].alias("parts"))
+    text = F.when(F.col("block_type") == "paragraph", joined_paragraph("parts")).otherwise(F.array_join("parts", "\n"))
+    return blocks.select("page_id", "source_id", "block_no", "block_type", "lines", "y0", "y1", text.alias("text"))
 
 
 def joined_paragraph(parts: str) -> Column:
@@ -39,33 +48,61 @@ def joined_paragraph(parts: str) -> Column:
     return F.expr(
         f"""aggregate({parts}, '', (s, t) -> CASE
             WHEN s = '' THEN t
-            WHEN s RLIKE '-$' AND t RLIKE '^[a-zäöüß]' THEN concat(left(s, length(s) - 1), t)
-            WHEN s RLIKE '[，。；：！？、]$' OR t RLIKE '^[)）,.]' THEN concat(s, t)
+            WHEN s LIKE '%-' AND t RLIKE '^[a-zäöüß]' THEN concat(left(s, length(s) - 1), t)
+            WHEN s RLIKE '[，。；：！？、,.!?;:]$' OR t RLIKE '^[)）,.]' THEN concat(s, t)
             ELSE concat(s, ' ', t) END)"""
     )
 
 
+def _carried(pages: DataFrame, columns: list[str], counts: list[str]) -> DataFrame:
+    """``pages`` (source_id, page_id, page) with the last value of ``columns`` and the sum of ``counts`` of all pages before, as before_<name>.
+
+    Ranges of pages are summed up first, so no source is sorted in one task.
+    """
+    order = Window.partitionBy("source_id", "range").orderBy("page", "page_id").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = Window.partitionBy("source_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    pages = pages.withColumn("range", F.floor(F.coalesce("page", F.lit(0)) / RANGE))
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("page", "page_id"))).alias(c) for c in columns]
+    tops = pages.groupBy("source_id", "range").agg(*last, *(F.sum(c).alias(c) for c in counts))
+    tops = tops.select("source_id", "range", *(F.last(c, ignorenulls=True).over(ranges).alias(f"far_{c}") for c in columns), *(F.sum(c).over(ranges).alias(f"far_{c}") for c in counts))
+    out = pages.join(tops, ["source_id", "range"])
+    before = [F.coalesce(F.last(c, ignorenulls=True).over(order), F.col(f"far_{c}")).alias(f"before_{c}") for c in columns]
+    before += [(F.coalesce(F.sum(c).over(order), F.lit(0)) + F.coalesce(f"far_{c}", F.lit(0))).alias(f"before_{c}") for c in counts]
+    return out.select("source_id", "page_id", *before)
+
+
 def section_paths(typed: DataFrame, sources: DataFrame) -> DataFrame:
-    """line_id, section_no, section_path of every body line.
+    """line_id, page_id, source_id, line_no, title_run, section_no, section_path of every body line.
 
-    A heading of level L ends all sections of level L and deeper; the path starts with the source's title,
-    which a heading of level 1 takes the place of. The last heading of each level up to a line is kept by
-    windows over the page, where headings reset; a section is a run between headings.
+    A heading of level L ends all sections of level L and deeper, and goes on over the pages of its source; the
+    path starts with the source's title, which a heading of level 1 takes the place of. Unnumbered headings
+    in a row on a page are one title, joined by slashes. section_no counts the titles of the source so far.
     """
     body = typed.where(~F.col("block_type").isin("header", "footer", "page_number"))
     decided = body.withColumn("h", F.when(F.col("block_type") == "heading", tx.heading(F.col("text"))))
-    decided = decided.withColumn("level", F.when(F.col("h.accepted"), F.col("h.level")))
-    upto = Window.partitionBy("page_id").orderBy("line_no", "line_id").rowsBetween(Window.unboundedPreceding, 0)
-    out = decided.withColumn("section_no", F.count("level").over(upto))
-    mark = F.struct("level", tx.single_line(F.col("text")).alias("title"))
-    for level in range(1, 7):
-        out = out.withColumn(f"l{level}", F.last(F.when(F.col("level") <= level, mark), ignorenulls=True).over(upto))
+    decided = decided.withColumn("level", F.when(F.col("h.accepted"), F.col("h.level"))).withColumn("loose", F.coalesce(F.col("h.reason") == "unnumbered_heading", F.lit(False)))
+    order = Window.partitionBy("page_id").orderBy("line_no", "line_id")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    decided = decided.withColumn("begins", F.col("level").isNotNull() & ~(F.col("loose") & F.coalesce(F.lag("loose").over(order), F.lit(False))))
+    decided = decided.withColumn("run", F.sum(F.when(F.col("begins") | F.col("level").isNull(), 1).otherwise(0)).over(upto))
+    names = F.sort_array(F.collect_list(F.when(F.col("level").isNotNull(), F.struct("line_no", "line_id", tx.single_line(F.col("text")).alias("t")))).over(Window.partitionBy("page_id", "run")))
+    out = decided.withColumn("mark", F.when(F.col("level").isNotNull(), F.struct("level", F.array_join(names["t"], " / ").alias("title"))))
+    out = out.withColumn("own_no", F.count_if("begins").over(upto))
+    levels = range(1, 7)
+    for level in levels:
+        out = out.withColumn(f"l{level}", F.last(F.when(F.col("level") <= level, F.col("mark")), ignorenulls=True).over(upto))
+    place = F.struct("line_no", "line_id")
+    pages = out.groupBy("source_id", "page_id").agg(*(F.max_by(f"l{n}", F.when(F.col(f"l{n}").isNotNull(), place)).alias(f"l{n}") for n in levels), F.count_if("begins").alias("titles"))
+    pages = pages.withColumn("page", F.regexp_extract("page_id", r"(\d+)$", 1).try_cast("long"))
+    out = out.join(_carried(pages, [f"l{n}" for n in levels], ["titles"]), ["source_id", "page_id"])
+    for level in levels:
+        out = out.withColumn(f"l{level}", F.coalesce(f"l{level}", f"before_l{level}"))
     # The last heading of level <= n stands for level n only if it is of that level itself.
-    titles = [F.when(F.col(f"l{n}.level") == n, F.col(f"l{n}.title")) for n in range(1, 7)]
-    names = sources.select("source_id", F.col("title").alias("source_title")).dropDuplicates(["source_id"])
-    out = out.join(names, "source_id", "left")
+    titles = [F.when(F.col(f"l{n}.level") == n, F.col(f"l{n}.title")) for n in levels]
+    named = sources.select("source_id", F.col("title").alias("source_title")).dropDuplicates(["source_id"])
+    out = out.join(named, "source_id", "left")
     path = F.array_compact(F.array(F.coalesce(titles[0], F.col("source_title")), *titles[1:]))
-    return out.select("line_id", "page_id", "source_id", "line_no", "section_no", F.array_join(path, " > ").alias("section_path"))
+    return out.select("line_id", "page_id", "source_id", "line_no", F.when(F.col("level").isNotNull(), F.col("run")).alias("title_run"), (F.col("own_no") + F.col("before_titles")).alias("section_no"), F.array_join(path, " > ").alias("section_path"))
 
 
 def page_text(lines: DataFrame) -> DataFrame:
@@ -77,6 +114,10 @@ def page_text(lines: DataFrame) -> DataFrame:
     return pages.select("page_id", "source_id", F.array_join(F.transform("items", lambda x: x["text"]), "\n").alias("text"), "lines", "native_chars", "ocr_chars")
 
 
+# The least height and the share of it within which lines share a row, and the gap that parts cells.
+ROW_HEIGHT, ROW_SHARE, CELL_GAP = 0.008, 0.55, 0.04
+
+
 def same_row_merge(lines: DataFrame) -> DataFrame:
     """Lines of a page whose centre lies near the running mean centre of the row before, as rows.
 
@@ -87,15 +128,15 @@ def same_row_merge(lines: DataFrame) -> DataFrame:
     pages = lines.where("y0 IS NOT NULL AND y1 IS NOT NULL").dropDuplicates(["page_id", "line_no"]).groupBy("page_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
     pages = pages.selectExpr(
         "page_id",
-        """aggregate(items, named_struct('rows', cast(array() AS array<array<struct<y0:double,x0:double,line_no:int,y1:double,x1:double,text:string,confidence:double>>>), 'sum', 0D, 'n', 0),
-            (s, i) -> CASE WHEN s.n > 0 AND abs((i.y0 + i.y1) / 2 - s.sum / s.n) <= greatest(i.y1 - i.y0, 0.008D) * 0.55D
+        f"""aggregate(items, named_struct('rows', cast(array() AS array<array<struct<y0:double,x0:double,line_no:int,y1:double,x1:double,text:string,confidence:double>>>), 'sum', 0D, 'n', 0),
+            (s, i) -> CASE WHEN s.n > 0 AND abs((i.y0 + i.y1) / 2 - s.sum / s.n) <= greatest(i.y1 - i.y0, {ROW_HEIGHT}D) * {ROW_SHARE}D
                 THEN named_struct('rows', concat(slice(s.rows, 1, size(s.rows) - 1), array(array_append(s.rows[size(s.rows) - 1], i))), 'sum', s.sum + (i.y0 + i.y1) / 2, 'n', s.n + 1)
                 ELSE named_struct('rows', array_append(s.rows, array(i)), 'sum', (i.y0 + i.y1) / 2, 'n', 1) END,
             s -> s.rows) AS rows""",
     )
     rows = pages.select("page_id", F.posexplode("rows").alias("row_no", "row"))
     rows = rows.withColumn("row", F.expr("array_sort(row, (a, b) -> CASE WHEN a.x0 < b.x0 THEN -1 WHEN a.x0 > b.x0 THEN 1 ELSE a.line_no - b.line_no END)"))
-    joined = """aggregate(row, named_struct('t', '', 'x', cast(NULL AS double)), (s, i) -> named_struct('t', concat(s.t, CASE WHEN s.x IS NULL THEN '' WHEN i.x0 - s.x > 0.04 THEN ' | ' WHEN s.t RLIKE '[ /-]$' THEN '' ELSE ' ' END, i.text), 'x', i.x1), s -> s.t)"""
+    joined = f"""aggregate(row, named_struct('t', '', 'x', cast(NULL AS double)), (s, i) -> named_struct('t', concat(s.t, CASE WHEN s.x IS NULL THEN '' WHEN i.x0 - s.x > {CELL_GAP} THEN ' | ' WHEN s.t RLIKE '[ /-]$' THEN '' ELSE ' ' END, i.text), 'x', i.x1), s -> s.t)"""
     return rows.select(
         "page_id", "row_no", F.size("row").alias("pieces"), tx.normalize(F.expr(joined)).alias("text"),
         F.array_min("row.x0").alias("x0"), F.array_min("row.y0").alias("y0"), F.array_max("row.x1").alias("x1"), F.array_max("row.y1").alias("y1"),

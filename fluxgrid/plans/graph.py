@@ -74,10 +74,12 @@ def graph_components(spark: SparkSession, folder: str) -> DataFrame:
     return graphs.connected_components(nodes, edges.where(F.col("type").isin("ANSWERED_BY", "PUBLISHED_BY")), "identity", "from_id", "to_id")
 
 
-@query("""WITH h AS (SELECT sha256(concat_ws(chr(31), chunk_id, source_id, coalesce(pdf_page_start::VARCHAR, chr(0)), coalesce(pdf_page_end::VARCHAR, chr(0)))) AS h FROM (SELECT DISTINCT chunk_id, source_id, pdf_page_start, pdf_page_end FROM qdrant_input)),
-    p AS (SELECT substr(h, 1, 2) AS r, count(*) AS n, sum(('0x' || substr(h, 3, 12))::BIGINT::HUGEINT) AS s FROM h GROUP BY r)
-    SELECT sum(n)::BIGINT AS n_rows, sha256(string_agg(r || ':' || n || ':' || s, '|' ORDER BY r || ':' || n || ':' || s)) AS fingerprint FROM p""")
+@query("""WITH d AS (SELECT DISTINCT chunk_id, source_id, pdf_page_start, pdf_page_end, semantic_tag_excluded, array_to_string(list_transform(embedding, lambda x: CASE WHEN x IS NULL THEN 'null' WHEN isnan(x) THEN 'nan' ELSE floor(x::DOUBLE * 1099511627776)::BIGINT::VARCHAR END), ',') AS vector FROM qdrant_input),
+    h AS (SELECT sha256(concat_ws(chr(31), chunk_id, source_id, coalesce(pdf_page_start::VARCHAR, chr(0)), coalesce(pdf_page_end::VARCHAR, chr(0)), coalesce(semantic_tag_excluded::VARCHAR, chr(0)), coalesce(vector, chr(0)))) AS h FROM d),
+    p AS (SELECT substr(h, 1, 2) AS r, count(*) AS n, sum(('0x' || substr(h, 3, 15))::BIGINT::HUGEINT) AS s, sum(('0x' || substr(h, 18, 15))::BIGINT::HUGEINT) AS t FROM h GROUP BY r)
+    SELECT sum(n)::BIGINT AS n_rows, sha256(string_agg(r || ':' || n || ':' || s || ':' || t, '|' ORDER BY r || ':' || n || ':' || s || ':' || t)) AS fingerprint FROM p""")
 def index_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
-    """A fingerprint of the index's payload that doesn't depend on the order of rows."""
-    columns = ["chunk_id", "source_id", "pdf_page_start", "pdf_page_end"]
-    return graphs.fingerprint(read_table(spark, folder, "qdrant_input").select(*columns).distinct(), columns)
+    """A fingerprint of the index, payload and vectors, that doesn't depend on the order of rows."""
+    columns = ["chunk_id", "source_id", "pdf_page_start", "pdf_page_end", "semantic_tag_excluded"]
+    rows = read_table(spark, folder, "qdrant_input").select(*columns, graphs.exact_text("embedding").alias("vector")).distinct()
+    return graphs.fingerprint(rows, [*columns, "vector"])

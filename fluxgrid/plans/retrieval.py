@@ -180,10 +180,9 @@ def rank_fusion(spark: SparkSession, folder: str) -> DataFrame:
 GOLD = """gold AS (SELECT DISTINCT query, s AS source_id, p AS page FROM (SELECT query_id AS query, unnest(gold_sources) AS s, unnest(gold_pages) AS p FROM (SELECT DISTINCT * FROM retriever_main) WHERE answerable) WHERE s IS NOT NULL AND p IS NOT NULL)"""
 SCORES = """judged AS (SELECT f.*, CASE WHEN g.query IS NOT NULL THEN 2 WHEN n.query IS NOT NULL THEN 1 ELSE 0 END AS relevance FROM ranked f
         LEFT JOIN gold g ON g.query = f.query AND g.source_id = f.source_id AND g.page = f.page LEFT JOIN (SELECT DISTINCT query, source_id FROM gold) n ON n.query = f.query AND n.source_id = f.source_id),
-    ideal AS (SELECT *, row_number() OVER (PARTITION BY query, w ORDER BY relevance DESC, rank) AS ideal FROM judged),
     agg AS (SELECT query, w, count_if(rank <= 5 AND relevance = 2) AS hits5, min(CASE WHEN rank <= 10 AND relevance = 2 THEN rank END) AS first, sum(CASE WHEN rank <= 10 THEN (pow(2.0, relevance) - 1) / log2(rank + 1) ELSE 0 END) AS dcg,
-        sum(CASE WHEN ideal <= 10 THEN (pow(2.0, relevance) - 1) / log2(ideal + 1) ELSE 0 END) AS best, max(CASE WHEN rank <= 5 AND relevance >= 1 THEN 1 ELSE 0 END) AS source_hit5 FROM ideal GROUP BY ALL),
-    scores AS (SELECT query, w, gold, coalesce(hits5, 0) AS hits5, round(coalesce(hits5, 0) / gold, 6) AS recall5, round(coalesce(1.0 / first, 0)::DOUBLE, 6) AS mrr10, round(coalesce(dcg / nullif(best, 0), 0), 6) AS ndcg10, coalesce(source_hit5, 0) AS source_hit5, CASE WHEN hits5 > 0 THEN 1 ELSE 0 END AS page_hit5
+        count_if(relevance = 1) AS near, max(CASE WHEN rank <= 5 AND relevance >= 1 THEN 1 ELSE 0 END) AS source_hit5 FROM judged GROUP BY ALL),
+    scores AS (SELECT query, w, gold, coalesce(hits5, 0) AS hits5, round(coalesce(hits5, 0) / gold, 6) AS recall5, round(coalesce(1.0 / first, 0)::DOUBLE, 6) AS mrr10, round(coalesce(dcg / list_sum(list_transform(range(1, 11), lambda i: CASE WHEN i <= gold THEN 3.0 WHEN i <= gold + coalesce(near, 0) THEN 1.0 ELSE 0.0 END / log2(i + 1))), 0), 6) AS ndcg10, coalesce(source_hit5, 0) AS source_hit5, CASE WHEN hits5 > 0 THEN 1 ELSE 0 END AS page_hit5
         FROM (SELECT query, count(*) AS gold FROM gold GROUP BY query) CROSS JOIN (SELECT DISTINCT w FROM weights) LEFT JOIN agg USING (query, w))"""
 AVERAGES = "count(*) AS queries, round(avg(recall5), 6) AS macro_recall5, round(sum(hits5) / sum(gold), 6) AS micro_recall5, round(avg(mrr10), 6) AS mrr10, round(avg(ndcg10), 6) AS ndcg10, round(avg(source_hit5), 6) AS source_hit5, round(avg(page_hit5), 6) AS page_hit5"
 SPLIT = "split_part(found, ':p', 1) AS source_id, split_part(found, ':p', 2)::INT AS page"

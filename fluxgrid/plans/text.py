@@ -46,12 +46,13 @@ def text_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 TYPED_SQL = f"""
-    SELECT l.*, coalesce(font_size, 0) AS font, coalesce(median(font_size) OVER (PARTITION BY page_id), 0) AS typical, trim(text, ' ') AS t FROM {LINES} l"""
+    SELECT l.*, coalesce(font_size, 0) AS font, coalesce(median(CASE WHEN y1 > 0.08 AND y0 < 0.92 THEN font_size END) OVER (PARTITION BY page_id), median(font_size) OVER (PARTITION BY page_id), 0) AS typical, trim(text, ' ') AS t FROM {LINES} l WHERE trim(text, ' ') <> ''"""
+_NUMBERED = "^\\d+(\\.\\d+){0,5}(\\s|[\\x{4E00}-\\x{9FFF}A-Za-z])"
 TYPE_SQL = f"""CASE
     WHEN regexp_matches(t, '{P["page_number"]}') AND (y0 >= 0.88 OR y1 <= 0.12) THEN 'page_number'
     WHEN y1 <= 0.08 THEN 'header' WHEN y0 >= 0.92 THEN 'footer'
     WHEN regexp_matches(t, '{P["table_caption"]}') THEN 'table_caption' WHEN regexp_matches(t, '{P["figure_caption"]}') THEN 'figure_caption'
-    WHEN regexp_matches(t, '{P["numbered"]}') OR regexp_matches(t, '{P["chapter"]}')
+    WHEN regexp_matches(t, '{_NUMBERED}') OR regexp_matches(t, '{P["chapter"]}')
       OR (length(t) BETWEEN 4 AND 100 AND NOT contains(t, ' | ') AND x1 - x0 >= 0.12 AND typical > 0 AND font >= typical * 1.5 AND regexp_matches(t, '\\p{{L}}'))
       OR (length(t) BETWEEN 8 AND 100 AND regexp_matches(t, '^[^a-zäöüß]*$') AND regexp_matches(t, '[A-Z]{{2,}}[^A-Z]+(.*[^A-Z])?[A-Z]{{2,}}')) THEN 'heading'
     WHEN regexp_matches(t, '{P["list_item"]}') THEN 'list_item' WHEN contains(t, ' | ') THEN 'table'
@@ -66,9 +67,10 @@ def block_classify(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""
     WITH a AS (SELECT *, {TYPE_SQL} AS k FROM ({TYPED_SQL})),
-    b AS (SELECT *, CASE WHEN k = lag(k) OVER w AND k IN ('paragraph', 'list_item', 'table') AND y0 - lag(y1) OVER w <= 0.035 THEN 0 ELSE 1 END AS new FROM a WINDOW w AS (PARTITION BY page_id ORDER BY line_no, line_id)),
+    b AS (SELECT *, CASE WHEN k = lag(k) OVER w AND k IN ('paragraph', 'table') AND y0 - lag(y1) OVER w <= 0.035 THEN 0 ELSE 1 END AS new FROM a WINDOW w AS (PARTITION BY page_id ORDER BY line_no, line_id)),
     c AS (SELECT *, sum(new) OVER (PARTITION BY page_id ORDER BY line_no, line_id) - 1 AS block_no FROM b)
-    SELECT page_id, block_no::BIGINT AS block_no, min(k) AS block_type, count(*) AS lines, min(y0) AS y0, max(y1) AS y1, sha256(string_agg(text, chr(10) ORDER BY line_no, line_id)) AS text_hash FROM c GROUP BY ALL""")
+    SELECT page_id, block_no::BIGINT AS block_no, min(k) AS block_type, count(*) AS lines, min(y0) AS y0, max(y1) AS y1, sha256(CASE WHEN min(k) = 'paragraph' THEN list_reduce(list(text ORDER BY line_no, line_id), lambda s, x: CASE WHEN s LIKE '%-' AND regexp_matches(x, '^[a-zäöüß]') THEN s[:-2] || x
+        WHEN regexp_matches(s, '[，。；：！？、,.!?;:]$') OR regexp_matches(x, '^[)）,.]') THEN s || x ELSE s || ' ' || x END) ELSE string_agg(text, chr(10) ORDER BY line_no, line_id) END) AS text_hash FROM c GROUP BY page_id, block_no""")
 def block_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Adjacent lines of one kind as blocks."""
     runs = layout.block_runs(layout.typed_lines(read_table(spark, folder, "layout_line")))
@@ -83,9 +85,9 @@ HEADING_SQL = f"""
         WHEN regexp_matches(t, '{P["label"]}') THEN 'generic_label' WHEN regexp_matches(t, '{P["list_sentence"]}') THEN 'list_sentence' WHEN regexp_matches(t, '{P["unit"]}') THEN 'parameter_expression'
         WHEN regexp_matches(t, '{P["sentence_end"]}') THEN 'sentence'
         WHEN num <> '' AND (TRY_CAST(regexp_extract(num, '^\\d+') AS BIGINT) > 99 OR NOT regexp_matches(title, '^\\p{{L}}') OR (gap = '' AND regexp_matches(title, '^[A-Za-z]'))) THEN 'numeric_noise'
-        WHEN num <> '' AND regexp_matches(title, '^[a-z]') THEN 'sentence' WHEN num <> '' THEN 'numbered'
-        WHEN regexp_matches(t, '{P["chapter"]}') OR regexp_matches(t, '{P["appendix"]}') THEN 'chapter' WHEN letters < 2 THEN 'insufficient_letters' WHEN others > 0.35 * shown THEN 'numeric_noise' ELSE 'unnumbered' END AS reason FROM m)
-    SELECT line_id, reason IN ('numbered', 'chapter', 'unnumbered') AS accepted, CASE reason WHEN 'numbered' THEN least(length(num) - length(replace(num, '.', '')) + 1, 6) WHEN 'chapter' THEN 1 WHEN 'unnumbered' THEN 1 END::INT AS level, reason FROM r"""
+        WHEN num <> '' AND regexp_matches(title, '^[a-z]') THEN 'sentence' WHEN num <> '' THEN 'numbered_heading'
+        WHEN regexp_matches(t, '{P["chapter"]}') OR regexp_matches(t, '{P["appendix"]}') THEN 'named_heading' WHEN letters < 2 THEN 'insufficient_letters' WHEN others > 0.35 * length(t) THEN 'numeric_noise' ELSE 'unnumbered_heading' END AS reason FROM m)
+    SELECT line_id, reason LIKE '%_heading' AS accepted, CASE reason WHEN 'numbered_heading' THEN least(length(num) - length(replace(num, '.', '')) + 1, 6) WHEN 'named_heading' THEN 1 WHEN 'unnumbered_heading' THEN 1 END::INT AS level, reason FROM r"""
 
 
 @query(HEADING_SQL)
@@ -97,13 +99,17 @@ def heading_decision(spark: SparkSession, folder: str) -> DataFrame:
 
 _MARKS = ", ".join(f"last_value(CASE WHEN lv <= {n} THEN struct_pack(lv := lv, title := title) END IGNORE NULLS) OVER w AS l{n}" for n in range(1, 7))
 _TITLES = ", ".join(f"CASE WHEN l{n}.lv = {n} THEN l{n}.title END" for n in range(2, 7))
+SECTIONS = f"""hd AS ({HEADING_SQL}), ty AS (SELECT *, {TYPE_SQL} AS k, {single_line_sql('text')} AS title FROM ({TYPED_SQL})),
+    bd AS (SELECT a.*, CASE WHEN a.k = 'heading' AND hd.accepted THEN hd.level END AS lv, a.k = 'heading' AND hd.reason = 'unnumbered_heading' AS loose FROM ty a JOIN hd USING (line_id) WHERE a.k NOT IN ('header', 'footer', 'page_number')),
+    rn AS (SELECT *, lv IS NOT NULL AND NOT (loose AND coalesce(lag(loose) OVER w, false)) AS begins FROM bd WINDOW w AS (PARTITION BY page_id ORDER BY line_no, line_id)),
+    rr AS (SELECT *, sum(CASE WHEN begins OR lv IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY line_no, line_id) AS run FROM rn),
+    tt AS (SELECT page_id, run, string_agg(title, ' / ' ORDER BY line_no, line_id) AS joined FROM rr WHERE lv IS NOT NULL GROUP BY ALL),
+    jn AS (SELECT rr.* REPLACE (coalesce(tt.joined, rr.title) AS title) FROM rr LEFT JOIN tt ON tt.page_id = rr.page_id AND tt.run = rr.run),
+    mk AS (SELECT *, count(CASE WHEN begins THEN 1 END) OVER w AS section_no, {_MARKS} FROM jn WINDOW w AS (PARTITION BY source_id ORDER BY page_id, line_no, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    sections AS (SELECT mk.*, concat_ws(' > ', coalesce(CASE WHEN l1.lv = 1 THEN l1.title END, s.title), {_TITLES}) AS section_path FROM mk LEFT JOIN (SELECT source_id, any_value(title) AS title FROM source_spec GROUP BY source_id) s USING (source_id))"""
 
 
-@query(f"""
-    WITH hd AS ({HEADING_SQL}), a AS (SELECT *, {TYPE_SQL} AS k, {single_line_sql('text')} AS title FROM ({TYPED_SQL})),
-    b AS (SELECT a.line_id, a.page_id, a.source_id, a.line_no, a.title, CASE WHEN a.k = 'heading' AND hd.accepted THEN hd.level END AS lv FROM a JOIN hd USING (line_id) WHERE a.k NOT IN ('header', 'footer', 'page_number')),
-    m AS (SELECT *, count(lv) OVER w AS section_no, {_MARKS} FROM b WINDOW w AS (PARTITION BY page_id ORDER BY line_no, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-    SELECT line_id, section_no, concat_ws(' > ', coalesce(CASE WHEN l1.lv = 1 THEN l1.title END, s.title), {_TITLES}) AS section_path FROM m LEFT JOIN (SELECT source_id, any_value(title) AS title FROM source_spec GROUP BY source_id) s USING (source_id)""")
+@query(f"WITH {SECTIONS} SELECT line_id, section_no, section_path FROM sections")
 def section_path(spark: SparkSession, folder: str) -> DataFrame:
     """Section and path of every body line."""
     return layout.section_paths(layout.typed_lines(read_table(spark, folder, "layout_line")), read_table(spark, folder, "source_spec")).select("line_id", "section_no", "section_path")
@@ -154,25 +160,35 @@ def reading_order(spark: SparkSession, folder: str) -> DataFrame:
     return lines.groupBy("page_id").agg(F.bool_and(F.col("line_no") == F.col("nth")).alias("contiguous"), F.count("*").alias("lines"))
 
 
-@query("""
-    WITH c AS (SELECT page_id, line_no, trim(text, ' ') AS label, CASE WHEN y0 >= 0.88 THEN 2 ELSE 1 END AS score FROM (SELECT DISTINCT * FROM ocr_line)
-        WHERE (y0 >= 0.88 OR y1 <= 0.12) AND regexp_matches(trim(text, ' '), '^(p\\. |- |\\[|Page |Seite |第 ?)?\\d{1,4}( -|\\]| ?页| of \\d+| von \\d+)?$'))
-    SELECT page_id, arg_max(label, struct_pack(score := score, no := -line_no)) AS label, TRY_CAST(regexp_extract(arg_max(label, struct_pack(score := score, no := -line_no)), '\\d+') AS INT) AS printed FROM c GROUP BY page_id""")
+# Printed page labels, what viewers print beside them, and the label at the start of a footer.
+LABEL = r"(\d{1,4}|[ivxlcdmIVXLCDM]{1,8}|[A-Za-z]-?\d{1,4})"
+VIEWER = r"(?i)(page\s*\(|\d+\s*/\s*\d+|100%)"
+
+
+@query(rf"""
+    WITH b AS (SELECT *, trim(text, ' ') AS t FROM (SELECT DISTINCT * FROM ocr_line) WHERE (y0 >= 0.84 OR y1 <= 0.12) AND NOT regexp_matches(text, '{VIEWER}')),
+    c AS (SELECT *, CASE WHEN regexp_full_match(t, '{LABEL}') THEN t WHEN y0 >= 0.92 AND y1 > 0.08 THEN nullif(regexp_extract(t, '^{LABEL}\s+.+$', 1), '') END AS label FROM b),
+    s AS (SELECT *, CASE WHEN regexp_full_match(t, '{LABEL}') AND (y0 >= 0.88 OR y1 <= 0.12) THEN 98 ELSE 90 END + CASE WHEN y0 >= 0.84 THEN 1 ELSE 0 END AS points FROM c WHERE label IS NOT NULL)
+    SELECT page_id, label, (points / 100)::DOUBLE AS score, TRY_CAST(label AS INT) AS printed FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY points DESC, line_no, label) AS n FROM s) WHERE n = 1""")
 def printed_page(spark: SparkSession, folder: str) -> DataFrame:
-    """The printed page number of each scanned page: the best label in its top or bottom band."""
-    lines = read_table(spark, folder, "ocr_line").distinct().withColumn("label", F.trim("text"))
-    band = lines.where(((F.col("y0") >= 0.88) | (F.col("y1") <= 0.12)) & F.col("label").rlike(r"^(p\. |- |\[|Page |Seite |第 ?)?\d{1,4}( -|\]| ?页| of \d+| von \d+)?$"))
-    best = F.max_by("label", F.struct(F.when(F.col("y0") >= 0.88, 2).otherwise(1).alias("score"), (-F.col("line_no")).alias("no")))
-    return band.groupBy("page_id").agg(best.alias("label")).select("page_id", "label", F.regexp_extract("label", r"\d+", 0).try_cast("int").alias("printed"))
+    """The printed page label of each scanned page: the best one in its top or bottom band."""
+    lines = read_table(spark, folder, "ocr_line").distinct().withColumn("t", F.trim("text"))
+    bottom, number = F.col("y0") >= 0.84, F.col("t").rlike(f"^{LABEL}$")
+    band = lines.where((bottom | (F.col("y1") <= 0.12)) & ~F.col("text").rlike(VIEWER))
+    footer = F.regexp_extract("t", rf"^{LABEL}\s+.+$", 1)
+    band = band.withColumn("label", F.when(number, F.col("t")).when((F.col("y0") >= 0.92) & (F.col("y1") > 0.08) & (footer != ""), footer)).where("label IS NOT NULL")
+    points = F.when(number & ((F.col("y0") >= 0.88) | (F.col("y1") <= 0.12)), 98).otherwise(90) + F.when(bottom, 1).otherwise(0)
+    best = F.min(F.struct((-points).alias("points"), "line_no", "label")).alias("b")
+    return band.groupBy("page_id").agg(best).select("page_id", "b.label", (-F.col("b.points") / 100).alias("score"), F.col("b.label").try_cast("int").alias("printed"))
 
 
-_KEPT = "list_transform(string_split(text, '|'), lambda p: trim(p, ' '))"
-for _pattern in tx.OVERLAYS:
-    _KEPT = f"list_filter({_KEPT}, lambda p: NOT regexp_matches(p, '{_pattern}'))"
-_CLEANED = single_line_sql(f"regexp_replace(p, '{tx.OVERLAY_INLINE}', ' ', 'g')")
+_PIECES = "list_transform(string_split(x, '|'), lambda p: trim(p, ' '))"
+_PIECES = f"list_filter({_PIECES}, lambda p: NOT regexp_matches(p, '(?i)^(page\\s*\\(\\s*\\d+\\s*/\\s*\\d+\\s*\\)|-?\\s*100%\\s*\\+?)$'))"
+_PIECES = f"list_transform({_PIECES}, lambda p: trim(regexp_replace(p, '(?i)([-+]?\\s*100%\\s*[-+]?|\\+?\\s*page\\s*\\(\\s*\\d+\\s*/\\s*\\d+\\s*\\))', '', 'g'), ' +-|'))"
+_CLEAN = f"array_to_string(list_filter({_PIECES}, lambda p: p <> ''), ' | ')"
 
 
-@query(f"SELECT line_id, array_to_string(list_filter(list_transform({_KEPT}, lambda p: {_CLEANED}), lambda p: p <> ''), ' | ') AS text FROM {LINES} WHERE contains(text, '|')")
+@query(f"SELECT line_id, {NORMAL.replace('text', 'c')} AS text FROM (SELECT line_id, array_to_string(list_filter(list_transform(string_split({NORMAL}, chr(10)), lambda x: {_CLEAN}), lambda x: x <> ''), chr(10)) AS c FROM {LINES} WHERE contains(text, '|'))")
 def overlay_clean(spark: SparkSession, folder: str) -> DataFrame:
     """Layout lines with bars, without what share bars and viewers left in them."""
     lines = read_table(spark, folder, "layout_line").dropDuplicates(["line_id"]).where(F.contains("text", F.lit("|")))
@@ -181,7 +197,7 @@ def overlay_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""
     WITH p AS (SELECT page_id, source_id, string_agg(text, chr(10) ORDER BY line_no, line_id) AS text FROM {LINES} GROUP BY ALL),
-    s AS (SELECT *, length(text) AS n, 2 * len(list_filter(string_split(text, chr(10)), lambda x: contains(x, ' | ') OR contains(x, chr(9)))) + len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(\\d+[^\\d]+){{3,}}'))) AS likeness,
+    s AS (SELECT *, length(text) AS n, list_sum(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN len(regexp_extract_all(x, '\\S*\\d\\S*')) >= 2 THEN len(regexp_extract_all(x, '\\S*\\d\\S*')) ELSE 0 END + CASE WHEN contains(x, chr(9)) OR contains(x, '  ') THEN 2 ELSE 0 END)) AS likeness,
         row_number() OVER (PARTITION BY source_id ORDER BY page_id) AS nth, count(*) OVER (PARTITION BY source_id) AS pages FROM p)
     SELECT source_id, max(pages) AS pages, arg_min(page_id, struct_pack(n := n, p := page_id)) AS shortest, arg_max(page_id, struct_pack(n := n, p := page_id)) AS longest, arg_max(page_id, struct_pack(n := likeness, p := page_id)) AS most_tabular,
         max(CASE WHEN nth = 1 THEN page_id END) AS first, max(CASE WHEN nth = (pages + 1) // 2 THEN page_id END) AS middle, max(CASE WHEN nth = pages THEN page_id END) AS last FROM s GROUP BY source_id""")

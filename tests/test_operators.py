@@ -27,9 +27,9 @@ def test_normalize(spark, given, kept):
 @pytest.mark.parametrize(
     ("text", "accepted", "level", "reason"),
     [
-        ("6.2.2.1 印刷", True, 4, "numbered"), ("Solder Paste Shorts", True, 1, "unnumbered"), ("参数 | 数值", False, None, "table_row"), ("2） 具备条件", False, None, "list_sentence"),
-        ("0.4N/mm 以上", False, None, "parameter_expression"), ("Sponsored by", False, None, "generic_label"), ("第三章 印刷", True, 1, "chapter"), ("ab", False, None, "too_short"),
-        ("100 Units of work", False, None, "numeric_noise"), ("This ends here。", False, None, "sentence"), ("x" * 101, False, None, "too_long"),
+        ("6.2.2.1 印刷", True, 4, "numbered_heading"), ("Solder Paste Shorts", True, 1, "unnumbered_heading"), ("参数 | 数值", False, None, "table_row"), ("2） 具备条件", False, None, "list_sentence"),
+        ("0.4N/mm 以上", False, None, "parameter_expression"), ("Sponsored by", False, None, "generic_label"), ("第三章 印刷", True, 1, "named_heading"), ("ab", False, None, "too_short"),
+        ("100 Units of work", False, None, "numeric_noise"), ("This ends here。", False, None, "sentence"), ("3 minutes, then 245°C.", False, None, "parameter_expression"), ("ab 12 34 56", False, None, "numeric_noise"), ("a b c 1 2 3 4", True, 1, "unnumbered_heading"), ("a b c d 1 2 3", True, 1, "unnumbered_heading"), ("x" * 101, False, None, "too_long"),
     ],
 )
 def test_heading(spark, text, accepted, level, reason):
@@ -53,6 +53,74 @@ def test_overlays(spark):
     assert one(spark, tx.without_overlays(F.col("t")), t="正文 page(2/24) | 100%") == "正文"
 
 
+@pytest.mark.parametrize(("given", "kept"), [("voids | 5% max", "voids | 5% max"), ("100%", ""), ("a | 100% | b\npage (3/9)\nc", "a | b\nc"), ("", ""), (None, None), ("x 99% page(1/2) |", "x 99%")])
+def test_overlays_leave_percentages(spark, given, kept):
+    assert one(spark, tx.without_overlays(F.col("t")), t=given) == kept
+
+
+@pytest.mark.parametrize(("text", "score"), [("a 1 2", 2), ("a 1", 0), ("x\ty", 2), ("10 20 30  z\nplain", 5), ("", 0), ("1 2\n3 4\n5", 4)])
+def test_table_likeness(spark, text, score):
+    assert one(spark, tx.table_likeness(F.col("t")), t=text) == score
+
+
+SOURCE = "source_id string, title string"
+LAYOUT = "line_id long, page_id string, source_id string, line_no int, text string, x0 double, y0 double, x1 double, y1 double, font_size double, source string, confidence double"
+
+
+def page_lines(spark, pages, source="s"):
+    """Layout lines of pages (number to texts), one below the other and near enough to merge."""
+    rows, n = [], 0
+    for page, texts in pages.items():
+        for i, text in enumerate(texts):
+            n += 1
+            rows.append((n, f"{source}:p{page:04d}", source, i + 1, text, 0.1, 0.1 + 0.02 * i, 0.9, 0.115 + 0.02 * i, 10.0, "native", 1.0))
+    return spark.createDataFrame(rows, LAYOUT)
+
+
+def test_sections_go_on_over_pages(spark, monkeypatch):
+    monkeypatch.setattr(layout, "RANGE", 2)
+    pages = {1: ["1 Printing", "text"], 2: ["more text"], 3: ["1.2 Stencil", "text"], 4: ["text"], 5: ["text", "2 Reflow", "text"], 6: ["text"]}
+    rows = layout.section_paths(layout.typed_lines(page_lines(spark, pages)), spark.createDataFrame([("s", "Book")], SOURCE)).orderBy("line_id").collect()
+    assert [(r.section_no, r.section_path) for r in rows] == [
+        (1, "1 Printing"), (1, "1 Printing"), (1, "1 Printing"), (2, "1 Printing > 1.2 Stencil"), (2, "1 Printing > 1.2 Stencil"), (2, "1 Printing > 1.2 Stencil"),
+        (2, "1 Printing > 1.2 Stencil"), (3, "2 Reflow"), (3, "2 Reflow"), (3, "2 Reflow"),
+    ]
+
+
+def test_unnumbered_headings_in_a_row_are_one_title(spark):
+    lines = page_lines(spark, {1: ["before", "SOLDER PASTE SHORTS", "ROOT CAUSES HERE", "text"]})
+    rows = layout.section_paths(layout.typed_lines(lines), spark.createDataFrame([("s", "Book")], SOURCE)).orderBy("line_id").collect()
+    assert [(r.section_no, r.section_path) for r in rows] == [(0, "Book")] + [(1, "SOLDER PASTE SHORTS / ROOT CAUSES HERE")] * 3
+
+
+def test_blocks_of_a_page(spark):
+    lines = page_lines(spark, {1: ["a long para-", "graph ends here.", "Next words,", "then 中文，", "more", "- item one", "- item two", "a | b", "c | d", " "]})
+    rows = layout.block_runs(layout.typed_lines(lines)).orderBy("block_no").collect()
+    assert [(r.block_type, r.lines, r.text) for r in rows] == [
+        ("paragraph", 5, "a long paragraph ends here.Next words,then 中文，more"), ("list_item", 1, "- item one"), ("list_item", 1, "- item two"), ("table", 2, "a | b\nc | d"),
+    ]
+
+
+def test_header_fonts_do_not_count(spark):
+    rows = [(i, "s:p1", "s", i, f"words {i}", 0.1, y, 0.9, y + 0.01, size, "native", 1.0) for i, (y, size) in enumerate([(0.01, 30.0), (0.03, 30.0), (0.05, 30.0), (0.2, 10.0), (0.4, 10.0), (0.6, 16.0)])]
+    kinds = [r.block_type for r in layout.typed_lines(spark.createDataFrame(rows, LAYOUT)).orderBy("line_id").collect()]
+    assert kinds == ["header"] * 3 + ["paragraph"] * 2 + ["heading"]
+
+
+def test_ideal_gain_counts_gold_that_was_not_found(spark):
+    gold = spark.createDataFrame([("q", "s", p) for p in range(1, 6)], "query string, source_id string, page int")
+    found = spark.createDataFrame([("q", "s:p1", "s", 1, 1)], "query string, found string, source_id string, page int, rank int")
+    got = evaluation.per_query(evaluation.judged(found, gold), gold).first()
+    assert got.ndcg10 == pytest.approx(1 / sum(1 / math.log2(i + 1) for i in range(1, 6)), abs=1e-6)
+    assert (got.recall5, got.mrr10) == (0.2, 1.0)
+
+
+def test_fingerprint_sees_vectors(spark):
+    rows = [("a", [0.5, 1.0, None]), ("b", [float("nan")]), ("c", None), ("d", [])]
+    of = lambda r: graphs.fingerprint(spark.createDataFrame(r, "k string, v array<float>").select("k", graphs.exact_text("v").alias("v")), ["k", "v"]).first().fingerprint
+    assert of(rows) == of(rows[::-1]) and len({of(rows), of([("a", [0.5, 1.0000001, None]), *rows[1:]]), of([*rows[:2], ("c", []), rows[3]])}) == 3
+
+
 def test_quality(spark):
     flags = tx.quality_flags(F.col("t"))
     assert one(spark, F.concat_ws(",", flags), t="") == "empty_text"
