@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,6 +86,15 @@ def contains_term(text: Column, term: Column) -> Column:
     return F.when(term.rlike("[a-z0-9]"), alone).otherwise(F.contains(text, term))
 
 
+def holds_term(text: Column, term: str) -> Column:
+    """``contains_term`` of one known term, whose pattern is compiled once; a plain search goes before it."""
+    found = F.contains(text, F.lit(term))
+    if not re.search("[a-z0-9]", term):
+        return found
+    quoted = re.sub(r"([\\^$.|?*+()\[\]{}])", r"\\\1", term)
+    return found & text.rlike(f"(^|[^a-z0-9]){quoted}([^a-z0-9]|$)")
+
+
 def heading(text: Column, longest: int = 100) -> Column:
     """struct(accepted, level, reason) of a line that may be a heading; the first rule that holds decides."""
     t, p = single_line(text), PATTERNS

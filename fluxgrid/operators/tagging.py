@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxgrid.functions.text import contains_term
+from fluxgrid.functions.text import holds_term
 
 # Terms of the domain by the tag that they give; kind, tag, terms.
 RULES = [
@@ -25,29 +25,33 @@ ORDER = ["printing", "placement", "reflow", "insufficient_solder", "excess_solde
 EXCLUDED = ["contents", "references", "index", "目录", "inhalt"]
 
 
-def rules(spark: SparkSession) -> DataFrame:
-    """kind, tag, term, longest terms first; a term is listed once, the first rule wins."""
-    seen, rows = set(), []
+def listed_rules() -> list[tuple[str, str, str]]:
+    """(kind, tag, term), longest terms first; a term is listed once, the first rule wins."""
+    first = {}
     for kind, tag, terms in RULES:
         for term in terms:
-            if term not in seen:
-                seen.add(term)
-                rows.append((kind, tag, term))
-    return spark.createDataFrame(sorted(rows, key=lambda r: (-len(r[2]), r)), "kind string, tag string, term string")
+            first.setdefault(term, (kind, tag, term))
+    return sorted(first.values(), key=lambda r: (-len(r[2]), r))
+
+
+def rules(spark: SparkSession) -> DataFrame:
+    """kind, tag, term of ``listed_rules``."""
+    return spark.createDataFrame(listed_rules(), "kind string, tag string, term string")
 
 
 def matches(texts: DataFrame) -> DataFrame:
     """key, kind, tag, term, matched_in of texts (key, title, text): a rule is looked for in the title, else in the text.
 
-    The rules are a short fixed list and go into the plan as an array, so each text is read once and nothing
-    is joined. Texts under an excluded title have no matches.
+    The rules are a short fixed list and go into the plan, each with a pattern of its own, so each text is read once
+    and nothing is joined. Texts under an excluded title have no matches.
     """
-    rows = rules(texts.sparkSession).collect()
-    listed = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.tag).alias("tag"), F.lit(r.term).alias("term")) for r in rows))
     low = texts.select("key", F.lower(F.coalesce("title", F.lit(""))).alias("title"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     low = low.where(~F.trim("title").isin(EXCLUDED))
-    where = F.transform(listed, lambda r: F.struct(r["kind"].alias("kind"), r["tag"].alias("tag"), r["term"].alias("term"), F.when(contains_term(F.col("title"), r["term"]), "title").when(contains_term(F.col("text"), r["term"]), "text").alias("matched_in")))
-    return low.select("key", F.explode(F.filter(where, lambda m: m["matched_in"].isNotNull())).alias("m")).select("key", "m.*")
+    found = []
+    for kind, tag, term in listed_rules():
+        where = F.when(holds_term(F.col("title"), term), "title").when(holds_term(F.col("text"), term), "text")
+        found.append(F.when(where.isNotNull(), F.struct(F.lit(kind).alias("kind"), F.lit(tag).alias("tag"), F.lit(term).alias("term"), where.alias("matched_in"))))
+    return low.select("key", F.explode(F.array_compact(F.array(*found))).alias("m")).select("key", "m.*")
 
 
 def tags(found: DataFrame) -> DataFrame:

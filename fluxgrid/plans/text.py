@@ -258,11 +258,53 @@ def chunk_stats(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query()
+_TOKEN = r"(?:[㐀-䶿一-鿿]|[^\s\x01-\x03㐀-䶿一-鿿]+)"
+SPLIT = rf"""
+    WITH RECURSIVE mk AS (SELECT doc_id, regexp_replace(regexp_replace(replace(replace({NORMAL}, chr(10) || chr(10), chr(1)), chr(10), chr(2)), '([。！？!?；;])\s*', '\1' || chr(3), 'g'), '\.\s+([A-Z0-9])', '.' || chr(3) || '\1', 'g') AS t FROM documents),
+    pc AS (SELECT doc_id, flatten(list_transform(regexp_extract_all(t, '[^\x01-\x03]+[\x01-\x03]*'), lambda p: CASE WHEN len(regexp_extract_all(p, '{_TOKEN}')) > 200 THEN regexp_extract_all(p, '(?:{_TOKEN}[\s\x01-\x03]*){{1,200}}') ELSE [p] END)) AS l FROM mk),
+    u AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i, len(regexp_extract_all(unnest(l), '{_TOKEN}')) AS n FROM pc),
+    r AS (SELECT doc_id, i, n AS cur, 0 AS c FROM u WHERE i = 1
+        UNION ALL SELECT u.doc_id, u.i, CASE WHEN r.cur > 0 AND r.cur + u.n > 200 THEN u.n ELSE r.cur + u.n END, CASE WHEN r.cur > 0 AND r.cur + u.n > 200 THEN r.c + 1 ELSE r.c END FROM r JOIN u ON u.doc_id = r.doc_id AND u.i = r.i + 1),
+    g AS (SELECT doc_id, c AS part, sum(n)::INT AS tokens, string_agg(t, '' ORDER BY i) AS t FROM r JOIN u USING (doc_id, i) GROUP BY ALL)
+    SELECT doc_id, part, tokens, sha256(regexp_replace(replace(replace(replace(regexp_replace(t, '([。！？；])\x03', '\1', 'g'), chr(3), ' '), chr(2), chr(10)), chr(1), chr(10) || chr(10)), '^\s+|\s+$', '', 'g')) AS text_hash FROM g WHERE tokens > 0"""
+
+
+@query(SPLIT)
 def chunk_split(spark: SparkSession, folder: str) -> DataFrame:
     """Documents in parts of at most 200 tokens, split where they part most naturally."""
-    docs = read_table(spark, folder, "documents").select("doc_id", F.posexplode(chunking.recursive_split()("text")).alias("part", "text"))
-    return docs.select("doc_id", "part", F.size(F.split(F.trim("text"), r"\s+")).alias("tokens"), F.sha2("text", 256).alias("text_hash"))
+    docs = read_table(spark, folder, "documents").select("doc_id", F.posexplode(chunking.split_text(F.col("text"))).alias("part", "p"))
+    return docs.select("doc_id", "part", "p.tokens", F.sha2("p.text", 256).alias("text_hash"))
+
+
+_BLOCKS = f"""bl AS (WITH a AS (SELECT *, {TYPE_SQL} AS k FROM ({TYPED_SQL})),
+    b AS (SELECT *, CASE WHEN k = lag(k) OVER w AND k IN ('paragraph', 'table') AND y0 - lag(y1) OVER w <= 0.035 THEN 0 ELSE 1 END AS new FROM a WINDOW w AS (PARTITION BY page_id ORDER BY line_no, line_id)),
+    c AS (SELECT *, sum(new) OVER (PARTITION BY page_id ORDER BY line_no, line_id) - 1 AS block_no FROM b)
+    SELECT source_id, page_id, block_no::BIGINT AS block_no, min(k) AS block_type, CASE WHEN min(k) = 'paragraph' THEN list_reduce(list(text ORDER BY line_no, line_id), lambda s, x: CASE WHEN s LIKE '%-' AND regexp_matches(x, '^[a-zäöüß]') THEN s[:-2] || x
+        WHEN regexp_matches(s, '[，。；：！？、,.!?;:]$') OR regexp_matches(x, '^[)）,.]') THEN s || x ELSE s || ' ' || x END) ELSE string_agg(text, chr(10) ORDER BY line_no, line_id) END AS text, min(line_id) AS line_id FROM c GROUP BY source_id, page_id, block_no)"""
+UNITS = f"""{_BLOCKS}, {SECTIONS},
+    sb AS (SELECT bl.*, s.section_no, s.section_path, s.run, s.lv, {single_line_sql('bl.text')} AS flat FROM bl JOIN sections s ON s.line_id = bl.line_id),
+    k1 AS (SELECT *, CASE WHEN lv IS NOT NULL THEN 'title' WHEN block_type = 'table_caption' THEN 'table_caption' WHEN block_type = 'table' OR contains(flat, '|') THEN 'table' WHEN block_type = 'list_item' OR regexp_matches(flat, '{P["list_sentence"]}') THEN 'list'
+        WHEN block_type = 'formula' THEN 'formula' WHEN block_type = 'figure_caption' THEN 'figure' ELSE 'text' END AS k0 FROM sb),
+    k2 AS (SELECT *, CASE WHEN block_type = 'paragraph' AND coalesce(last_value(CASE WHEN block_type <> 'paragraph' OR k0 = 'list' THEN k0 END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') = 'list' THEN 'listed' ELSE k0 END AS kind FROM k1),
+    k3 AS (SELECT *, CASE WHEN kind = 'listed' OR (kind IN ('table', 'formula') AND coalesce(last_value(CASE WHEN kind <> 'formula' THEN kind END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') IN ('table', 'table_caption'))
+        OR (lv IS NOT NULL AND lag(lv) OVER w IS NOT NULL AND run = lag(run) OVER w) THEN 0 ELSE 1 END AS new FROM k2 WINDOW w AS (PARTITION BY page_id ORDER BY block_no)),
+    k4 AS (SELECT *, sum(new) OVER (PARTITION BY page_id ORDER BY block_no) - 1 AS unit_no FROM k3),
+    un AS (SELECT source_id, page_id, unit_no::BIGINT AS unit_no, replace(arg_min(kind, block_no), 'table_caption', 'table') AS kind, min(section_no) AS section_no, arg_min(section_path, block_no) AS section_path, count(*)::INT AS blocks, string_agg(text, chr(10) ORDER BY block_no) AS text FROM k4 GROUP BY source_id, page_id, k4.unit_no),
+    units AS (SELECT * EXCLUDE (text), {NORMAL} AS text FROM un)"""
+
+
+@query(f"WITH {UNITS} SELECT source_id, page_id, unit_no, kind, section_no, section_path, blocks, len(regexp_extract_all(text, '{_TOKEN}'))::INT AS tokens, sha256(text) AS text_hash FROM units")
+def section_units(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles, lists, tables and texts of the pages, each in its section."""
+    units = chunking.section_units(read_table(spark, folder, "layout_line"), read_table(spark, folder, "source_spec"))
+    return units.select("source_id", "page_id", "unit_no", "kind", "section_no", "section_path", "blocks", "tokens", F.sha2("text", 256).alias("text_hash"))
+
+
+@query()
+def section_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Sections of sources packed into chunks, from layout lines on."""
+    chunks = chunking.section_chunks(chunking.section_units(read_table(spark, folder, "layout_line"), read_table(spark, folder, "source_spec")))
+    return chunks.withColumn("text_hash", F.sha2("text", 256)).drop("text")
 
 
 UUID = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(chunk_id))"

@@ -46,6 +46,7 @@ def test_block_types(spark):
 @pytest.mark.parametrize(("text", "term", "held"), [("short-circuit", "short", True), ("a shortcut.", "short", False), ("发生短路了", "短路", True), ("c++ (x)", "c++", True), ("", "a", False)])
 def test_terms_stand_alone(spark, text, term, held):
     assert one(spark, tx.contains_term(F.col("t"), F.col("m")), t=text, m=term) is held
+    assert one(spark, tx.holds_term(F.col("t"), term), t=text) is held
 
 
 def test_overlays(spark):
@@ -165,10 +166,31 @@ def test_packing_of_nothing(spark):
     assert chunking.pack_units(chunking.document_units(rows)).count() == 0
 
 
-def test_recursive_split(spark):
+def test_split_text(spark):
     text = " ".join(f"w{i}" for i in range(21))
-    parts = one(spark, chunking.recursive_split(8)(F.col("t")), t=text)
-    assert len(parts) > 1 and all(len(p.split()) <= 8 for p in parts) and " ".join(parts) == text
+    parts = one(spark, chunking.split_text(F.col("t"), 8), t=text)
+    assert [p.tokens for p in parts] == [8, 8, 5] and " ".join(p.text for p in parts) == text
+    parts = one(spark, chunking.split_text(F.col("t"), 6), t="one two three. Four five six\nseven eight\n\n焊料不足。然后短路！ 好")
+    assert [(p.text, p.tokens) for p in parts] == [("one two three. Four five six", 6), ("seven eight", 2), ("焊料不足。", 5), ("然后短路！好", 6)]
+    parts = one(spark, chunking.split_text(F.col("t"), 100), t="焊" * 250)
+    assert [p.tokens for p in parts] == [100, 100, 50]
+    assert one(spark, chunking.split_text(F.col("t")), t=" \n ") == [] and one(spark, chunking.split_text(F.col("t")), t=None) is None
+
+
+def test_sections_to_chunks(spark):
+    pages = {1: ["1 Printing", "some text of it", "2 Reflow", "other text"], 2: ["goes on here", "- entry", "after it"], 3: ["Table 1 Limits", "a | b", "x = 1 + 2 wide"]}
+    sources = spark.createDataFrame([("s", "Book")], SOURCE)
+    units = chunking.section_units(page_lines(spark, pages), sources)
+    got = [(r.page_id, r.kind, r.section_no, r.blocks, r.text) for r in units.orderBy("page_id", "unit_no").collect()]
+    assert got == [
+        ("s:p0001", "title", 1, 1, "1 Printing"), ("s:p0001", "text", 1, 1, "some text of it"), ("s:p0001", "title", 2, 1, "2 Reflow"), ("s:p0001", "text", 2, 1, "other text"),
+        ("s:p0002", "text", 2, 1, "goes on here"), ("s:p0002", "list", 2, 2, "- entry\nafter it"), ("s:p0003", "table", 2, 3, "Table 1 Limits\na | b\nx = 1 + 2 wide"),
+    ]
+    chunks = chunking.section_chunks(units).orderBy("section_no").collect()
+    assert [(r.section_path, r.first_page, r.last_page, r.units, r.oversized) for r in chunks] == [("1 Printing", "s:p0001", "s:p0001", 2, False), ("2 Reflow", "s:p0001", "s:p0003", 5, False)]
+    small = chunking.section_chunks(units, 1, 3, 4).collect()
+    assert all(r.tokens <= 4 or r.oversized or r.text.startswith(("1 Printing", "2 Reflow")) for r in small) and sum(r.tokens for r in small) == sum(r.tokens for r in chunks)
+    assert chunking.section_chunks(chunking.section_units(page_lines(spark, pages).limit(0), sources)).count() == 0
 
 
 def test_same_row_merge(spark):
