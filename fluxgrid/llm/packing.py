@@ -9,8 +9,9 @@ together with those of other blocks.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -70,7 +71,8 @@ def fillings(stock: Stock, room: int, waste: int) -> Iterator[tuple[int, ...]]:
     """Fillings of ``room`` by any number of items that waste at most ``waste``, least waste first, then the larger items.
 
     Bits of reach[i] are the totals that the i smallest sizes make, so no way is followed that leads to no
-    filling. A single item dominates all other fillings that waste as much as it or more.
+    filling. Dominated fillings are left out (Martello and Toth): where a single item fills as well as all of them,
+    it alone comes out, and none that has two items in place of which one in stock would do.
     """
     if not stock.largest(room):
         if room <= waste:
@@ -90,6 +92,10 @@ def fillings(stock: Stock, room: int, waste: int) -> Iterator[tuple[int, ...]]:
         reach.append(sums)
     counts = [min(stock.count[size], room // size) for size in sizes]
 
+    def dominated(way: list[int]) -> bool:
+        pairs = {way[i] + way[j] for i in range(len(way)) for j in range(i)}
+        return any(stock.up >> size & 1 and stock.count[size] > way.count(size) for size in pairs)
+
     def ways(at: int, total: int) -> Iterator[tuple[int, ...]]:
         way: list[int] = []
         # Each entry: sizes still open, total still open, length of the way so far, how many of the size to take.
@@ -98,7 +104,8 @@ def fillings(stock: Stock, room: int, waste: int) -> Iterator[tuple[int, ...]]:
             at, total, kept, take = open_.pop()
             del way[kept:]
             if not total:
-                yield tuple(way)
+                if not dominated(way):
+                    yield tuple(way)
                 continue
             if take < 0:
                 take = min(counts[at - 1], total // sizes[at - 1])
@@ -121,11 +128,24 @@ def fillings(stock: Stock, room: int, waste: int) -> Iterator[tuple[int, ...]]:
         yield from ways(len(sizes), room - left)
 
 
+def least_bins(sizes: list[int], capacity: int) -> int:
+    """Lower bound L2 of Martello and Toth: items over half share no container, and those near it leave known room."""
+    sizes = sorted(sizes)
+    sums = [0, *accumulate(sizes)]
+    half, best = bisect_right(sizes, capacity // 2), -(-sums[-1] // capacity)
+    for alpha in sorted({*sizes[:half], 0}):
+        small, large = bisect_left(sizes, alpha), max(bisect_right(sizes, capacity - alpha), half)
+        middle = large - half  # over half the container, with room for items from alpha on
+        room = middle * capacity - (sums[large] - sums[half])
+        best = max(best, len(sizes) - half + max(0, -(-(sums[half] - sums[small] - room) // capacity)))
+    return best
+
+
 def complete_bins(sizes: list[int], capacity: int, steps: int = STEPS) -> list[list[int]]:
     """Containers of sizes (each 1 to ``capacity``), by bin completion branch and bound."""
     best = best_fit(sizes, capacity)
     total = sum(sizes)
-    least, budget = -(-total // capacity), steps * len(sizes) + 100
+    least, budget = least_bins(sizes, capacity), steps * len(sizes) + 100
     while len(best) > least and budget > 0:
         allowed = (len(best) - 1) * capacity - total
         stock, left = Stock(sizes, capacity), len(sizes)
@@ -199,9 +219,13 @@ def pack(documents: DataFrame, capacities: DataFrame, block: int = BLOCK) -> Dat
     schema = "capacity_name string, capacity int, doc_id long, pieces int, piece int, tokens long, block long, bin int, unused long"
     out = [full.select("capacity_name", "container_id", "doc_id", "piece", "pieces", "tokens", "unused")]
     for turn in range(3):
-        blocks = open_.groupBy("capacity_name").agg(F.ceil(F.count("*") / block).alias("blocks"))
+        blocks = cut(open_.groupBy("capacity_name").agg(F.ceil(F.count("*") / block).alias("blocks")), "blocks")
+        # As many tasks as blocks or cores ask for: left to itself Spark joins the small blocks to one or two.
+        session = blocks.sparkSession
+        tasks = min(blocks.agg(F.sum("blocks")).collect()[0][0] or 1, max(int(session.conf.get("spark.sql.shuffle.partitions")), 3 * session.sparkContext.defaultParallelism))
         placed = open_.join(blocks, "capacity_name").withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.col("blocks")))
-        placed = placed.select("capacity_name", "capacity", "doc_id", "pieces", "piece", "tokens", "block").groupBy("capacity_name", "block").applyInPandas(_pack, schema)
+        placed = placed.select("capacity_name", "capacity", "doc_id", "pieces", "piece", "tokens", "block").repartition(tasks, "capacity_name", "block")
+        placed = placed.groupBy("capacity_name", "block").applyInPandas(_pack, schema)
         placed = cut(placed.withColumn("container_id", F.concat_ws("-", F.lit(turn), "block", "bin")), "packed")
         # Another turn only gains where containers with room come from several blocks.
         again = (F.col("unused") > (1 - CLOSED) * F.col("capacity")) & F.lit(turn < 2)

@@ -109,6 +109,7 @@ def test_bin_completion_against_all_partitions(seed):
     sizes = rng.integers(1, 31, 9).tolist()
     bins = packing.complete_bins(sizes, 30, steps=200)
     assert sorted(itertools.chain(*bins)) == sorted(sizes) and all(sum(b) <= 30 for b in bins)
+    assert -(-sum(sizes) // 30) <= packing.least_bins(sizes, 30) <= fewest(sizes, 30)
     assert len(bins) <= fewest(sizes, 30)
 
 
@@ -129,6 +130,22 @@ def test_bin_completion_of_many_items_per_container(seed):
     assert sorted(itertools.chain(*bins)) == sorted(sizes) and all(sum(b) <= 100 for b in bins)
 
 
+@pytest.mark.parametrize(("items", "capacity"), [(4, 1000), (5, 8192), (8, 1000)])
+def test_planted_perfect_packings_at_the_steps_of_production(items, capacity):
+    rng, sizes = np.random.default_rng(items), []
+    for _ in range(60):
+        cuts = sorted(rng.choice(np.arange(1, capacity), items - 1, replace=False).tolist())
+        sizes += [b - a for a, b in zip([0, *cuts], [*cuts, capacity])]
+    assert len(packing.best_fit(sizes, capacity)) == 61 and len(packing.complete_bins(sizes, capacity)) == 60
+
+
+def test_lower_bound_and_dominance():
+    assert packing.least_bins([60] * 5 + [30] * 2, 100) == 5 and packing.least_bins([51] * 3 + [50] * 3, 100) == 5 and packing.least_bins([], 10) == 0
+    stock = packing.Stock([50, 30, 20, 40, 10], 100)
+    ways = list(packing.fillings(stock, 60, 0))
+    assert (50, 10) in ways and (40, 20) in ways and (30, 20, 10) not in ways
+
+
 def test_pack(spark):
     rng = np.random.default_rng(8)
     docs = [(i, int(n)) for i, n in enumerate(rng.integers(0, 700, 500))] + [(1000, 5000), (1001, 1024), (1002, None), (1003, 0), (None, 5), (7, None)]
