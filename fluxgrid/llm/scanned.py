@@ -1,9 +1,11 @@
 """Faults of text read from scanned pages, and its repair (problem 5).
 
-Words and their counts come from all pages. A rare word and a frequent one that differ in one place leave the
-same anagram value once the differing characters are taken away; joining on that value yields character
-confusions, which are ranked by the number of words they explain. A word that no longer differs from a
-frequent word after up to two ranked confusions is wrongly read. Chinese has no spaces: there three
+Words and their counts come from all pages. A word's anagram value is the sum of its characters' values, so words
+that differ in one place differ in value by the difference of what stands there. Rare and frequent words are
+joined on their values less those of one or two neighbouring characters, which yields character confusions,
+ranked by the number of words they explain. The differences of ranked confusions then are a table: a rare word is
+wrongly read if its value and one or two of these differences make the value of a frequent word, and putting
+the characters in place makes that word. Chinese has no spaces: there three
 characters in a row take the part of the word. Headers, footers and page numbers are edge lines apart from
 the even pitch of a page's body; cut words are found by their mark and by what follows in the body.
 """
@@ -56,8 +58,8 @@ def ocr_lines(lines: DataFrame) -> DataFrame:
 def placed_lines(rows: DataFrame) -> DataFrame:
     """``rows`` with running (an edge line), and for body lines the body lines before and after, across pages.
 
-    Adds before_text, before_page, before_line, after_text, after_page, after_line. Pages follow each other
-    if their ids end in consecutive numbers after the same beginning.
+    Adds ws (words), before and after (line_no, page_id, looks). Pages follow each other if their ids end in
+    consecutive numbers after the same beginning.
     """
     page = Window.partitionBy("page_id")
     down = page.orderBy("line_no")
@@ -74,7 +76,7 @@ def placed_lines(rows: DataFrame) -> DataFrame:
     first_foot = F.min(F.when((F.col("y0") >= 0.8) & apart, F.col("nth"))).over(page)
     rows = rows.withColumn("running", (F.col("nth") <= F.coalesce(last_head, F.lit(0))) | F.coalesce(F.col("nth") >= first_foot, F.lit(False)))
     rows = rows.withColumn("series", F.regexp_extract("page_id", r"^(.*?)(\d+)$", 1)).withColumn("number", F.regexp_extract("page_id", r"(\d+)$", 1).try_cast("long"))
-    rows = cut(rows.select("page_id", "line_no", "series", "number", "text", "looks", "x0", "running", "form"), "placed")
+    rows = cut(rows.select("page_id", "line_no", "series", "number", "looks", "x0", "running", "form", words(F.col("looks")).alias("ws")), "placed")
     body = rows.where("NOT running")
     ends = body.where("number IS NOT NULL").groupBy("series", "number").agg(
         F.min(F.struct("line_no", "page_id", "looks")).alias("first"), F.max(F.struct("line_no", "page_id", "looks")).alias("last")
@@ -101,46 +103,54 @@ def is_cut(text: Column, following: Column) -> Column:
 
 
 def tokens(placed: DataFrame) -> DataFrame:
-    """Words of all lines: page_id, line_no, form, pos, left, right, w and, for a cut word, next_page and next_line.
+    """Words of all lines: page_id, line_no, left, right, w and, for a cut word, next_page and next_line.
 
     A word that is cut stands once, with its two parts in left and right and put together in w.
     """
     after, before = F.col("after.looks"), F.col("before.looks")
     goes_on = is_cut(F.col("looks"), after)
     begun = is_cut(before, F.col("looks"))
-    rows = placed.select("page_id", "line_no", "form", words(F.col("looks")).alias("ws"), goes_on.alias("goes_on"), begun.alias("begun"), F.when(goes_on, words(after)[0]).alias("right"), F.col("after.page_id").alias("next_page"), F.col("after.line_no").alias("next_line"))
+    rows = placed.select("page_id", "line_no", "ws", goes_on.alias("goes_on"), begun.alias("begun"), F.when(goes_on, F.regexp_extract(F.lower(after), WORD, 0)).alias("right"), F.col("after.page_id").alias("next_page"), F.col("after.line_no").alias("next_line"))
     first, size = F.when(F.col("begun"), 2).otherwise(1), F.size("ws")
     last = F.when(F.col("goes_on"), size - 1).otherwise(size)
     rows = rows.withColumn("plain", F.when(last >= first, F.slice("ws", first, F.greatest(last - first + 1, F.lit(0)))).otherwise(F.array().cast("array<string>")))
     # The only word of a line may be the middle of a word cut twice; it counts with the part that it ends.
     whole = F.when(F.col("goes_on") & (size > 0), F.array(F.struct(F.element_at("ws", -1).alias("left"), F.col("right").alias("right"))))
     plain = F.transform("plain", lambda w: F.struct(w.alias("left"), F.lit(None).cast("string").alias("right")))
-    out = rows.select("page_id", "line_no", "form", "next_page", "next_line", F.posexplode(F.concat(plain, F.coalesce(whole, F.array().cast("array<struct<left:string,right:string>>")))).alias("pos", "t"))
-    out = out.select("page_id", "line_no", "form", "pos", "next_page", "next_line", "t.left", "t.right")
+    out = rows.select("page_id", "line_no", "next_page", "next_line", F.explode(F.concat(plain, F.coalesce(whole, F.array().cast("array<struct<left:string,right:string>>")))).alias("t"))
+    out = out.select("page_id", "line_no", "next_page", "next_line", "t.left", "t.right")
     return out.withColumn("w", F.concat("left", F.coalesce("right", F.lit(""))))
 
 
-def _anagram(text: Column) -> Column:
-    """Anagram value: the sum of the fifth powers of the character codes, alike for any order of the characters."""
-    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0.0), lambda s, c: s + F.pow(F.ascii(c), F.lit(5.0)))
+def witnesses(placed: DataFrame) -> DataFrame:
+    """``placed`` with one line for each form: copies of a page are one witness of how often a word occurs."""
+    several = placed.groupBy("form").agg(F.count("*").alias("n"), F.min(F.struct("page_id", "line_no")).alias("first")).where("n > 1").select("form", "first")
+    return placed.join(several, "form", "left").where("first IS NULL OR (first.page_id = page_id AND first.line_no = line_no)").drop("first")
+
+
+def _value(text: str) -> str:
+    """SQL of the anagram value of ``text``: the sum of its characters' values of 40 bits, alike for any order of them."""
+    return f"aggregate(split({text}, ''), 0L, (s, c) -> s + CASE WHEN c = '' THEN 0L ELSE pmod(xxhash64(c), 1099511627776L) END)"
 
 
 def _windows(types: DataFrame, least_rest: int) -> DataFrame:
-    """Every way to take one or two neighbouring characters out of a word: head, m, tail."""
+    """Every way to take one or two neighbouring characters out of a word: m and where it stands, at."""
     spans = F.expr("flatten(transform(sequence(1, 2), k -> transform(sequence(1, greatest(length(w) - k + 1, 1)), i -> struct(i AS i, k AS k))))")
     out = types.withColumn("s", F.explode(spans)).where(f"s.i + s.k - 1 <= length(w) AND length(w) - s.k >= {least_rest}")
-    return out.selectExpr("*", "substr(w, 1, s.i - 1) AS head", "substr(w, s.i, s.k) AS m", "substr(w, s.i + s.k) AS tail").drop("s")
+    return out.selectExpr("*", "s.i AS at", "substr(w, s.i, s.k) AS m").drop("s")
 
 
 def confusions(types: DataFrame) -> DataFrame:
     """Ranked character confusions of a vocabulary (w, n): a, b, support.
 
-    Rare and frequent words are joined on the anagram value of what is left without the differing
-    characters; a confusion counts alike in both directions.
+    Rare and frequent words are joined on the anagram value of what is left without the differing characters,
+    at least four, so that few words share it; a confusion counts alike in both directions.
     """
-    parts = _windows(types.where(rf"length(w) >= 3 AND NOT w RLIKE '^[0-9]+$'"), 2).withColumn("rest", _anagram(F.concat("head", "tail")))
-    meant = parts.where(r"NOT w RLIKE '[0-9|]' AND n >= 3").select("rest", F.col("w").alias("word"), F.col("n").alias("often"), F.col("m").alias("b"), F.col("head").alias("h"), F.col("tail").alias("t"))
-    pairs = parts.withColumnRenamed("m", "a").join(meant, "rest").where(f"head = h AND tail = t AND a <> b AND often >= {RATIO} * n")
+    valued = types.where(rf"length(w) >= 5 AND NOT w RLIKE '^[0-9]+$'").withColumn("value", F.expr(_value("w")))
+    parts = _windows(valued, 4).withColumn("rest", F.expr(f"value - {_value('m')}")).drop("value")
+    meant = parts.where(r"NOT w RLIKE '[0-9|]' AND n >= 3").select("rest", F.col("w").alias("word"), F.col("n").alias("often"), F.col("m").alias("b"), F.col("at").alias("there"))
+    pairs = parts.withColumnRenamed("m", "a").join(meant, "rest").where(f"at = there AND a <> b AND often >= {RATIO} * n")
+    pairs = pairs.where("substr(w, 1, at - 1) = substr(word, 1, at - 1) AND substr(w, at + length(a)) = substr(word, at + length(b))")
     # The differing characters are the least ones: neither a common first nor a common last character.
     pairs = pairs.where("(length(a) = 1 AND length(b) = 1) OR (left(a, 1) <> left(b, 1) AND right(a, 1) <> right(b, 1))")
     ranked = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.countDistinct("w").alias("support"))
@@ -151,35 +161,55 @@ def confusions(types: DataFrame) -> DataFrame:
 def corrections(types: DataFrame, ranked: DataFrame) -> DataFrame:
     """w, meant: words that up to two ranked confusions turn into a much more frequent word, with the best such word.
 
-    The fewest confusions win, then the best ranked, then the most frequent word.
+    Words meet on their anagram values and the differences that the confusions make: with one of them the value
+    of the rare word is that of the frequent one, with two they meet half way. Whether the characters stand in
+    the right places is looked at only then. The fewest confusions win, then the best ranked, then the most
+    frequent word.
     """
-    ways = cut(ranked.select(F.col("a").alias("m"), F.col("b").alias("to"), "support").unionByName(ranked.select(F.col("b").alias("m"), F.col("a").alias("to"), "support")), "confusions")
-    meant = cut(types.where(r"NOT w RLIKE '[0-9|]' AND n >= 3").select(F.col("w").alias("x"), F.col("n").alias("often")), "meant")
-    open_, found = types.where(r"length(w) >= 3 OR (length(w) = 2 AND w RLIKE '[0-9|]')").where(r"NOT w RLIKE '^([0-9]+|(xc|xl|l?x{0,3})(ix|iv|v?i{0,3}))$'").select(F.col("w").alias("word"), F.col("n").alias("seen"), "w", F.lit(9e9).alias("rank")), []
-    for _ in range(2):
-        tried = _windows(open_, 0).join(ways, "m").select("word", "seen", F.expr("head || to || tail").alias("w"), F.least("rank", F.col("support").cast("double")).alias("rank"))
-        tried = cut(tried.groupBy("word", "seen", "w").agg(F.max("rank").alias("rank")), "tried")
-        hit = tried.join(meant, tried["w"] == meant["x"]).where(f"often >= {RATIO} * seen")
-        hit = cut(hit.groupBy("word").agg(F.max(F.struct("rank", "often", "x")).alias("best")).select(F.col("word").alias("w"), F.col("best.x").alias("meant")), "hits")
-        found.append(hit)
-        open_ = tried.join(hit.select(F.col("w").alias("word")), "word", "left_anti")
-    return reduce(DataFrame.unionByName, found)
-
-
-def misread_words(found: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    ways = ranked.select(F.col("a").alias("m"), F.col("b").alias("to"), "support").unionByName(ranked.select(F.col("b").alias("m"), F.col("a").alias("to"), "support"))
+    ways = cut(ways.withColumn("gain", F.expr(f"{_value('to')} - {_value('m')}")), "differences")
+    valued = cut(types.withColumn("value", F.expr(_value("w"))), "values")
+    meant = valued.where(r"NOT w RLIKE '[0-9|]' AND n >= 3").select(F.col("w").alias("x"), F.col("n").alias("often"), "value")
+    open_ = valued.where(r"length(w) >= 3 OR (length(w) = 2 AND w RLIKE '[0-9|]')").where(r"NOT w RLIKE '^([0-9]+|(xc|xl|l?x{0,3})(ix|iv|v?i{0,3}))$'")
+    probes = _windows(open_, 0).drop("at").distinct().join(ways, "m").select("w", "n", "m", "to", "support", (F.col("value") + F.col("gain")).alias("value"))
+    put = "concat(substr({y}, 1, i - 1), {to}, substr({y}, i + length({m})))"
+    places = "filter(sequence(1, greatest(length({y}) - length({m}) + 1, 1)), i -> substr({y}, i, length({m})) = {m})"
+    once = f"exists({places.format(y='w', m='m')}, i -> {put.format(y='w', to='to', m='m')} = x)"
+    best = lambda hits: cut(hits.groupBy("w").agg(F.max(F.struct("rank", "often", "x")).alias("best")).select("w", F.col("best.x").alias("meant")), "hits")
+    first = best(probes.join(meant, "value").where(f"often >= {RATIO} * n").where(once).withColumn("rank", F.col("support")))
+    # From the other side: what a frequent word was before its last confusion.
+    undone = _windows(meant.withColumnRenamed("x", "w"), 0).drop("at").distinct().withColumnRenamed("m", "to").join(ways, "to")
+    undone = undone.select(F.col("w").alias("x"), "often", F.col("m").alias("m2"), F.col("to").alias("to2"), F.col("support").alias("support2"), (F.col("value") - F.col("gain")).alias("value"))
+    pairs = probes.join(first, "w", "left_anti").join(undone, "value").where(f"often >= {RATIO} * n")
+    middle = f"transform({places.format(y='w', m='m')}, i -> {put.format(y='w', to='to', m='m')})"
+    twice = f"exists({middle}, y -> exists({places.format(y='y', m='m2')}, i -> {put.format(y='y', to='to2', m='m2')} = x))"
+    second = best(pairs.where(twice).withColumn("rank", F.least("support", "support2")))
+    return first.unionByName(second)
+
+
+def misread_words(placed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Wrongly read words and numbers: where they stand, what to put there, and which cut words keep their hyphen.
 
     (page_id, line_no) of the lines, (page_id, line_no, w, meant) of the corrections, a cut word as a whole at
     the line where it begins, and (page_id, line_no) of lines whose cut word is a compound with a hyphen.
     """
-    # Copies of a page are one witness: a word counts once for each form of a line and place in it.
-    types = cut(found.select("w", "form", "pos").distinct().groupBy("w").agg(F.count("*").alias("n")), "types")
+    # Words are counted where they stand and never written; only those of wrong ones are looked up again.
+    types = tokens(witnesses(placed)).groupBy("w").agg(F.count("*").alias("n"), F.count_if(F.col("right").isNull()).alias("alone"))
+    types = cut(types, "types")
     ranked = cut(confusions(types), "ranked")
     wrong = cut(corrections(types, ranked), "wrong")
-    good = types.where("n >= 3").join(wrong, "w", "left_anti").select("w")
-    single = found.where("right IS NULL").join(wrong, "w").select("page_id", "line_no", "w", "meant")
+    # A number is wrongly read if all its other characters are ranked confusions of a digit.
+    sign = ranked.where("length(a) = 1 AND length(b) = 1 AND (a RLIKE '[0-9]') <> (b RLIKE '[0-9]')")
+    sign = sign.select(F.when(F.col("a").rlike("[0-9]"), F.col("b")).otherwise(F.col("a")).alias("c"), F.when(F.col("a").rlike("[0-9]"), F.col("a")).otherwise(F.col("b")).alias("d"), "support")
+    sign = sign.groupBy("c").agg(F.max(F.struct("support", "d")).alias("best")).agg(F.array_join(F.sort_array(F.collect_list(F.struct("c", "best.d"))).getField("c"), "").alias("from"), F.array_join(F.sort_array(F.collect_list(F.struct("c", "best.d"))).getField("d"), "").alias("to"))
+    numbers = types.where(r"w RLIKE '[0-9]' AND NOT w RLIKE '^[0-9]+$'").join(sign).withColumn("meant", F.expr("translate(w, from, to)"))
+    total = placed.agg(F.countDistinct("form").alias("lines"))
+    numbers = numbers.where(r"meant RLIKE '^[0-9]+$'").join(total).where("n * 20 < lines").join(wrong.select("w"), "w", "left_anti").select("w", "meant")
+    known = cut(wrong.unionByName(numbers), "known")
+    single = cut(tokens(placed).where("right IS NULL").join(known, "w").select("page_id", "line_no", "w", "meant"), "single")
     # Of a cut word the parts are looked up by themselves only if together they are neither known nor a variant.
-    cuts = found.where("right IS NOT NULL").drop("w").withColumn("w", F.concat("left", "right"))
+    good = types.where("n >= 3").join(wrong, "w", "left_anti").select("w")
+    cuts = tokens(placed.where(is_cut(F.col("looks"), F.col("after.looks")))).where("right IS NOT NULL")
     cuts = cut(cuts.join(wrong, "w", "left").join(good.withColumn("known", F.lit(True)), "w", "left"), "cuts")
     both = cuts.where("meant IS NOT NULL")
     same = lambda a, b: F.expr(f"size(filter(sequence(1, least(length({a}), length({b}))), i -> substr({a}, 1, i) = substr({b}, 1, i)))")
@@ -191,21 +221,25 @@ def misread_words(found: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFr
     left = apart.withColumnRenamed("left", "w").join(named, "w").select("page_id", "line_no", "w", "meant")
     right = apart.withColumnRenamed("right", "w").join(named, "w").select(F.col("next_page").alias("page_id"), F.col("next_line").alias("line_no"), "w", "meant")
     # A hyphen was the word's own if its parts stand alone elsewhere and the whole never does.
-    alone = cut(found.where("right IS NULL").groupBy("w").agg(F.count("*").alias("n")).where("n >= 3").select("w"), "alone")
+    alone = types.where("alone >= 3").select("w")
     compound = cuts.join(alone, "w", "left_anti").join(alone.withColumnRenamed("w", "left"), "left", "left_semi").join(alone.withColumnRenamed("w", "right"), "right", "left_semi").select("page_id", "line_no").distinct()
-    # A number is wrongly read if all its other characters are ranked confusions of a digit.
-    sign = ranked.where("length(a) = 1 AND length(b) = 1 AND (a RLIKE '[0-9]') <> (b RLIKE '[0-9]')")
-    sign = sign.select(F.when(F.col("a").rlike("[0-9]"), F.col("b")).otherwise(F.col("a")).alias("c"), F.when(F.col("a").rlike("[0-9]"), F.col("a")).otherwise(F.col("b")).alias("d"), "support")
-    sign = sign.groupBy("c").agg(F.max(F.struct("support", "d")).alias("best")).agg(F.array_join(F.sort_array(F.collect_list(F.struct("c", "best.d"))).getField("c"), "").alias("from"), F.array_join(F.sort_array(F.collect_list(F.struct("c", "best.d"))).getField("d"), "").alias("to"))
-    numbers = types.where(r"w RLIKE '[0-9]' AND NOT w RLIKE '^[0-9]+$'").join(sign).withColumn("meant", F.expr("translate(w, from, to)"))
-    total = lines.agg(F.countDistinct("form").alias("lines"))
-    numbers = numbers.where(r"meant RLIKE '^[0-9]+$'").join(total).where("n * 20 < lines").join(wrong.select("w"), "w", "left_anti").select("w", "meant")
-    digits = found.where("right IS NULL").join(numbers, "w").select("page_id", "line_no", "w", "meant")
-    fixes = [single, both.select("page_id", "line_no", "w", "meant"), left, digits]
-    places = [x.select("page_id", "line_no") for x in (single, upper, lower, left, right, digits)]
+    fixes = [single, both.select("page_id", "line_no", "w", "meant"), left]
+    places = [x.select("page_id", "line_no") for x in (single, upper, lower, left, right)]
     return reduce(DataFrame.unionByName, places).distinct(), reduce(DataFrame.unionByName, fixes).distinct(), compound
 
 
+def _han_rows(placed: DataFrame) -> DataFrame:
+    """Three Chinese characters in a row: page_id, line_no, b, n, i, v, with those that run over from the lines around.
+
+    ``i`` is their place in the ``b`` characters from the line before and the ``n`` of the line itself.
+    """
+    before = F.coalesce(F.regexp_extract("before.looks", ".{0,2}$", 0), F.lit(""))
+    after = F.coalesce(F.regexp_extract("after.looks", "^.{0,2}", 0), F.lit(""))
+    rows = placed.select("page_id", "line_no", F.length(before).alias("b"), F.length("looks").alias("n"), F.concat(before, "looks", after).alias("t"))
+    rows = rows.selectExpr("page_id", "line_no", "b", "n", "explode(transform(sequence(1, greatest(length(t) - 2, 1)), i -> struct(i AS i, substr(t, i, 3) AS v))) AS s").select("page_id", "line_no", "b", "n", "s.i", "s.v")
+    return rows.where(F.col("v").rlike(f"^[{HAN}]{{3}}$"))
+
+
 def misread_han(placed: DataFrame) -> DataFrame:
     """(page_id, line_no, w, meant): wrongly read Chinese characters, each with its surroundings of three.
 
@@ -213,12 +247,8 @@ def misread_han(placed: DataFrame) -> DataFrame:
     the character meant gives a much more frequent row in at least half the surroundings of the character
     seen, by their number on the pages, whether that stands first, in the middle or last.
     """
-    before = F.coalesce(F.regexp_extract("before.looks", ".{0,2}$", 0), F.lit(""))
-    after = F.coalesce(F.regexp_extract("after.looks", "^.{0,2}", 0), F.lit(""))
-    rows = placed.where(F.col("looks").rlike(f"[{HAN}]")).select("page_id", "line_no", "form", F.length(before).alias("b"), F.length("looks").alias("n"), F.concat(before, "looks", after).alias("t"))
-    rows = rows.selectExpr("*", "explode(transform(sequence(1, greatest(length(t) - 2, 1)), i -> struct(i AS i, substr(t, i, 3) AS v))) AS s").select("page_id", "line_no", "form", "b", "n", "s.i", "s.v")
-    rows = cut(rows.where(F.col("v").rlike(f"^[{HAN}]{{3}}$")), "rows")
-    types = cut(rows.where("i > b").withColumn("i", F.col("i") - F.col("b")).select("v", "form", "i").distinct().groupBy("v").agg(F.count("*").alias("n")), "types")
+    rows = lambda lines: _han_rows(lines.where(F.col("looks").rlike(f"[{HAN}]")))
+    types = cut(rows(witnesses(placed)).where("i > b").groupBy("v").agg(F.count("*").alias("n")), "types")
     holes = types.selectExpr("v", "n", "explode(transform(sequence(1, 3), x -> struct(x AS x, substr(v, x, 1) AS c, substr(v, 1, x - 1) || '_' || substr(v, x + 1) AS rest))) AS s").select("v", "n", "s.*")
     meant = holes.where("n >= 3").select("rest", F.col("c").alias("a"), F.col("n").alias("often"))
     explained = holes.join(meant, "rest").where(f"c <> a AND often >= {RATIO_HAN} * n").groupBy("a", "c", "x").agg(F.sum("n").alias("k"), F.count("*").alias("kinds"))
@@ -232,7 +262,7 @@ def misread_han(placed: DataFrame) -> DataFrame:
     cases = holes.join(trusted, "c").join(table)
     cases = cases.withColumn("meant", F.explode(F.array_distinct(F.array(F.expr("replace(rest, '_', a)"), F.expr("translate(v, from, to)")))))
     cases = cases.join(often, "meant").where(f"often >= {RATIO_HAN} * n").groupBy("v", "x").agg(F.max(F.struct("often", "meant")).alias("best")).select("v", "x", F.col("best.meant").alias("meant"))
-    hit = rows.join(cases, "v").where("i + x - 1 > b AND i + x - 1 <= b + n")
+    hit = rows(placed).join(cut(cases, "cases"), "v").where("i + x - 1 > b AND i + x - 1 <= b + n")
     return hit.select("page_id", "line_no", F.col("v").alias("w"), "meant").distinct()
 
 
@@ -245,7 +275,7 @@ def faults(lines: DataFrame) -> DataFrame:
     placed = cut(placed_lines(ocr_lines(lines)), "flow")
     running = placed.where("running").select("page_id", "line_no", F.lit("running").alias("kind"))
     hyphen = placed.where(is_cut(F.col("looks"), F.col("after.looks"))).select("page_id", "line_no", F.lit("hyphen").alias("kind"))
-    found, _, _ = misread_words(cut(tokens(placed), "tokens"), placed)
+    found, _, _ = misread_words(placed)
     misread = found.unionByName(misread_han(placed).select("page_id", "line_no")).distinct()
     return running.unionByName(hyphen).unionByName(misread.withColumn("kind", F.lit("misread")))
 
@@ -267,7 +297,7 @@ def _repaired(lines: DataFrame) -> DataFrame:
     their own hyphen keep it. An indented line begins a paragraph.
     """
     placed = cut(placed_lines(ocr_lines(lines)), "flow")
-    _, fixes, kept = misread_words(cut(tokens(placed), "tokens"), placed)
+    _, fixes, kept = misread_words(placed)
     fixes = fixes.unionByName(misread_han(placed)).groupBy("page_id", "line_no").agg(F.sort_array(F.collect_set(F.struct((-F.length("w")).alias("o"), "w", "meant"))).alias("fixes"))
     after, before = F.col("after.looks"), F.col("before.looks")
     rows = placed.where("NOT running").join(kept.withColumn("hyphen", F.lit("-")), ["page_id", "line_no"], "left").join(fixes, ["page_id", "line_no"], "left")
