@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 # White space other than line breaks.
 BLANKS = r" \t\x{A0}\x{2000}-\x{200A}\x{202F}\x{3000}"
@@ -39,6 +42,21 @@ def normalize(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), rf"^[\n{BLANKS}]+|[\n{BLANKS}]+$", "")
 
 
+def match_form(case: bool = True):
+    """Pandas UDF: a text in compatibility form (NFKC), without case unless ``case`` is false, single blanks, trimmed.
+
+    The JVM has no such function for columns; texts pass through it in Arrow batches. Null stays null.
+    """
+
+    @pandas_udf("string")
+    def form(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            text = batch.str.normalize("NFKC")
+            yield (text.str.casefold() if case else text).str.replace(r"\s+", " ", regex=True).str.strip()
+
+    return form
+
+
 def single_line(text: Column) -> Column:
     """All white space runs as one blank, trimmed."""
     return F.trim(F.regexp_replace(text, rf"[\r\n{BLANKS}]+", " "))

@@ -21,6 +21,18 @@ def judged(results: DataFrame, gold: DataFrame) -> DataFrame:
     return out.withColumn("relevance", F.coalesce("direct", "near", F.lit(0))).drop("direct", "near")
 
 
+def pools(judgements: DataFrame) -> DataFrame:
+    """query, candidates, unique_ids, ranks_complete, labels_known, direct, supporting of the judged candidates of each query.
+
+    Sound pools have each candidate once, the ranks 1 to n, and labels 0 to 2; a null label isn't known.
+    """
+    n = F.count("*")
+    return judgements.groupBy("query").agg(
+        n.alias("candidates"), (F.countDistinct("found") == n).alias("unique_ids"), ((F.min("rank") == 1) & (F.max("rank") == n) & (F.countDistinct("rank") == n)).alias("ranks_complete"),
+        F.bool_and(F.coalesce(F.col("relevance").between(0, 2), F.lit(False))).alias("labels_known"), F.bool_or(F.col("relevance") == 2).alias("direct"), F.bool_or(F.col("relevance") == 1).alias("supporting"),
+    )
+
+
 def _gain(relevance: Column, rank: Column) -> Column:
     return (F.pow(F.lit(2.0), relevance) - 1) / F.log2(rank + 1.0)
 

@@ -66,7 +66,8 @@ def graph_reach(spark: SparkSession, folder: str) -> DataFrame:
     return sizes.agg(F.sum("n").alias("nodes"), F.count_if(F.col("n") == 1).alias("alone"))
 
 
-@query()
+@query(GRAPH.replace("WITH", "WITH RECURSIVE", 1) + """, u AS (SELECT from_id AS a, to_id AS b FROM edges WHERE type IN ('ANSWERED_BY', 'PUBLISHED_BY')), w AS (SELECT a, b FROM u UNION SELECT b, a FROM u),
+    l AS (SELECT DISTINCT identity AS x FROM nodes WHERE label IN ('Question', 'Source', 'Organization')), r AS (SELECT x, x AS y FROM l UNION SELECT r.x, w.b FROM r JOIN w ON w.a = r.y) SELECT x AS identity, min(y) AS component FROM r GROUP BY x""")
 def graph_components(spark: SparkSession, folder: str) -> DataFrame:
     """Components of questions, sources and publishers that answers connect."""
     nodes, edges = _graph(spark, folder)

@@ -300,7 +300,27 @@ def section_units(spark: SparkSession, folder: str) -> DataFrame:
     return units.select("source_id", "page_id", "unit_no", "kind", "section_no", "section_path", "blocks", "tokens", F.sha2("text", 256).alias("text_hash"))
 
 
-@query()
+# The parts of running text beyond 200 tokens, by the same steps as those of documents.
+_PARTS = SPLIT.replace("WITH RECURSIVE mk AS", "marked AS").replace("FROM mk)", "FROM marked)").replace("FROM documents", "FROM big").split("    SELECT doc_id, part, tokens, sha256(")[0].rstrip()
+_PLAIN = SPLIT.rsplit("sha256(", 1)[1].rsplit(") AS text_hash", 1)[0]
+_SECTION_CHUNKS = f"""WITH RECURSIVE {UNITS},
+    o AS (SELECT *, len(regexp_extract_all(text, '{_TOKEN}')) AS n, floor(TRY_CAST(regexp_extract(page_id, '(\\d+)$', 1) AS BIGINT) / 1000)::BIGINT AS part, page_id || '#' || unit_no AS doc_id FROM units),
+    big AS (SELECT doc_id, text FROM o WHERE kind = 'text' AND n > 200), {_PARTS},
+    a1 AS (SELECT source_id, section_no, part, section_path, page_id, unit_no, kind, 0 AS piece, text AS t, n FROM o WHERE NOT (kind = 'text' AND n > 200)
+        UNION ALL SELECT o.source_id, o.section_no, o.part, o.section_path, o.page_id, o.unit_no, o.kind, g.part, {_PLAIN.replace("(t,", "(g.t,")}, g.tokens FROM o JOIN g ON g.doc_id = o.doc_id WHERE g.tokens > 0),
+    z AS (SELECT *, kind = 'title' AS title, row_number() OVER (PARTITION BY source_id, section_no, part ORDER BY page_id, unit_no, piece) AS i FROM a1),
+    q AS (SELECT source_id, section_no, part, i, n AS cur, 0 AS c, title AS titles FROM z WHERE i = 1
+        UNION ALL SELECT z.source_id, z.section_no, z.part, z.i, CASE WHEN (q.cur + z.n > 200 AND NOT q.titles) OR (q.cur >= 75 AND q.cur + z.n > 150) THEN z.n ELSE q.cur + z.n END, CASE WHEN (q.cur + z.n > 200 AND NOT q.titles) OR (q.cur >= 75 AND q.cur + z.n > 150) THEN q.c + 1 ELSE q.c END,
+            CASE WHEN (q.cur + z.n > 200 AND NOT q.titles) OR (q.cur >= 75 AND q.cur + z.n > 150) THEN z.title ELSE q.titles AND z.title END
+        FROM q JOIN z ON z.source_id = q.source_id AND z.section_no = q.section_no AND z.part = q.part AND z.i = q.i + 1),
+    y AS (SELECT z.*, q.c FROM z JOIN q USING (source_id, section_no, part, i)),
+    h AS (SELECT source_id, section_no, part, c, sum(n) AS tokens FROM y GROUP BY ALL),
+    m AS (SELECT *, lag(tokens) OVER v AS before, row_number() OVER (PARTITION BY source_id, section_no, part ORDER BY c DESC) AS back FROM h WINDOW v AS (PARTITION BY source_id, section_no, part ORDER BY c)),
+    f AS (SELECT y.*, CASE WHEN back = 1 AND tokens < 75 AND before + tokens <= 200 THEN y.c - 1 ELSE y.c END AS chunk FROM y JOIN m USING (source_id, section_no, part, c))
+    SELECT source_id, section_no, part, chunk AS chunk_no, any_value(section_path) AS section_path, min(page_id) AS first_page, max(page_id) AS last_page, count(*)::INT AS units, sum(n)::INT AS tokens, max(n) > 200 AS oversized, sha256(string_agg(t, chr(10) || chr(10) ORDER BY i)) AS text_hash FROM f GROUP BY source_id, section_no, part, chunk"""
+
+
+@query(_SECTION_CHUNKS)
 def section_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Sections of sources packed into chunks, from layout lines on."""
     chunks = chunking.section_chunks(chunking.section_units(read_table(spark, folder, "layout_line"), read_table(spark, folder, "source_spec")))

@@ -2,8 +2,8 @@
 
 ``cut`` writes a DataFrame as Parquet below the folder named by ``spark.checkpoint.dir`` and reads it
 back. The folder is shared by all executors, so a lost executor costs a re-read, never a recomputation
-that could come out in another order. Where the setting is absent (tests, notebooks) a folder of its own
-is set once per session.
+that could come out in another order. Where the setting is absent and Spark runs in one process (tests,
+notebooks) a folder of its own is set once per session; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -17,9 +17,11 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a fresh local one only where none is set."""
+    """The session's checkpoint folder; a fresh local one only where none is set and Spark runs in one process."""
     folder = spark.conf.get(SETTING, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{SETTING} must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set(SETTING, folder)
     return folder.rstrip("/")

@@ -122,6 +122,18 @@ def test_fingerprint_sees_vectors(spark):
     assert of(rows) == of(rows[::-1]) and len({of(rows), of([("a", [0.5, 1.0000001, None]), *rows[1:]]), of([*rows[:2], ("c", []), rows[3]])}) == 3
 
 
+@pytest.mark.parametrize(("given", "kept"), [("  ＳＭＴ　Straße\n x ", "smt strasse x"), ("①", "1"), ("", ""), (None, None), ("回流焊", "回流焊")])
+def test_match_form(spark, given, kept):
+    assert one(spark, tx.match_form()(F.col("t")), t=given) == kept
+    assert one(spark, tx.match_form(case=False)(F.col("t")), t=given) == ("SMT Straße x" if given and "Ｓ" in given else kept)
+
+
+def test_pools(spark):
+    rows = [("a", "x", 1, 2), ("a", "y", 2, 0), ("b", "x", 1, 1), ("b", "x", 3, 3), ("c", "x", 1, None)]
+    got = {r.query: r[1:] for r in evaluation.pools(spark.createDataFrame(rows, "query string, found string, rank int, relevance int")).collect()}
+    assert got["a"] == (2, True, True, True, True, False) and got["b"] == (2, False, False, False, False, True) and got["c"][:4] == (1, True, True, False)
+
+
 def test_quality(spark):
     flags = tx.quality_flags(F.col("t"))
     assert one(spark, F.concat_ws(",", flags), t="") == "empty_text"
