@@ -40,6 +40,17 @@ def p1_forms(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
+@_query
+def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Records in classes of equal look: how many share the text, and how many texts share the look."""
+    out = None
+    for table, key, text in (("ocr_result", "page_id", "text"), ("retriever_main", "query_id", "query")):
+        rows = visual_form.look_alike_classes(read_table(spark, folder, table), key, text)
+        rows = rows.groupBy(F.lit(table).alias("table_name"), "key").agg(F.max("copies").alias("copies"), F.max("texts").alias("texts"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @_query
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every message of every kept conversation, in order."""

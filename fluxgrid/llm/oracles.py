@@ -23,6 +23,10 @@ ORACLES: dict[str, str] = {
         SELECT DISTINCT a.table_name, a.key AS key_a, b.key AS key_b
         FROM f a JOIN f b ON a.table_name = b.table_name AND a.form = b.form AND a.key < b.key AND a.text <> b.text
     """,
+    "p1_classes": f"""
+        WITH f AS ({_FORMS}), c AS (SELECT table_name, form, text, count(*) AS copies FROM f GROUP BY ALL), s AS (SELECT table_name, form, count(*) AS texts FROM c GROUP BY ALL)
+        SELECT f.table_name, f.key, max(copies) AS copies, max(texts) AS texts FROM f JOIN c ON c.table_name = f.table_name AND c.form = f.form AND c.text = f.text JOIN s ON s.table_name = f.table_name AND s.form = f.form GROUP BY f.table_name, f.key
+    """,
     "p1_forms": f"SELECT DISTINCT table_name, key, form FROM ({_FORMS})",
     "p2_found": f"""
         WITH m AS (SELECT *, lower(trim(conversation_id, ' ')) AS c, row_number() OVER (PARTITION BY lower(trim(conversation_id, ' ')), coalesce(lower(trim(message_id, ' ')), row_id::VARCHAR) ORDER BY row_id) AS copy

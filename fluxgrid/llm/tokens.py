@@ -15,6 +15,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Encoders by vocabulary, kept as long as a Python worker lives.
+LOADED: dict = {}
+
+
 def with_tokens(df: DataFrame, text: str, out: str = "tokens", vocabulary: str = VOCABULARY) -> DataFrame:
     """``df`` without ``text`` and with its number of tokens in ``out``; null and the empty text have none.
 
@@ -31,11 +35,12 @@ def with_tokens(df: DataFrame, text: str, out: str = "tokens", vocabulary: str =
 
         import tiktoken
 
-        loaded = tiktoken.__dict__.setdefault("_loaded", {})  # kept as long as the Python worker lives
-        if vocabulary not in loaded:
+        from fluxgrid.llm import tokens
+
+        if vocabulary not in tokens.LOADED:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.value.splitlines())}
-            loaded[vocabulary] = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        encode = loaded[vocabulary].encode_ordinary
+            tokens.LOADED[vocabulary] = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        encode = tokens.LOADED[vocabulary].encode_ordinary
         for batch in batches:
             sizes = pa.array([len(encode(t)) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], sizes], [*batch.schema.names[:-1], out])

@@ -35,15 +35,22 @@ SAME_SHAPE = [
     # Cyrillic
     ("АВЕЅІЇЈКМНОРСТУХЁ", "ABESIÏJKMHOPCTYXË"),
     ("аеёорсухѕіїјһӓӧ", "aeëopcyxsiïjhäö"),
+    ("ԁԛԝѵҮԌԜ", "dqwvYGW"),
     # Greek
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ", "ABEZHIKMNOPTYXC"),
-    ("οϲϳ", "ocj"),
+    ("οϲϳνρ", "ocjvp"),
+    # Latin letters of other alphabets' use, Cherokee and Lisu
+    ("ɡɑ", "ga"),
+    ("ᎪᏴᏟᎠᎬᏀᎻᏆᎫᏦᏞᎷᏢᏚᎢᏙᎳᏃ", "ABCDEGHIJKLMPSTVWZ"),
+    ("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ"),
+    # Roman numerals of one letter
+    ("ⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿ", "IVXLCDMivxlcdm"),
     # signs
-    ("µΩÅK‐‑﹣⁃∶˸", "μΩÅK----::"),
+    ("µΩÅK‐‑﹣⁃∶˸․‚⁄", "μΩÅK----::.,/"),
 ]
 
 # Single characters drawn as several.
-LIGATURES = [("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("℃", "°C"), ("℉", "°F")]
+LIGATURES = [("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("℃", "°C"), ("℉", "°F"), ("Ⅱ", "II"), ("Ⅲ", "III"), ("Ⅳ", "IV"), ("Ⅵ", "VI"), ("Ⅶ", "VII"), ("Ⅷ", "VIII"), ("Ⅸ", "IX"), ("Ⅺ", "XI"), ("Ⅻ", "XII")]
 
 #: Blocks whose characters differ from their compatibility form in width or code only: Kangxi and other
 #: radicals, ideographs kept for compatibility, full- and half-width forms.
@@ -136,21 +143,31 @@ def digest(text: str | Column) -> Column:
     return F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit("second"), c).alias("b"))
 
 
-def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key_a < key_b`` of records whose texts differ and look the same.
+def look_alike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, form, text, copies, texts: each record with digests of its form and its text.
 
-    Rows with a null key or text take no part; repeated rows count once. Copies of one text are never
-    compared with each other: texts are paired first, by their form, and only then spread to the keys that
-    carry them, so the work follows the size of the result even if a third of all rows share a text.
-    An empty table gives no pairs.
+    ``form`` is the class of all records that look the same, ``text`` that of exact copies within it; ``copies``
+    counts the records of the text, ``texts`` the different texts of the form. The result has one row per record
+    however large a class is; ``look_alike_pairs`` spreads it to pairs. Rows with a null key or text take no
+    part; repeated rows count once.
     """
-    rows = df.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
-    rows = with_visual_form(rows, "t", "f").select("k", digest("t").alias("t"), digest("f").alias("f"))
-    # Written once: everything below reads these three hashes and keys, not the texts again.
+    rows = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("t")).where("key IS NOT NULL AND t IS NOT NULL")
+    rows = with_visual_form(rows, "t", "f").select("key", digest("f").alias("form"), digest("t").alias("text"))
+    # Written once: everything below reads these hashes and keys, not the texts again.
     rows = cut(rows.distinct(), "forms")
-    texts = rows.select("f", "t").distinct()
-    several = texts.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f")
-    kept = rows.join(several, "f", "left_semi")
+    texts = rows.groupBy("form", "text").agg(F.count("*").alias("copies"))
+    sizes = texts.groupBy("form").agg(F.count("*").alias("texts"))
+    return rows.join(texts.join(sizes, "form"), ["form", "text"]).select("key", "form", "text", "copies", "texts")
+
+
+def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key_a < key_b`` of records whose texts differ and look the same: the expansion of ``look_alike_classes``.
+
+    Copies of one text are never compared with each other: texts are paired first, by their form, and only then
+    spread to the keys that carry them, so the work follows the size of the result even if a third of all rows
+    share a text. An empty table gives no pairs.
+    """
+    kept = look_alike_classes(df, key, text).where("texts > 1").select(F.col("key").alias("k"), F.col("form").alias("f"), F.col("text").alias("t"))
     texts = kept.select("f", "t").distinct()
     a, b = texts.select("f", F.col("t").alias("ta")), texts.select("f", F.col("t").alias("tb"))
     pairs = a.join(b, "f").where("ta < tb").drop("f")
