@@ -38,31 +38,31 @@ def _often(counted: DataFrame, sizes: DataFrame, weight: str) -> DataFrame:
     return counted.where(F.col(weight) >= PAGES).join(sizes, "source").where(F.col(weight) >= SHARE * F.col("of")).drop("of")
 
 
-def line_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def line_graph(lines: DataFrame, named: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(found, nodes, edges): lines of high support, and the graph of their forms.
 
     found: line_id, page, source, line_no, node; nodes: source, node, form, pages, block; edges: source, a, b,
-    pages, block. ``block`` is the connected component. A source may hold any share of the rows: its lines are
+    pages, block. ``block`` is the connected component; forms are null unless asked for by ``named``. A source may hold any share of the rows: its lines are
     counted by form first, and only forms seen on enough rows are counted by page. A source has few of these,
     at most its lines per page over SHARE, so that hot forms meet a small table.
     """
-    lines = cut(formed_lines(lines), "lines")
+    lines = formed_lines(lines)
+    lines = cut(lines if named else lines.drop("form"), "lines")
     sizes = lines.select("source", "page").distinct().groupBy("source").agg(F.count("*").alias("of"))
     counted = lines.where("node IS NOT NULL").groupBy("source", "node").agg(F.count("*").alias("rows"))
     often = _often(counted, sizes, "rows").select("node")
-    seen = cut(lines.join(often, "node", "left_semi").distinct(), "seen")
-    nodes = seen.select("source", "node", "page").distinct().groupBy("source", "node").agg(F.count("*").alias("pages"))
+    nodes = lines.join(often, "node", "left_semi").select("source", "node", "page").distinct().groupBy("source", "node").agg(F.count("*").alias("pages"))
     nodes = cut(_often(nodes, sizes, "pages"), "nodes")
-    found = cut(seen.join(nodes.select("node"), "node", "left_semi").select("line_id", "page", "source", "line_no", "form", "node"), "found")
+    found = cut(lines.join(nodes.select("node"), "node", "left_semi").distinct(), "found")
     here = found.where("line_no IS NOT NULL").select("source", "page", "line_no", F.col("node").alias("a"))
     below = found.where("line_no IS NOT NULL").select("source", "page", (F.col("line_no") - 1).alias("line_no"), F.col("node").alias("b"))
     pairs = here.join(below, ["source", "page", "line_no"]).select("source", "a", "b", "page").distinct()
     edges = cut(_often(pairs.groupBy("source", "a", "b").agg(F.count("*").alias("pages")), sizes, "pages"), "edges")
     blocks = connected_components(nodes, edges).withColumnRenamed("component", "block")
-    forms = found.groupBy("node").agg(F.min("form").alias("form"))
+    forms = found.groupBy("node").agg(F.min("form") if named else F.max(F.lit(None).cast("string"))).toDF("node", "form")
     nodes = cut(nodes.join(blocks, "node").join(forms, "node").select("source", "node", "form", "pages", "block"), "graph")
     edges = edges.join(nodes.select(F.col("node").alias("a"), "block"), "a").select("source", "a", "b", "pages", "block")
-    return found.drop("form"), nodes, edges
+    return found.select("line_id", "page", "source", "line_no", "node"), nodes, edges
 
 
 def boilerplate_lines(lines: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def boilerplate_blocks(lines: DataFrame) -> DataFrame:
     ``block`` is its smallest form, ``pages`` the support of its most frequent form, ``weight`` the sum of the
     support of its edges, ``lines`` the number of its occurrences, all of which ``without_boilerplate`` deletes.
     """
-    found, nodes, edges = line_graph(lines)
+    found, nodes, edges = line_graph(lines, named=True)
     sizes = nodes.groupBy("source", "block").agg(F.min("form").alias("name"), F.count("*").alias("forms"), F.max("pages").alias("pages"))
     weights = edges.groupBy("source", "block").agg(F.count("*").alias("edges"), F.sum("pages").alias("weight"))
     seen = found.join(nodes.select("node", "block"), "node").groupBy("block").agg(F.countDistinct("line_id").alias("lines"))
