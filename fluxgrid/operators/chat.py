@@ -15,17 +15,31 @@ INTENTS = {
 }
 
 
+#: Row ids of a conversation that one task orders.
+SPAN = 100_000
+
+
 def deliveries(messages: DataFrame) -> DataFrame:
     """Message rows once per delivery row, with the conversation's id trimmed and in lower case; null ids belong nowhere."""
     return messages.dropDuplicates(["row_id"]).where("conversation_id IS NOT NULL").withColumn("conversation", F.lower(F.trim("conversation_id")))
 
 
 def context(messages: DataFrame, last: int = 6) -> DataFrame:
-    """row_id, conversation, before: how many of the ``last`` messages stored before this one there are, and their hash."""
-    w = Window.partitionBy("conversation").orderBy("row_id").rowsBetween(-last, -1)
-    seen = F.array_join(F.collect_list(F.coalesce("content", F.lit(""))).over(w), "\n")
-    rows = deliveries(messages)
-    return rows.select("row_id", "conversation", F.count("*").over(w).alias("before"), F.sha2(seen, 256).alias("context_hash"))
+    """row_id, conversation, before: how many of the ``last`` messages stored before this one there are, and their hash.
+
+    A long conversation is cut into spans of ``SPAN`` row ids; what a span needs of those before it are the
+    ends of the ``last`` ones that have messages.
+    """
+    rows = deliveries(messages).select("row_id", "conversation", F.coalesce("content", F.lit("")).alias("content"), F.floor(F.col("row_id") / SPAN).alias("span"))
+    span = Window.partitionBy("conversation", "span")
+    own = F.collect_list("content").over(span.orderBy("row_id").rowsBetween(-last, -1))
+    ends = rows.withColumn("back", F.row_number().over(span.orderBy(F.desc("row_id")))).where(F.col("back") <= last)
+    ends = ends.groupBy("conversation", "span").agg(F.sort_array(F.collect_list(F.struct("row_id", "content"))).alias("end"))
+    far = F.flatten(F.collect_list("end.content").over(Window.partitionBy("conversation").orderBy("span").rowsBetween(-last, -1)))
+    seen = F.concat("far", "own")
+    rows = rows.withColumn("own", own).join(ends.select("conversation", "span", far.alias("far")), ["conversation", "span"]).withColumn("seen", seen)
+    rows = rows.withColumn("seen", F.slice("seen", F.greatest(F.size("seen") - last, F.lit(0)) + 1, F.lit(last)))
+    return rows.select("row_id", "conversation", F.size("seen").cast("long").alias("before"), F.sha2(F.array_join("seen", "\n"), 256).alias("context_hash"))
 
 
 def intents(messages: DataFrame) -> DataFrame:

@@ -71,6 +71,20 @@ def _carried(pages: DataFrame, columns: list[str], counts: list[str]) -> DataFra
     return out.select("source_id", "page_id", *before)
 
 
+def numbered_pages(pages: DataFrame) -> DataFrame:
+    """``pages`` (source_id, page_id and more) with pos, their place in the source from 0, and pages, how many it has.
+
+    In order of ranges of page numbers, then of page_id; ranges are counted first, so no source is sorted at once.
+    """
+    pages = pages.withColumn("range", F.floor(F.coalesce(F.regexp_extract("page_id", r"(\d+)$", 1).try_cast("long"), F.lit(0)) / RANGE))
+    sizes = pages.groupBy("source_id", "range").agg(F.count("*").alias("n"))
+    source = Window.partitionBy("source_id")
+    base = F.coalesce(F.sum("n").over(source.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("source_id", "range", base.alias("base"), F.sum("n").over(source).alias("pages"))
+    nth = F.row_number().over(Window.partitionBy("source_id", "range").orderBy("page_id")) - 1
+    return pages.withColumn("nth", nth).join(sizes, ["source_id", "range"]).withColumn("pos", (F.col("base") + F.col("nth")).cast("long")).drop("range", "nth", "base")
+
+
 def section_paths(typed: DataFrame, sources: DataFrame) -> DataFrame:
     """line_id, page_id, source_id, line_no, title_run, section_no, section_path of every body line.
 

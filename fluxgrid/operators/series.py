@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+#: Width of the bands of log1p(volume) in which volumes are put in order.
+VOLUME_BAND = 0.01
+
 
 def window_index(value: Column, low: float, high: float) -> Column:
     """Distance from the middle of [low, high] in percent of half its width; 100 at its ends."""
@@ -43,13 +46,28 @@ def falls(values: Column) -> Column:
 def nearest_route(points: DataFrame, routes: DataFrame, by: str) -> DataFrame:
     """Each point (point, x, y, v) with the nearest route (route, rx, ry, rv) of its ``by``.
 
-    Nearness: difference of log1p of the volumes, then the distance in the plane, then the route's name.
-    Points and routes meet within one value of ``by`` only; the best route is kept by an aggregate, so no
-    list of pairs is sorted.
+    Nearness: difference of log1p of the volumes, then the distance in the plane, then the route's name. Only
+    the next volumes below and above a point's own can be nearest: they are found by order within narrow bands
+    of volume, and over bands by a table of their ends, so neither pairs nor a whole ``by`` meet in one
+    task. Points or routes without a volume, and points of a ``by`` without routes, give no row.
     """
-    pairs = points.join(routes, by)
-    near = F.struct(F.round(F.abs(F.log1p("v") - F.log1p("rv")), 9).alias("dv"), F.round(F.hypot(F.col("x") - F.col("rx"), F.col("y") - F.col("ry")), 6).alias("d"), F.col("route"))
-    return pairs.groupBy("point").agg(F.min(near).alias("m")).select("point", F.col("m.route").alias("route"), F.col("m.dv").alias("volume_gap"), F.col("m.d").alias("distance"))
+    places = routes.where("rv IS NOT NULL").groupBy(by, F.col("rv").cast("double").alias("rv"), "rx", "ry").agg(F.min("route").alias("route"))
+    points = points.where("v IS NOT NULL").withColumn("v", F.col("v").cast("double"))
+    stops = points.select(by, "v", F.lit(None).cast("double").alias("rv")).distinct().unionByName(places.select(by, F.col("rv").alias("v"), "rv").distinct())
+    stops = stops.withColumn("band", F.floor(F.log1p("v") / VOLUME_BAND))
+    ends = stops.groupBy(by, "band").agg(F.max("rv").alias("top"), F.min("rv").alias("bottom"))
+    order = Window.partitionBy(by).orderBy("band")
+    below = F.last("top", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    above = F.first("bottom", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    ends = ends.select(by, "band", below.alias("far_below"), above.alias("far_above"))
+    inner = Window.partitionBy(by, "band").orderBy("v")
+    below = F.last("rv", ignorenulls=True).over(inner.rangeBetween(Window.unboundedPreceding, 0))
+    above = F.first("rv", ignorenulls=True).over(inner.rangeBetween(0, Window.unboundedFollowing))
+    near = stops.withColumn("below", below).withColumn("above", above).where("rv IS NULL").join(ends, [by, "band"])
+    near = near.select(by, "v", F.explode(F.array_distinct(F.array_compact(F.array(F.coalesce("below", "far_below"), F.coalesce("above", "far_above"))))).alias("rv"))
+    pairs = points.join(near, [by, "v"]).join(places, [by, "rv"])
+    nearest = F.struct(F.round(F.abs(F.log1p("v") - F.log1p("rv")), 9).alias("dv"), F.round(F.hypot(F.col("x") - F.col("rx"), F.col("y") - F.col("ry")), 6).alias("d"), F.col("route"))
+    return pairs.groupBy("point").agg(F.min(nearest).alias("m")).select("point", F.col("m.route").alias("route"), F.col("m.dv").alias("volume_gap"), F.col("m.d").alias("distance"))
 
 
 def resample(points: DataFrame, key: str, t: str, value: str, step: int) -> DataFrame:

@@ -155,15 +155,9 @@ def blank_runs(spark: SparkSession, folder: str) -> DataFrame:
     SELECT source_id, page_id, pos::BIGINT AS pos FROM n WHERE list_contains(list_transform(range(5), lambda i: round_even(i * (n.of - 1) / 4, 0)::BIGINT), pos)""")
 def even_sample(spark: SparkSession, folder: str) -> DataFrame:
     """Five pages of each source, evenly spaced in order: numbered over ranges of pages, so no source is sorted at once."""
-    pages = read_table(spark, folder, "layout_line").select("source_id", "page_id").distinct().withColumn("range", F.floor(F.coalesce(F.regexp_extract("page_id", r"(\d+)$", 1).try_cast("long"), F.lit(0)) / layout.RANGE))
-    sizes = pages.groupBy("source_id", "range").agg(F.count("*").alias("n"))
-    source = Window.partitionBy("source_id")
-    base = F.coalesce(F.sum("n").over(source.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("source_id", "range", base.alias("base"), F.sum("n").over(source).alias("of"))
-    numbered = pages.withColumn("nth", F.row_number().over(Window.partitionBy("source_id", "range").orderBy("page_id")) - 1).join(sizes, ["source_id", "range"])
-    numbered = numbered.withColumn("pos", (F.col("base") + F.col("nth")).cast("long"))
-    places = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.rint(i * (F.col("of") - 1) / 4).cast("long"))
-    return numbered.where(F.array_contains(places, F.col("pos"))).select("source_id", "page_id", "pos")
+    pages = layout.numbered_pages(read_table(spark, folder, "layout_line").select("source_id", "page_id").distinct())
+    places = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.rint(i * (F.col("pages") - 1) / 4).cast("long"))
+    return pages.where(F.array_contains(places, F.col("pos"))).select("source_id", "page_id", "pos")
 
 
 @query("""SELECT DISTINCT query_id, coalesce(language, '') AS language, coalesce(answerable::VARCHAR, '') AS answerable, to_json(defect_ids)::VARCHAR AS defect_ids, to_json(process_ids)::VARCHAR AS process_ids, to_json(gold_sources)::VARCHAR AS gold_sources, to_json(gold_pages)::VARCHAR AS gold_pages FROM retriever_main""")

@@ -204,9 +204,7 @@ def overlay_clean(spark: SparkSession, folder: str) -> DataFrame:
 def representative_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Pages that stand for a source: its shortest, longest, most table-like, first, middle and last."""
     pages = layout.page_text(read_table(spark, folder, "layout_line")).withColumn("n", F.length("text")).withColumn("likeness", tx.table_likeness(F.col("text")))
-    pages = pages.select("source_id", "page_id", "n", "likeness")
-    w = Window.partitionBy("source_id")
-    pages = pages.withColumn("nth", F.row_number().over(w.orderBy("page_id"))).withColumn("pages", F.count("*").over(w))
+    pages = layout.numbered_pages(pages.select("source_id", "page_id", "n", "likeness")).withColumn("nth", F.col("pos") + 1)
     pick = lambda f, *by: f("page_id", F.struct(*by))
     at = lambda place: F.max(F.when(F.col("nth") == place, F.col("page_id")))
     return pages.groupBy("source_id").agg(

@@ -1,7 +1,9 @@
 """Operators on small cases with known results."""
 
+import hashlib
 import json
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -414,3 +416,40 @@ def test_softmax(spark):
     got = rows.select(series.top_classes(F.col("s"), 2).alias("t")).first().t
     assert [x.label for x in got] == ["a", "b"] and got[0].p == pytest.approx(math.e / (2 * math.e + 1), abs=1e-6)
     assert pd.notna(got[0].p)
+
+
+def test_nearest_route_brute(spark):
+    rng = random.Random(5)
+    points = [(i, rng.randrange(3), float(rng.randrange(10)), float(rng.randrange(10)), rng.choice([0.0, 1.0, 5.0, round(rng.uniform(0, 9999), 2)])) for i in range(200)]
+    points += [(900, 9, 0.0, 0.0, 1.0), (901, 0, 0.0, 0.0, None)]
+    routes = [(i, rng.randrange(3), float(rng.randrange(10)), float(rng.randrange(10)), rng.choice([0.0, 7.0, round(rng.uniform(0, 9999), 2)])) for i in range(60)] + [(60, 0, 0.0, 0.0, None)]
+    p = spark.createDataFrame(points, "point int, g int, x double, y double, v double")
+    r = spark.createDataFrame(routes, "route int, g int, rx double, ry double, rv double")
+    want = {}
+    for point, g, x, y, v in points:
+        near = [(round(abs(math.log1p(v) - math.log1p(rv)), 9), round(math.hypot(x - rx, y - ry), 6), route) for route, h, rx, ry, rv in routes if h == g and None not in (v, rv)]
+        if near:
+            want[point] = min(near)[2]
+    assert {x.point: x.route for x in series.nearest_route(p, r, "g").collect()} == want
+    assert series.nearest_route(p.limit(0), r, "g").count() == 0
+
+
+def test_context_over_spans(spark, monkeypatch):
+    monkeypatch.setattr(chat, "SPAN", 4)
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "A ", "b", None]), rng.choice([None, str(i)])) for i in range(80)]
+    got = {r.row_id: (r.before, r.context_hash) for r in chat.context(spark.createDataFrame(rows, "row_id long, conversation_id string, content string")).collect()}
+    seen, want = {}, {}
+    for i, c, t in rows:
+        if c is not None:
+            before = seen.setdefault(c.strip().lower(), [])
+            want[i] = (len(before[-6:]), hashlib.sha256("\n".join(before[-6:]).encode()).hexdigest())
+            before.append(t or "")
+    assert got == want
+
+
+def test_numbered_pages(spark, monkeypatch):
+    monkeypatch.setattr(layout, "RANGE", 3)
+    rows = [("s", f"s:p{i:04d}") for i in range(11)] + [("t", "t:p0007"), ("t", "odd")]
+    got = {r.page_id: (r.pos, r.pages) for r in layout.numbered_pages(spark.createDataFrame(rows, "source_id string, page_id string")).collect()}
+    assert got == {f"s:p{i:04d}": (i, 11) for i in range(11)} | {"odd": (0, 2), "t:p0007": (1, 2)}
