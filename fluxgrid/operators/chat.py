@@ -67,3 +67,17 @@ def sequence_match(messages: DataFrame, expected: list[str]) -> DataFrame:
     for name in sorted(set(expected)):
         want = F.when(F.col("role") == name, expected.count(name)).otherwise(want)
     return rows.groupBy("conversation").agg(F.sum("n").alias("actual"), F.sum(F.least("n", want)).alias("matched"))
+
+
+def sequence_summary(messages: DataFrame, expected: list[str]) -> DataFrame:
+    """conversations, f1 (mean over them), exact: the share whose roles are ``expected`` in just that order.
+
+    Only a conversation's first roles, one more than are expected, are compared in order, so none is gathered whole.
+    """
+    scores = sequence_match(messages, expected)
+    role = F.lower(F.trim("role"))
+    first = deliveries(messages).select("conversation", "row_id", role.alias("role"), F.row_number().over(Window.partitionBy("conversation").orderBy("row_id")).alias("nth")).where(F.col("nth") <= len(expected) + 1)
+    roles = F.sort_array(F.collect_list(F.struct("nth", "role")))["role"]
+    same = first.groupBy("conversation").agg((roles == F.array(*(F.lit(x) for x in expected))).alias("same"))
+    f1 = 2.0 * F.col("matched") / (F.col("actual") + len(expected))
+    return scores.join(same, "conversation").agg(F.count("*").alias("conversations"), F.round(F.avg(f1), 6).alias("f1"), F.round(F.count_if("same") / F.count("*"), 6).alias("exact"))

@@ -119,6 +119,33 @@ def section_paths(typed: DataFrame, sources: DataFrame) -> DataFrame:
     return out.select("line_id", "page_id", "source_id", "line_no", F.when(F.col("level").isNotNull(), F.col("run")).alias("title_run"), (F.col("own_no") + F.col("before_titles")).alias("section_no"), F.array_join(path, " > ").alias("section_path"))
 
 
+def article_units(lines: DataFrame, headings: DataFrame, furniture: list[str]) -> DataFrame:
+    """Articles read in the order of their lines: page_id, source_id, section_no, unit_no, kind, lines, text.
+
+    ``headings`` (source_id, marker, occurrence, following): a page's line that is the marker for the
+    occurrence-th time there begins a section, and takes up to ``following`` more lines of its page, unless
+    one of them begins a section itself. All else between two headings of a page is one unit of text. Lines that match one
+    of ``furniture`` as a whole, and lines that show nothing, are left out; every other line is in one unit. section_no
+    counts the headings of the source so far, over pages.
+    """
+    rows = lines.select("line_id", "page_id", "source_id", "line_no", tx.single_line(F.col("text")).alias("t")).distinct()
+    rows = rows.where(F.col("t") != "").where(~F.col("t").rlike("^(?:" + "|".join(furniture) + ")$"))
+    order = Window.partitionBy("source_id", "page_id").orderBy("line_no", "line_id")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    nth = F.row_number().over(Window.partitionBy("source_id", "page_id", "t").orderBy("line_no", "line_id"))
+    marks = headings.groupBy("source_id", F.col("marker").alias("t"), F.col("occurrence").alias("nth")).agg(F.max("following").alias("following"))
+    rows = rows.withColumn("nth", nth).join(marks, ["source_id", "t", "nth"], "left").withColumn("at", F.row_number().over(order))
+    last = F.last(F.when(F.col("following").isNotNull(), F.struct("at", "following")), ignorenulls=True).over(upto)
+    rows = rows.withColumn("h", last).withColumn("title", F.coalesce(F.col("at") - F.col("h.at") <= F.col("h.following"), F.lit(False)))
+    begins = F.col("following").isNotNull() | (F.col("at") == 1) | (~F.col("title") & F.lag("title").over(order))
+    rows = rows.withColumn("begins", begins).withColumn("unit_no", F.count_if("begins").over(upto)).withColumn("own", F.count_if(F.col("following").isNotNull()).over(upto))
+    item = F.sort_array(F.collect_list(F.struct("line_no", "line_id", "t")))
+    units = rows.groupBy("source_id", "page_id", "unit_no").agg(F.when(F.bool_or("title"), "title").otherwise("text").alias("kind"), F.count("*").alias("lines"), F.max("own").alias("own"), item["t"].alias("parts"))
+    pages = units.groupBy("source_id", "page_id").agg(F.max("own").alias("titles")).withColumn("page", F.regexp_extract("page_id", r"(\d+)$", 1).try_cast("long"))
+    units = units.join(_carried(pages, [], ["titles"]), ["source_id", "page_id"])
+    return units.select("page_id", "source_id", (F.col("own") + F.col("before_titles")).alias("section_no"), "unit_no", "kind", "lines", F.array_join("parts", "\n").alias("text"))
+
+
 def page_text(lines: DataFrame) -> DataFrame:
     """page_id, source_id, text of the lines in order, lines, native_chars and ocr_chars."""
     lines = lines.select("line_id", "page_id", "source_id", "line_no", "text", "source").distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fluxgrid.plans import chat, checks, graph, quality, retrieval, series, streams, text  # noqa: F401
+from fluxgrid.plans import chat, checks, graph, mapping, quality, retrieval, series, streams, text  # noqa: F401
 from fluxgrid.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -453,3 +453,39 @@ def test_numbered_pages(spark, monkeypatch):
     rows = [("s", f"s:p{i:04d}") for i in range(11)] + [("t", "t:p0007"), ("t", "odd")]
     got = {r.page_id: (r.pos, r.pages) for r in layout.numbered_pages(spark.createDataFrame(rows, "source_id string, page_id string")).collect()}
     assert got == {f"s:p{i:04d}": (i, 11) for i in range(11)} | {"odd": (0, 2), "t:p0007": (1, 2)}
+
+
+def test_trace_and_mapped(spark):
+    texts = spark.createDataFrame(
+        [(1, "placement_bulletin_en_2020", "Wave process audit", "The aperture was worn; bridging followed."), (2, "x", "Contents", "aperture"), (3, None, None, None), (4, "x", "Reflow soldering", "reflow soldering again")],
+        "key int, source string, title string, text string",
+    )
+    sources = spark.createDataFrame([("x", ["b", "a"]), ("x", ["b", "a"]), ("y", None)], "source string, roles array<string>")
+    found = tagging.trace(texts, sources)
+    got = {(r.key, r.rule, r.process, r.defect, r.role, r.matched_in) for r in found.collect()}
+    assert got == {
+        (1, "cause-aperture:relation-01", "printing", "insufficient_solder", None, "text"), (1, "section-01", "placement", None, "process_guideline", "section"),
+        (4, "process:reflow", "reflow", None, None, "title"), (4, "default:x", None, None, "a", "source"), (4, "default:x", None, None, "b", "source"),
+    }
+    assert {r.key: tuple(r)[1:] for r in tagging.mapped(texts, found).collect()} == {
+        1: (False, "printing,placement", "insufficient_solder", "process_guideline", 2), 2: (True, "", "", "", 0), 3: (False, "", "", "", 0), 4: (False, "reflow", "", "a,b", 3),
+    }
+    assert tagging.trace(texts.limit(0), sources).count() == 0
+
+
+def test_article_units(spark):
+    lines = [("p:1", t) for t in ["intro", "A", "sub", "body", "7", "more", "A", "x"]] + [("p:2", t) for t in ["go on", "B", "A"]] + [("p:3", " ")]
+    lines = [(i, p, "s", i, t) for i, (p, t) in enumerate(lines)]
+    frame = spark.createDataFrame(lines + lines[:2], "line_id int, page_id string, source_id string, line_no int, text string")
+    marks = spark.createDataFrame([("s", "A", 1, 1), ("s", "B", 1, 1), ("other", "x", 1, 0)], "source_id string, marker string, occurrence int, following int")
+    got = sorted(tuple(r)[0:1] + tuple(r)[2:] for r in layout.article_units(frame, marks, [r"\d+"]).collect())
+    assert got == [
+        ("p:1", 0, 1, "text", 1, "intro"), ("p:1", 1, 2, "title", 2, "A\nsub"), ("p:1", 1, 3, "text", 4, "body\nmore\nA\nx"),
+        ("p:2", 1, 1, "text", 1, "go on"), ("p:2", 2, 2, "title", 1, "B"), ("p:2", 3, 3, "title", 1, "A"),
+    ]
+
+
+def test_sequence_summary(spark):
+    rows = [(1, "a", "user"), (2, "a", "Assistant"), (3, "b", "assistant"), (4, "b", "user"), (5, "c", None), (6, None, "user")]
+    got = chat.sequence_summary(spark.createDataFrame(rows, "row_id long, conversation_id string, role string"), ["user", "assistant"]).first()
+    assert tuple(got) == (3, round(2 / 3, 6), round(1 / 3, 6))
