@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluxgrid.functions.text import holds_term
@@ -32,6 +32,10 @@ RELATIONS = [
     ("relation-04", "cause-void", "reflow", "insufficient_solder"),
 ]
 
+# How strongly each relation is established, and the order of strengths; any other comes last.
+STRENGTHS = {"relation-01": "strong", "relation-02": "conditional", "relation-03": "medium_strong", "relation-04": "medium_strong"}
+STRENGTH_ORDER = ["strong", "medium_strong", "conditional"]
+
 # Terms of causes.
 CAUSES = {
     "cause-aperture": ["aperture", "apertures", "schablonenöffnung", "开孔"],
@@ -134,3 +138,16 @@ def mapped(texts: DataFrame, found: DataFrame) -> DataFrame:
     out = texts.select("key", excluded.alias("excluded")).join(sets, "key", "left")
     shown = lambda c: F.coalesce(c, F.lit(""))
     return out.select("key", "excluded", shown(listed("process")).alias("processes"), shown(listed("defect")).alias("defects"), shown(F.array_join(F.sort_array("role"), ",")).alias("roles"), F.coalesce("n", F.lit(0)).alias("n_matches"))
+
+
+def cause_candidates(found: DataFrame) -> DataFrame:
+    """defect, rank, relation, cause, process, strength, texts: causes of each defect, strongest relations first.
+
+    ``found`` is a trace; texts counts those that name the cause, 0 where none does. Equal strengths go by relation.
+    """
+    listed = found.sparkSession.createDataFrame([(defect, relation, cause, process, STRENGTHS.get(relation)) for relation, cause, process, defect in RELATIONS], "defect string, relation string, cause string, process string, strength string")
+    counted = found.where("category = 'cause'").groupBy("rule").agg(F.countDistinct("key").alias("texts"))
+    place = F.coalesce(F.nullif(F.array_position(F.array(*(F.lit(s) for s in STRENGTH_ORDER)), F.col("strength")), F.lit(0)), F.lit(99))
+    rows = listed.withColumn("rule", F.concat_ws(":", "cause", "relation")).join(counted, "rule", "left")
+    rank = F.row_number().over(Window.partitionBy("defect").orderBy(place, "relation"))
+    return rows.select("defect", rank.alias("rank"), "relation", "cause", "process", "strength", F.coalesce("texts", F.lit(0)).alias("texts"))

@@ -61,6 +61,13 @@ def mapping_invariants(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy(F.coalesce("source", F.lit("none")).alias("source")).agg(F.count("*").alias("documents"), F.count_if("excluded").alias("excluded"), F.count_if(F.col("processes") != "").alias("with_process"), F.count_if(F.col("defects") != "").alias("with_defect"), F.bool_and(sound).alias("sound"))
 
 
+@query(TRACE + ", r AS (SELECT * FROM (VALUES {}) r(relation, cause, process, defect, strength)), c AS (SELECT rule, count(DISTINCT key) AS texts FROM f WHERE category = 'cause' GROUP BY rule)".format(", ".join(f"('{r}', '{c}', '{p}', '{d}', '{tagging.STRENGTHS[r]}')" for r, c, p, d in tagging.RELATIONS)) + """
+    SELECT defect, row_number() OVER (PARTITION BY defect ORDER BY CASE strength WHEN 'strong' THEN 1 WHEN 'medium_strong' THEN 2 WHEN 'conditional' THEN 3 ELSE 99 END, relation)::INT AS rank, relation, cause, process, strength, coalesce(texts, 0) AS texts FROM r LEFT JOIN c ON c.rule = r.cause || ':' || r.relation""")
+def cause_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Causes of each defect in order of strength, and the documents that name them."""
+    return tagging.cause_candidates(_trace(spark, folder))
+
+
 # Whole lines that stand outside an article.
 FURNITURE = [r"\d{1,4}", "©.*", r"Was this page helpful\?.*", "Sponsored content .*"]
 _UNITS = f"""WITH spec AS (SELECT DISTINCT source AS source_id, {single_line_sql('title')} AS t FROM documents WHERE trim(title, ' ') <> ''),

@@ -11,6 +11,22 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def read_json_by_source(spark: SparkSession, path: str, schema: str, wanted: list[str] | None = None) -> DataFrame:
+    """JSON lines of files named <source_id>.jsonl under a glob, with source_id from the name.
+
+    ``wanted`` limits them to some sources, of which none may be missing; a file without rows counts as missing.
+    """
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    rows = rows.withColumn("source_id", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.jsonl$", 1))
+    if wanted is None:
+        return rows
+    rows = rows.where(F.col("source_id").isin(wanted))
+    missing = sorted(set(wanted) - {r.source_id for r in rows.select("source_id").distinct().collect()})
+    if missing:
+        raise ValueError(f"no rows of {', '.join(missing)}")
+    return rows
+
+
 def broken_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """file, line of JSON lines that don't parse, for a report instead of a failure."""
     lines = spark.read.text(path).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))

@@ -489,3 +489,19 @@ def test_sequence_summary(spark):
     rows = [(1, "a", "user"), (2, "a", "Assistant"), (3, "b", "assistant"), (4, "b", "user"), (5, "c", None), (6, None, "user")]
     got = chat.sequence_summary(spark.createDataFrame(rows, "row_id long, conversation_id string, role string"), ["user", "assistant"]).first()
     assert tuple(got) == (3, round(2 / 3, 6), round(1 / 3, 6))
+
+
+def test_cause_candidates(spark):
+    found = spark.createDataFrame([(1, "cause-void:relation-04", "cause"), (1, "cause-void:relation-04", "cause"), (2, "process:reflow", "process")], "key int, rule string, category string")
+    got = [tuple(r)[:3] + (r.texts,) for r in tagging.cause_candidates(found).where("defect = 'insufficient_solder'").orderBy("rank").collect()]
+    assert got == [("insufficient_solder", 1, "relation-01", 0), ("insufficient_solder", 2, "relation-04", 1)]
+
+
+def test_read_json_by_source(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"v": 1}\n{"v": 2}\n')
+    (tmp_path / "b.c.jsonl").write_text('{"v": 3}\n')
+    path = str(tmp_path / "*.jsonl")
+    assert {(r.source_id, r.v) for r in readers.read_json_by_source(spark, path, "v int").collect()} == {("a", 1), ("a", 2), ("b.c", 3)}
+    assert readers.read_json_by_source(spark, path, "v int", ["a"]).count() == 2
+    with pytest.raises(ValueError):
+        readers.read_json_by_source(spark, path, "v int", ["a", "z"])
