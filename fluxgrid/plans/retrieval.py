@@ -91,10 +91,10 @@ SPARSE = f"""
 
 
 def _sparse(spark: SparkSession, folder: str, asked: DataFrame | None = None) -> DataFrame:
-    questions = _questions(spark, folder)
+    questions = read_table(spark, folder, "retriever_main").select(F.col("query_id").alias("query"), F.col("query").alias("text")).distinct()
     if asked is not None:
         questions = questions.join(asked, "query", "left_semi")
-    return retrieval.sparse_topk(questions, retrieval.sparse_weights(_page_terms(spark, folder)), 20)
+    return retrieval.search_pages(questions, read_table(spark, folder, "layout_line"), 20)
 
 
 @query(f"WITH {SPARSE} SELECT query AS query_id, found AS page_id, rank::INT AS rank FROM sparse")
